@@ -1,0 +1,62 @@
+"""Ordered folds over long arrays.
+
+A fold that appends to an array copies it at every step, which is quadratic. Folding slices and
+appending one list per slice keeps it near linear, so whole texts of any length can be folded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
+SLICE = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def pack(
+    items: Column,
+    element: str,
+    state: Column,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+    state_type: str,
+) -> Column:
+    """Fold ``items`` with ``step(state, item) -> (emitted array, next state)``.
+
+    Returns struct(out: everything emitted, in order; state: the last state).
+    """
+    empty = F.array().cast(f"array<{element}>")
+    inner_type = f"struct<out:array<{element}>,state:{state_type}>"
+
+    def fold_slice(part: Column, begin: Column) -> Column:
+        def add(acc: Column, item: Column) -> Column:
+            emitted, nxt = step(acc["state"], item)
+            return F.struct(F.concat(acc["out"], emitted).alias("out"), nxt.cast(state_type).alias("state"))
+
+        zero = F.struct(empty.alias("out"), begin.cast(state_type).alias("state")).cast(inner_type)
+        return F.aggregate(part, zero, add)
+
+    def add_slice(acc: Column, index: Column) -> Column:
+        part = F.slice(items, index * SLICE + 1, F.lit(SLICE))
+        return let(
+            fold_slice(part, acc["state"]),
+            lambda done: F.struct(
+                F.concat(acc["out"], F.array(done["out"])).alias("out"), done["state"].alias("state")
+            ),
+        )
+
+    many = f"struct<out:array<array<{element}>>,state:{state_type}>"
+    zero = F.struct(
+        F.array().cast(f"array<array<{element}>>").alias("out"), state.cast(state_type).alias("state")
+    ).cast(many)
+    slices = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / SLICE).cast("int"))
+    return F.aggregate(
+        slices,
+        zero,
+        add_slice,
+        lambda acc: F.struct(F.flatten(acc["out"]).alias("out"), acc["state"].alias("state")),
+    )
