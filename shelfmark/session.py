@@ -1,15 +1,18 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, and tables kept in the shared folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, str] = {}
+_kept: dict[tuple[str, str], str] = {}
+
 
 def build_session(app: str = "shelfmark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; a cluster's own settings win over these."""
+    """A session with adaptive execution on."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -25,22 +28,40 @@ def build_session(app: str = "shelfmark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir``, as the cluster sets it.
+
+    Only a local master without that setting (tests) gets a temporary folder.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return f"{named.rstrip('/')}/shelfmark-{context.applicationId}"
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="shelfmark-"))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that several later steps read.
+    """Write a frame that several later steps read to the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; executors can be lost,
-    so it must be shared. Only a local master without that setting (tests) gets a temporary one.
+    The lineage ends there, so a lost executor costs a re-read; being a columnar table, later steps
+    prune its columns and know its size when they choose a join.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = os.path.join(tempfile.mkdtemp(prefix="shelfmark-"), "checkpoints")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(df_of, spark: SparkSession, name: str) -> DataFrame:
+    """A derived table (an index) made once per application and read by many queries."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        df_of().write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
