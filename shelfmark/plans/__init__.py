@@ -1,0 +1,4 @@
+from shelfmark.plans import text_queries
+from shelfmark.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "text_queries"]

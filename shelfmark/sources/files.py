@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark.functions.text import (
     extension,
@@ -16,7 +16,6 @@ from shelfmark.functions.text import (
     strip,
     HTML_EXT,
 )
-from shelfmark.session import checkpoint
 
 # Marks in converted files, and wiki files that are no notes.
 PAGE_MARK = r"(?m)^<!-- kb:page (\d+) -->$"
@@ -148,9 +147,15 @@ def read_pages(pages: DataFrame, doc_id, first: int, last: int) -> DataFrame:
     return pages.filter((F.col("doc_id") == doc_id) & F.col("page").between(first, last)).orderBy("page")
 
 
-def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Document manifests: broken JSON, an id that is not the file's name or a missing path are ignored."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", "true").option("mode", "DROPMALFORMED").json(folder)
+def read_manifests(spark: SparkSession, folder: str, file_per_document: bool = True) -> DataFrame:
+    """Document manifests: broken JSON, an id that is not the file's name or a missing path are ignored.
+
+    ``file_per_document=False`` reads JSON lines, as ``write_manifests`` writes them.
+    """
+    reader = spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED")
+    if not file_per_document:
+        return reader.json(folder).filter("id is not null and path is not null")
+    rows = reader.option("multiLine", "true").json(folder)
     name = F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1)
     return rows.withColumn("_name", name).filter("id is not null and path is not null and _name = id").drop("_name")
 
@@ -201,7 +206,7 @@ def markdown_report(summary: DataFrame, details: DataFrame, title: str) -> str:
 
 
 __all__ = [
-    "append_log", "checkpoint", "folder_size", "markdown_report", "missing_rows", "read_converted", "read_manifests",
+    "append_log", "folder_size", "markdown_report", "missing_rows", "read_converted", "read_manifests",
     "read_paged", "read_pages", "read_questions", "read_texts", "render_converted", "render_pages", "scan_files",
-    "scan_notes", "split_converted", "write_manifests", "Window",
+    "scan_notes", "split_converted", "write_manifests",
 ]
