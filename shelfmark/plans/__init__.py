@@ -1,4 +1,4 @@
-from shelfmark.plans import text_queries
+from shelfmark.plans import search_queries, text_queries
 from shelfmark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "text_queries"]
+__all__ = ["QUERIES", "SQL", "search_queries", "text_queries"]
