@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The blanks a text is trimmed by.
 BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -139,7 +139,7 @@ def cjk_count(text: Column | str) -> Column:
     return F.regexp_count(_c(text), F.lit(CJK_SCRIPT))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 

@@ -217,19 +217,20 @@ def score_candidates(cands: DataFrame, chunks: DataFrame, plans: DataFrame) -> D
     rows = (
         cands.join(texts, "chunk_id")
         .join(plans.select("query_id", F.col("plan.terms").alias("terms")), "query_id")
-        .withColumn("scores", T.term_scores(haystack(), F.col("terms")))
-        .withColumn("coverage", T.coverage(F.col("scores")))
-    )
-    best = (
-        rows.select("query_id", "doc_id", F.size("terms").alias("n_terms"), F.posexplode("scores").alias("i", "s"))
-        .groupBy("query_id", "doc_id", "n_terms", "i")
-        .agg(F.max("s").alias("s"))
-        .groupBy("query_id", "doc_id", "n_terms")
-        .agg((F.sum("s") / F.col("n_terms")).alias("doc_coverage"))
-        .drop("n_terms")
+        .withColumn("_text", haystack())
+        .withColumn("scores", T.term_scores(F.col("_text"), F.col("terms")))
+        .drop("_text")
     )
-    rows = rows.join(best, ["query_id", "doc_id"]).withColumn(
-        "score", F.col("coverage") * 10 + F.least(F.lit(5.0), -F.col("bm25")) / 5
+    # Candidates are few per query by now, so a document's scores fit one row.
+    together = F.collect_list("scores").over(Window.partitionBy("query_id", "doc_id"))
+    zero = F.transform("scores", lambda s: F.lit(0.0))
+    best = F.aggregate("_together", zero, lambda acc, s: F.zip_with(acc, s, lambda x, y: F.greatest(x, y)))
+    rows = (
+        rows.withColumn("_together", together)
+        .withColumn("coverage", T.coverage(F.col("scores")))
+        .withColumn("doc_coverage", T.coverage(best))
+        .drop("_together")
+        .withColumn("score", F.col("coverage") * 10 + F.least(F.lit(5.0), -F.col("bm25")) / 5)
     )
     over = F.col("coverage") > MIN_COVERAGE + EPS
     half = (F.col("coverage") >= MIN_COVERAGE - EPS) & (F.col("doc_coverage") > MIN_COVERAGE + EPS)
