@@ -100,7 +100,8 @@ def match_postings(chunks: DataFrame, needles: DataFrame) -> DataFrame:
         ).alias("gram"),
     )
     low = F.lower(F.concat_ws("\n", "title", "heading", "content"))
-    every = F.array_distinct(F.flatten(F.array(*[T.text_grams(low, n) for n in (1, 2, 3)])))
+    sizes = sorted(r["n"] for r in needles.select(size.alias("n")).distinct().collect())
+    every = F.flatten(F.array(*[T.text_grams(low, n) for n in sizes]))
     listed = chunks.select("chunk_id", F.explode(every).alias("gram"))
     postings = checkpoint(listed.join(wanted.select("gram").distinct(), "gram", "left_semi"))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

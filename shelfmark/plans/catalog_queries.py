@@ -262,9 +262,9 @@ def match_words(spark, sf):
     return C.match_docs(B.docs(spark, sf), " EN src3").select("doc_id", "title")
 
 
-@register("match_title", f"{WITH} SELECT doc_id, title FROM docs WHERE lower(title) = 'src17/fr-0.md' OR (NOT EXISTS (SELECT 1 FROM docs WHERE lower(title) = 'src17/fr-0.md') AND contains(lower(title || ' ' || doc_id), 'src17/fr-0.md'))")
+@register("match_title", f"{WITH} SELECT doc_id, title FROM docs WHERE lower(title) = 'src7/en-7.md' OR (NOT EXISTS (SELECT 1 FROM docs WHERE lower(title) = 'src7/en-7.md') AND contains(lower(title || ' ' || doc_id), 'src7/en-7.md'))")
 def match_title(spark, sf):
-    return C.match_docs(B.docs(spark, sf), "SRC17/fr-0.md").select("doc_id", "title")
+    return C.match_docs(B.docs(spark, sf), "SRC7/EN-7.md").select("doc_id", "title")
 
 
 @register("words_list", f"{WITH} SELECT doc_id, title FROM docs WHERE contains(lower(title || ' ' || doc_id), 'src') AND contains(lower(title || ' ' || doc_id), 'de') "

@@ -26,9 +26,12 @@ terms AS (SELECT query_id, term, pos FROM q_words w WHERE term NOT IN ({STOP})
 low AS (SELECT chunk_id, doc_id, lower(title) AS t, lower(heading) AS h, lower(content) AS c,
   greatest(length(title) - 2, 0) + greatest(length(heading) - 2, 0) + greatest(length(content) - 2, 0) AS tokens FROM chunks),
 facts AS (SELECT count(*) AS n_chunks, avg(tokens) AS mean_tokens FROM low),
-needles AS (SELECT DISTINCT term FROM terms),
-pairs AS (SELECT chunk_id, doc_id, tokens, term, (3 * (length(t) - length(replace(t, term, ''))) + 2 * (length(h) - length(replace(h, term, '')))
-  + length(c) - length(replace(c, term, ''))) / length(term) AS occ
+needles AS (SELECT term, length(term) AS n, len(list_filter(range(1, length(term)), lambda k: left(term, CAST(k AS BIGINT)) = right(term, CAST(k AS BIGINT)))) > 0 AS laps
+  FROM (SELECT DISTINCT term FROM terms)),
+pairs AS (SELECT chunk_id, doc_id, tokens, term, CASE WHEN laps THEN
+    3 * len(list_filter(range(1, length(t)), lambda i: substr(t, CAST(i AS BIGINT), n) = term)) + 2 * len(list_filter(range(1, length(h)), lambda i: substr(h, CAST(i AS BIGINT), n) = term))
+    + len(list_filter(range(1, length(c)), lambda i: substr(c, CAST(i AS BIGINT), n) = term))
+  ELSE (3 * (length(t) - length(replace(t, term, ''))) + 2 * (length(h) - length(replace(h, term, ''))) + length(c) - length(replace(c, term, ''))) / n END AS occ
   FROM low, needles WHERE contains(t, term) OR contains(h, term) OR contains(c, term)),
 df AS (SELECT term, count(*) AS found FROM pairs GROUP BY term),
 bm AS (SELECT query_id, chunk_id, doc_id, sum(-(greatest(ln((n_chunks - found + 0.5) / (found + 0.5)), 1e-6) * occ * 2.2
