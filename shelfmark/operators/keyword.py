@@ -23,7 +23,7 @@ EPS = 1e-9
 DIGITS = 9
 
 # Up to this many distinct needles are matched as literals in the scan; more go through n-gram postings.
-LITERAL_NEEDLES = 128
+LITERAL_NEEDLES = 256
 
 
 def haystack() -> Column:

@@ -45,10 +45,11 @@ scans AS (SELECT query_id, chunk_id, doc_id, 0.0::DOUBLE AS bm25, s_at, row_numb
 cands AS (SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, arg_min(bm25, ord) AS bm25, min(ord) AS ord FROM (
   SELECT query_id, chunk_id, doc_id, bm25, ord FROM ranked WHERE ord <= 200
   UNION ALL SELECT query_id, chunk_id, doc_id, bm25, s_at * 201 + r FROM scans WHERE r <= 200) GROUP BY query_id, chunk_id),
-scores AS (SELECT c.*, term, pos, CAST(regexp_matches(t || chr(10) || h || chr(10) || low.c, '(^|[^a-z0-9])' || regexp_escape(
+scores AS (SELECT c.*, term, pos, CAST(CASE WHEN NOT regexp_matches(term, '^[a-z0-9]') THEN contains(t || chr(10) || h || chr(10) || low.c, term)
+  ELSE regexp_matches(t || chr(10) || h || chr(10) || low.c, '(^|[^a-z0-9])' || regexp_escape(
     CASE WHEN regexp_matches(term, '^[a-z]{{4,}}es$') THEN left(term, length(term) - 2)
          WHEN regexp_matches(term, '^[a-z]{{4,}}s$') THEN left(term, length(term) - 1) ELSE term END)
-    || CASE WHEN length(term) <= 2 THEN '([^a-z0-9]|$)' ELSE '' END) AS DOUBLE) AS s
+    || CASE WHEN length(term) <= 2 THEN '([^a-z0-9]|$)' ELSE '' END) END AS DOUBLE) AS s
   FROM cands c JOIN terms USING (query_id) JOIN low USING (chunk_id)),
 doc_cov AS (SELECT query_id, doc_id, avg(s) AS doc_coverage FROM (SELECT query_id, doc_id, term, max(s) AS s FROM scores GROUP BY ALL) GROUP BY ALL),
 covered AS (SELECT query_id, chunk_id, doc_id, bm25, ord, avg(s) AS coverage, count(*) AS n FROM scores GROUP BY ALL),
