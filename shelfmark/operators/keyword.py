@@ -6,6 +6,10 @@ whatever a visibility filter needs.  ``queries``: query_id, query.  One job answ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions import terms as T
@@ -22,8 +26,10 @@ EPS = 1e-9
 # Scores are compared at this many digits: sums may be added in any order.
 DIGITS = 9
 
-# Up to this many distinct needles are matched as literals in the scan; more go through n-gram postings.
-LITERAL_NEEDLES = 256
+# How needles are matched depends on how many distinct ones there are: a few as literals of the scan,
+# up to a bounded list (some megabytes) by one automaton per task, any number by n-gram postings.
+LITERAL_NEEDLES = 4
+AUTOMATON_NEEDLES = 50_000
 
 
 def haystack() -> Column:
@@ -87,6 +93,42 @@ def match_literal(chunks: DataFrame, needles: list[str]) -> DataFrame:
     )
 
 
+def match_automaton(chunks: DataFrame, needles: list[str]) -> DataFrame:
+    """Matches of a bounded list of needles in one pass over each text, overlaps counted."""
+    shared = chunks.sparkSession.sparkContext.broadcast(needles)
+    weights = list(WEIGHTS.values())
+    counts_from = T.GRAM
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        words = shared.value
+        automaton = Automaton()
+        for i, word in enumerate(words):
+            automaton.add_word(word, i)
+        automaton.make_automaton()
+        for batch in batches:
+            rows: list[int] = []
+            found: list[str] = []
+            occ: list[int] = []
+            for row, texts in enumerate(zip(*(batch.column(c).to_pylist() for c in WEIGHTS))):
+                seen: dict[int, int] = {}
+                for text, weight in zip(texts, weights):
+                    for _, i in automaton.iter(text):
+                        seen[i] = seen.get(i, 0) + weight
+                rows.extend([row] * len(seen))
+                found.extend(words[i] for i in seen)
+                occ.extend(n if len(words[i]) >= counts_from else 0 for i, n in seen.items())
+            kept = batch.select(["chunk_id", "doc_id", "tokens"]).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(found, pa.string()), pa.array(occ, pa.int64())],
+                names=["chunk_id", "doc_id", "tokens", "needle", "occ"],
+            )
+
+    ids = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in ("chunk_id", "doc_id"))
+    return lowered(chunks).mapInArrow(scan, f"{ids}, tokens bigint, needle string, occ bigint")
+
+
 def match_postings(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     """Matches of any number of needles (column ``needle``), by n-gram postings.
 
@@ -119,16 +161,23 @@ def match_postings(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def match_needles(chunks: DataFrame, needles: DataFrame, literal_limit: int = LITERAL_NEEDLES) -> DataFrame:
+def match_needles(chunks: DataFrame, needles: DataFrame, how: str = "auto") -> DataFrame:
     """chunk_id, doc_id, tokens, needle, occ for every chunk that holds a needle.
 
-    How it matches is chosen by how many distinct needles there are.
+    ``how``: literal, automaton, postings, or auto by the number of distinct needles (at most
+    ``AUTOMATON_NEEDLES`` of them are looked at here).
     """
     distinct = needles.select("needle").distinct()
-    few = [r["needle"] for r in distinct.limit(literal_limit + 1).collect()]
-    if len(few) <= literal_limit:
-        return match_literal(chunks, sorted(few))
-    return match_postings(chunks, distinct)
+    if how == "auto":
+        listed = [r["needle"] for r in distinct.limit(AUTOMATON_NEEDLES + 1).collect()]
+        how = "literal" if len(listed) <= LITERAL_NEEDLES else "automaton"
+        if len(listed) > AUTOMATON_NEEDLES or (how == "automaton" and find_spec("ahocorasick") is None):
+            how = "postings"
+    elif how != "postings":
+        listed = [r["needle"] for r in distinct.collect()]
+    if how == "postings":
+        return match_postings(chunks, distinct)
+    return (match_literal if how == "literal" else match_automaton)(chunks, sorted(listed))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -152,7 +201,7 @@ def candidates(
     queries_needles: DataFrame,
     visible: DataFrame | None = None,
     stats: DataFrame | None = None,
-    literal_limit: int = LITERAL_NEEDLES,
+    how: str = "auto",
     limit: int = CANDIDATES,
 ) -> DataFrame:
     """query_id, chunk_id, doc_id, bm25: per query the best phrase matches, then short-term matches.
@@ -160,7 +209,7 @@ def candidates(
     ``visible`` (doc_id) restricts the candidates before the cut, not the corpus statistics.
     """
     stats = corpus_stats(chunks) if stats is None else stats
-    pairs = checkpoint(match_needles(chunks, queries_needles, literal_limit))
+    pairs = checkpoint(match_needles(chunks, queries_needles, how))
     found = pairs.groupBy("needle").agg(F.count(F.lit(1)).alias("found"))
     seen = pairs if visible is None else pairs.join(visible.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -244,11 +293,11 @@ def search(
     visible: DataFrame | None = None,
     limit: int = 8,
     stats: DataFrame | None = None,
-    literal_limit: int = LITERAL_NEEDLES,
+    how: str = "auto",
 ) -> DataFrame:
     """Ranked keyword hits: query_id, rank (from 1), chunk_id, doc_id, page, title, heading, snippet, score."""
-    plans = query_plans(queries)
-    cands = candidates(chunks, query_needles(plans), visible, stats, literal_limit)
+    plans = checkpoint(query_plans(queries))
+    cands = candidates(chunks, query_needles(plans), visible, stats, how)
     scored = score_candidates(cands, chunks, plans)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "ord", "chunk_id")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -275,7 +324,7 @@ def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(facts, "chunk_id")
 
 
-def unmentioned_parts(questions: DataFrame, chunks: DataFrame, literal_limit: int = LITERAL_NEEDLES) -> DataFrame:
+def unmentioned_parts(questions: DataFrame, chunks: DataFrame, how: str = "auto") -> DataFrame:
     """Part numbers in questions that no chunk mentions in any spelling: query_id, part, ord.
 
     Shelves and collections do not matter here.
@@ -284,5 +333,5 @@ def unmentioned_parts(questions: DataFrame, chunks: DataFrame, literal_limit: in
     spelled = parts.select("part").distinct().select(
         "part", F.explode(F.transform(T.part_spellings("part"), lambda s: F.lower(s))).alias("needle")
     )
-    mentioned = spelled.join(match_needles(chunks, spelled, literal_limit), "needle", "left_semi")
+    mentioned = spelled.join(match_needles(chunks, spelled, how), "needle", "left_semi")
     return parts.join(mentioned, "part", "left_anti").select("query_id", "part", "ord")

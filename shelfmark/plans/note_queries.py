@@ -8,6 +8,7 @@ from shelfmark.operators import chunking, dialogue, evaluation as E, fusion, key
 from shelfmark.plans import tables as B
 from shelfmark.plans.registry import register
 from shelfmark.plans.search_queries import search_sql
+from shelfmark.session import checkpoint
 
 # Every document as a note file: front matter by its labels, then links and citations of others.
 # Ids of other documents are cut out of the note's own, so some exist and some do not.
@@ -261,7 +262,7 @@ def line_pages(spark, sf):
     titled = F.concat(F.lit("# Order "), F.col("doc_id").cast("string"), F.lit(f"\n\nLines\n\n{HEAD}\n{RULE}\n"), row)
     end = F.when((F.col("f") == "N") & (F.col("s") == "F"), "\n\nEnd of list.").otherwise("")
     text = F.concat(F.when(head, titled).otherwise(F.concat(row, F.lit(f"\n{RULE}"))), end)
-    return lines.select("doc_id", (F.col("page") - 1).cast("bigint").alias("seq"), "page", text.alias("markdown"))
+    return checkpoint(lines.select("doc_id", (F.col("page") - 1).cast("bigint").alias("seq"), "page", text.alias("markdown")))
 
 
 LINES_SQL = """l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_partkey) AS p, CAST(min(l_quantity) AS INT) AS q, min(l_returnflag) AS f, min(l_linestatus) AS s FROM lineitem GROUP BY ALL),
@@ -292,8 +293,9 @@ def paged_chunks(spark, sf):
 )
 def carried_reading(spark, sf):
     """Page ranges as they are read: running tables with their header."""
-    p = chunking.with_carried_headers(line_pages(spark, sf))
-    own = line_pages(spark, sf).withColumnRenamed("markdown", "own")
+    pages = line_pages(spark, sf)
+    p = chunking.with_carried_headers(pages)
+    own = pages.withColumnRenamed("markdown", "own")
     both = p.join(own, ["doc_id", "seq", "page"]).filter("own <> markdown")
     return both.select("doc_id", "page", F.length("markdown").cast("bigint").alias("chars"))
 
@@ -335,7 +337,7 @@ def question_lines(spark, sf):
     )
     items = b.select("item_id", F.lower("text").alias("needle"))
     gold = (
-        keyword.match_needles(whole, items, literal_limit=512)
+        keyword.match_needles(whole, items)
         .join(items, "needle")
         .groupBy("item_id")
         .agg(F.array_join(F.sort_array(F.collect_list("doc_id")), "; ").alias("gold"))
@@ -361,8 +363,6 @@ MODES = ["keyword", "hybrid", "semantic"]
 
 
 def eval_ranks_frame(spark, sf):
-    from shelfmark.session import checkpoint
-
     q = checkpoint(E.parse_questions(question_lines(spark, sf)).withColumnRenamed("line", "query_id"))
     chunks = B.chunks(spark, sf)
     kw = checkpoint(keyword.search(chunks, q.select("query_id", F.col("question").alias("query")), limit=fusion.LIST_LENGTH).select("query_id", "chunk_id", "rank"))
