@@ -259,3 +259,9 @@ def window_text(text: Column | str, offset: int = 0, width: int = 30000) -> Colu
         F.substring(text, offset + 1, width).alias("text"),
         (F.length(text) > offset + width).alias("truncated"),
     )
+
+
+def hit_line(rank: Column, title: Column, page: Column, doc_id: Column, marks: list[Column], snippet: Column) -> Column:
+    """A hit as two lines: number, citation, id and its marks (nulls left out), then the snippet."""
+    head = F.concat(rank.cast("string"), F.lit(". "), citation(title, page), F.lit(" id="), doc_id.cast("string"))
+    return F.concat(F.concat_ws(" · ", head, *marks), F.lit("\n   "), snippet)

@@ -94,6 +94,27 @@ def locate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by(whole, first).alias("r")).select("doc_id", "r.*")
 
 
+def reachable(rows: DataFrame, shelves: DataFrame, used: list[str] | None) -> DataFrame:
+    """Whether each located document (doc_id, scope) may be seen: a project's own, or global ones on no or a used shelf."""
+    if used is None:
+        return rows.withColumn("seen", F.lit(True))
+    placed = shelves.groupBy("doc_id").agg(F.max(F.lower("shelf").isin([u.lower() for u in used])).alias("_used"))
+    seen = (F.col("scope") == "project") | F.coalesce("_used", F.lit(True))
+    return rows.join(placed, "doc_id", "left").withColumn("seen", seen).drop("_used")
+
+
+def change_collection(docs: DataFrame, ids: DataFrame, to: str) -> DataFrame:
+    """Documents made notes, or notes documents."""
+    hit = ids.select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    kind = "note" if to == "wiki" else "text"
+    return (
+        docs.join(hit, "doc_id", "left")
+        .withColumn("collection", F.when(F.col("_hit"), to).otherwise(F.col("collection")))
+        .withColumn("kind", F.when(F.col("_hit"), kind).otherwise(F.col("kind")))
+        .select(docs.columns)
+    )
+
+
 def ocr_backlog(docs: DataFrame, ocr_pending: DataFrame) -> DataFrame:
     return docs.join(ocr_pending.select("doc_id"), "doc_id", "left_semi").orderBy("added_at", "doc_id")
 

@@ -83,6 +83,24 @@ def located(spark, sf):
     return C.locate(C.scoped(*_scopes(spark, sf))).select("doc_id", "scope", "title")
 
 
+@register(
+    "reachable_documents",
+    f"{WITH} SELECT doc_id, CAST(collection = 'wiki' OR {NONE} OR doc_id IN (SELECT doc_id FROM shelves WHERE lower(shelf) = 'src7') AS INT) AS seen FROM docs",
+)
+def reachable_documents(spark, sf):
+    rows = C.locate(C.scoped(*_scopes(spark, sf)))
+    return C.reachable(rows, B.shelves(spark, sf), ["SRC7"]).select("doc_id", F.col("seen").cast("int").alias("seen"))
+
+
+@register(
+    "changed_collections",
+    f"{WITH} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM pending) THEN 'wiki' ELSE collection END AS collection, "
+    "CASE WHEN doc_id IN (SELECT doc_id FROM pending) THEN 'note' ELSE kind END AS kind FROM docs",
+)
+def changed_collections(spark, sf):
+    return C.change_collection(B.docs(spark, sf), B.ocr_pending(spark, sf), "wiki").select("doc_id", "collection", "kind")
+
+
 def _tables(spark, sf):
     return {
         "docs": B.docs(spark, sf).select("doc_id", "title"),

@@ -236,6 +236,30 @@ def titles_like(spark, sf):
     return similarity.similar_to(asked, parts).withColumn("score", F.round("score", 6))
 
 
+@register(
+    "similar_notes",
+    f"""WITH {B.CHUNKS}, {B.DOCS}, {DICE_SQL.replace("t AS (", "pt AS (", 1).replace("FROM t)", "FROM pt)")}, asked AS (SELECT * FROM (VALUES (1, 'Small-Widgets'), (2, 'old red plates'), (3, 'hot gizmo!'), (4, 'anvil, large')) v(query_id, title)),
+  q AS (SELECT query_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS BIGINT), 2))) AS q
+    FROM (SELECT query_id, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM asked)),
+  p AS (SELECT p_partkey AS doc_id, g FROM part JOIN g ON g.t = regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}]+', '', 'g')),
+  alike AS (SELECT query_id, doc_id, 0 AS tier, -2.0 * len(list_intersect(q, g)) / (len(q) + len(g)) AS place, NULL AS match FROM q, p WHERE 2.0 * len(list_intersect(q, g)) / (len(q) + len(g)) >= 0.7),
+  found AS (SELECT label + 1 AS query_id, vec_id AS doc_id, 1 AS tier, vec_id AS place, 'both' AS match FROM embeddings
+    WHERE label < 4 AND embedding[1] > 0 AND vec_id IN (SELECT p_partkey FROM part)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, place, doc_id) AS pos FROM (SELECT query_id, doc_id, min(tier) AS tier, arg_min(place, tier) AS place, arg_min(coalesce(match, ''), tier) AS match
+    FROM (SELECT * FROM alike UNION ALL SELECT * FROM found) GROUP BY query_id, doc_id))
+  SELECT query_id, pos, doc_id, CASE WHEN tier = 0 THEN 'title' ELSE 'search' END AS why, CASE WHEN tier = 1 THEN match END AS match FROM o WHERE pos <= 60""",
+)
+def similar_notes(spark, sf):
+    """Parts as notes; vector labels say which search found which note, some by meaning alone."""
+    asked = spark.createDataFrame(ASKED_TITLES, "query_id bigint, title string").withColumn("exclude", F.lit(None).cast("bigint"))
+    parts = B.read(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"))
+    found = B.read(spark, sf, "embeddings").select(
+        (F.col("label") + 1).cast("bigint").alias("query_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("rank"),
+        F.when(F.get("embedding", F.lit(0)) > 0, "both").otherwise("semantic").alias("match"),
+    )
+    return similarity.similar_notes(asked, parts, found, has_floor=False, limit=60)
+
+
 @register(
     "mutual_neighbours",
     """WITH s AS (SELECT a.vec_id AS id, b.vec_id AS best, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score

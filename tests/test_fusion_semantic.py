@@ -42,13 +42,13 @@ def test_searches_merge(spark):
     assert F_.with_fallback(found, none.unionByName(found)).count() == 2
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_nearest_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block, shared", [(7, 3), (1000, 3), (7, 100)])
+def test_nearest_equals_brute_force(spark, block, shared):
     rng = np.random.default_rng(0)
     items, asked = rng.normal(size=(60, 5)), rng.normal(size=(9, 5))
     vec = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(items)] + [(99, [1.0])], "chunk_id long, vec array<float>")
     q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id long, vec array<float>")
-    got = S.nearest(q, vec, 4, vector_block=block, query_block=2).collect()
+    got = S.nearest(q, vec, 4, vector_block=block, query_block=2, shared_queries=shared).collect()
     for i, v in enumerate(asked):
         want = list(np.argsort(-(items.astype("f4").astype("f8") @ v.astype("f4").astype("f8")))[:4])
         assert [r["chunk_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == want
