@@ -15,6 +15,7 @@ WITH = f"WITH {B.DOCS}, {B.SHELVES}, {B.PENDING}"
     "stats",
     f"{WITH} SELECT sum(CAST(collection = 'docs' AS BIGINT)) AS docs, sum(CAST(collection = 'wiki' AS BIGINT)) AS wiki, "
     "sum(coalesce(pages, 0)) AS pages FROM docs",
+    big=["docs", "wiki", "pages"],
 )
 def stats(spark, sf):
     return C.stats(B.docs(spark, sf))
@@ -30,6 +31,7 @@ def newest_notes(spark, sf):
     "shelf_counts",
     f"{WITH} SELECT shelf AS name, sum(CAST(collection = 'docs' AS BIGINT)) AS docs, sum(CAST(collection = 'wiki' AS BIGINT)) AS notes, "
     "CAST(lower(shelf) IN ('src3', 'flagged') AS INT) AS used FROM shelves JOIN docs USING (doc_id) GROUP BY shelf",
+    big=["docs", "notes"],
 )
 def shelf_counts(spark, sf):
     s = C.shelf_list(B.docs(spark, sf), B.shelves(spark, sf), ["SRC3", "Flagged"])
@@ -250,6 +252,7 @@ def list_page(spark, sf):
     "list_header",
     f"{WITH} SELECT docs, notes, 101 AS first, least(docs + notes, 200) AS last, docs + notes - least(docs + notes, 200) AS rest FROM "
     "(SELECT sum(CAST(collection = 'docs' AS BIGINT)) AS docs, sum(CAST(collection = 'wiki' AS BIGINT)) AS notes FROM docs)",
+    big=["docs", "notes", "first", "last", "rest"],
 )
 def list_header(spark, sf):
     return C.list_header(B.docs(spark, sf), offset=100)
@@ -298,6 +301,7 @@ def words_list(spark, sf):
   r AS (SELECT collection, title, doc_id, row_number() OVER (PARTITION BY collection ORDER BY added_at DESC, doc_id) AS pos FROM seen)
   SELECT CASE WHEN collection = 'wiki' THEN 'note' ELSE 'recent' END AS part, pos, title, doc_id, docs, wiki, pages,
   (SELECT count(*) FROM docs) - f.docs - f.wiki AS hidden FROM r, f WHERE pos <= CASE WHEN collection = 'wiki' THEN 40 ELSE 15 END""",
+    big=["docs", "wiki", "pages", "hidden"],
 )
 def catalog(spark, sf):
     return C.catalog(B.docs(spark, sf), B.shelves(spark, sf), any_of=["src5"])
@@ -328,6 +332,7 @@ def browse_rows(spark, sf):
     "status",
     f"{WITH}, {B.CHUNKS} SELECT sum(CAST(collection = 'docs' AS BIGINT)) AS docs, sum(CAST(collection = 'wiki' AS BIGINT)) AS wiki, sum(coalesce(pages, 0)) AS pages, "
     "(SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT shelf) FROM shelves) AS shelves, (SELECT count(*) FROM pending) AS reading FROM docs",
+    big=["docs", "wiki", "pages"],
 )
 def status(spark, sf):
     return C.status(B.docs(spark, sf), B.chunks(spark, sf), B.shelves(spark, sf), B.ocr_pending(spark, sf))

@@ -229,6 +229,7 @@ ASKED_TITLES = [(1, "Small-Widgets"), (2, "old red plates"), (3, "hot gizmo!"),
     FROM (SELECT query_id, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM (VALUES (1, 'Small-Widgets'), (2, 'old red plates'), (3, 'hot gizmo!'), (4, 'anvil, large')) v(query_id, title))),
   p AS (SELECT p_partkey AS doc_id, g FROM part JOIN g ON g.t = regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))
   SELECT query_id, doc_id, round(2.0 * len(list_intersect(q, g)) / (len(q) + len(g)), 6) AS score FROM q, p WHERE 2.0 * len(list_intersect(q, g)) / (len(q) + len(g)) >= 0.7""",
+    big=["query_id"],
 )
 def titles_like(spark, sf):
     asked = spark.createDataFrame(ASKED_TITLES, "query_id bigint, title string").withColumn("exclude", F.lit(None).cast("bigint"))
@@ -248,6 +249,7 @@ def titles_like(spark, sf):
   o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, place, doc_id) AS pos FROM (SELECT query_id, doc_id, min(tier) AS tier, arg_min(place, tier) AS place, arg_min(coalesce(match, ''), tier) AS match
     FROM (SELECT * FROM alike UNION ALL SELECT * FROM found) GROUP BY query_id, doc_id))
   SELECT query_id, pos, doc_id, CASE WHEN tier = 0 THEN 'title' ELSE 'search' END AS why, CASE WHEN tier = 1 THEN match END AS match FROM o WHERE pos <= 60""",
+    big=["query_id"],
 )
 def similar_notes(spark, sf):
     """Parts as notes; vector labels say which search found which note, some by meaning alone."""
@@ -296,7 +298,7 @@ LINES_SQL = """l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_pa
   c AS (SELECT *, NOT head AND first_value(head) OVER (PARTITION BY doc_id, island ORDER BY page) AS carried FROM i)"""
 
 
-@register("carried_headers", f"WITH {LINES_SQL} SELECT doc_id, page - 1 AS seq, row, '{HEAD}' AS header FROM c WHERE carried")
+@register("carried_headers", f"WITH {LINES_SQL} SELECT doc_id, page - 1 AS seq, row, '{HEAD}' AS header FROM c WHERE carried", big=["seq"])
 def carried_headers(spark, sf):
     return chunking.carried_table_headers(line_pages(spark, sf)).select("doc_id", "seq", "row", "header")
 
@@ -306,6 +308,7 @@ def carried_headers(spark, sf):
     f"""WITH {LINES_SQL} SELECT doc_id, page, CASE WHEN titled IS NOT NULL THEN 'Order ' || doc_id ELSE '' END AS heading,
   CASE WHEN head THEN '# Order ' || doc_id || chr(10) || chr(10) || 'Lines' || chr(10) || chr(10) || '{HEAD}' || chr(10) || '{RULE}' || chr(10) || row
    WHEN carried THEN '{HEAD}' || chr(10) || '{RULE}' || chr(10) || row ELSE row || chr(10) || '{RULE}' END || CASE WHEN ends THEN chr(10) || chr(10) || 'End of list.' ELSE '' END AS content FROM c""",
+    big=["page"],
 )
 def paged_chunks(spark, sf):
     return chunking.chunk_pages(line_pages(spark, sf)).select("doc_id", "page", "heading", "content")
@@ -329,6 +332,7 @@ def carried_reading(spark, sf):
     f"""WITH {LINES_SQL} SELECT doc_id, md5('<!-- kb:source order ' || doc_id || ' -->' || chr(10) || chr(10) || string_agg('<!-- kb:page ' || page || ' -->' || chr(10) ||
   CASE WHEN q >= 25 THEN '<!-- kb:ocr ' || q || '/50 -->' || chr(10) ELSE '' END || row, chr(10) || chr(10) ORDER BY page) || chr(10)) AS digest,
   count(*) AS pages, sum(CASE WHEN q >= 25 THEN q ELSE 0 END) AS ocr_chars FROM c GROUP BY doc_id""",
+    big=["ocr_chars"],
 )
 def converted_files(spark, sf):
     """Pages written as converted files and read back."""

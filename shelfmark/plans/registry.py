@@ -12,11 +12,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, sql: str | None = None, big: tuple[str, ...] | list[str] = ()) -> Callable[[Query], Query]:
+    """Register a query; ``big`` names SQL columns to read as 64-bit integers, as Spark gives them."""
+
     def add(query: Query) -> Query:
         QUERIES[name] = query
         if sql is not None:
-            SQL[name] = sql
+            casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in big)
+            SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({sql}) AS q" if big else sql
         return query
 
     return add

@@ -80,6 +80,7 @@ def chunk_documents(spark, sf):
   || CASE WHEN start + 360 < length(content) THEN '…' ELSE '' END AS snippet FROM (
   SELECT h.*, greatest(0, coalesce(min(CASE WHEN contains(lower(content), term) THEN instr(lower(content), term) END), 1) - 1 - 120) AS start
   FROM hits h JOIN terms USING (query_id) GROUP BY ALL)""",
+    big=["query_id"],
 )
 def keyword_search(spark, sf):
     h = keyword.search(B.chunks(spark, sf), search_frame(spark))
@@ -94,6 +95,7 @@ VISIBLE_SQL = f"""visible AS (SELECT doc_id FROM docs WHERE collection = 'docs'
     "keyword_search_visible",
     f"WITH {B.DOCS}, {B.SHELVES}, {B.CHUNKS}, {search_sql(QUERIES_SQL, VISIBLE_SQL)} "
     "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits",
+    big=["query_id"],
 )
 def keyword_search_visible(spark, sf):
     """The same searches over documents on no shelf or on the chosen ones; corpus statistics stay whole."""
@@ -108,6 +110,7 @@ def keyword_search_visible(spark, sf):
 @register(
     "bm25_candidates",
     SEARCH_SQL + " SELECT query_id, chunk_id, ord, round(bm25, 6) AS bm25 FROM cands",
+    big=["query_id"],
 )
 def bm25_candidates(spark, sf):
     plans = keyword.query_plans(search_frame(spark))
@@ -119,6 +122,7 @@ def bm25_candidates(spark, sf):
     "document_coverage",
     SEARCH_SQL + " SELECT query_id, doc_id, round(doc_coverage, 6) AS doc_coverage, count(*) AS chunks FROM kept "
     "WHERE score > 0 AND (n < 2 OR coverage > 0.5 + 1e-9 OR (coverage >= 0.5 - 1e-9 AND doc_coverage > 0.5 + 1e-9)) GROUP BY ALL",
+    big=["query_id"],
 )
 def document_coverage(spark, sf):
     chunks = B.chunks(spark, sf)
@@ -148,6 +152,7 @@ def corpus_facts(spark, sf):
   ('ESP32C3', 'esp 32c3'), ('ESP32C3', 'esp32-c3'), ('ESP32C3', 'esp32 c3'), ('ESP32C3', 'esp32c-3'), ('ESP32C3', 'esp32c 3'),
   ('thedge4', 'thedge4'), ('thedge4', 'thedge-4'), ('thedge4', 'thedge 4'))
   SELECT query_id, part FROM asked WHERE part NOT IN (SELECT part FROM spelled, chunks WHERE contains(lower(title), s) OR contains(lower(content), s))""",
+    big=["query_id"],
 )
 def unmentioned_parts(spark, sf):
     asked = spark.createDataFrame(ASKED_PARTS, "query_id bigint, query string")
@@ -225,6 +230,7 @@ def vector_progress(spark, sf):
     f"""WITH {B.CHUNKS} SELECT count(*) AS vectors, sum(CAST(label < 4 AS BIGINT)) AS remade FROM (
   SELECT label FROM embeddings WHERE label >= 4 UNION ALL SELECT label FROM embeddings WHERE label < 4
   AND vec_id * 16777216 IN (SELECT chunk_id FROM chunks))""",
+    big=["remade"],
 )
 def put_vectors(spark, sf):
     """Vectors of half the labels made again: those whose chunk still has its text replace the old ones."""
@@ -327,6 +333,7 @@ def _scope_sql(limit: int) -> str:
     "merged_scopes",
     _scope_sql(8) + """ SELECT query_id, scope, chunk_id, merged AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY m DESC, scope DESC, rank, chunk_id) AS merged FROM scoped) WHERE merged <= 8""",
+    big=["query_id"],
 )
 def merged_scopes(spark, sf):
     project, everywhere = _scope_hits(spark, sf, 8)
@@ -370,6 +377,7 @@ def answer_passages(spark, sf):
     "result_groups",
     f"""WITH {B.DOCS}, {B.CHUNKS}, {search_sql(QUERIES_SQL, limit=40)} SELECT query_id, collection, d.source, min(rank) AS rank, count(*) AS hits
   FROM hits JOIN docs d USING (doc_id) GROUP BY ALL""",
+    big=["query_id"],
 )
 def result_groups(spark, sf):
     from shelfmark.operators.catalog import result_groups as grouped

@@ -72,6 +72,7 @@ def source_kinds(spark, sf):
   sum(CAST(native >= 200 AND cjk < 3 AS BIGINT)) AS without_cjk FROM (SELECT lang,
   length(regexp_replace(text, '\\s', '', 'g')) AS native,
   len(regexp_extract_all(text, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}\\x{ac00}-\\x{d7af}]')) AS cjk FROM documents) GROUP BY lang""",
+    big=["with_text", "without_cjk"],
 )
 def ocr_languages(spark, sf):
     d = B.read(spark, sf, "documents")
