@@ -16,15 +16,15 @@ from shelfmark.operators.chunking import chunk_texts
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXTS = {
-    "k-1": ("xr100.md", "docs", "# Supply\n\n供电电压范围 2.7V 到 3.6V"),
-    "k-2": ("spi.md", "docs", "# SPI\n\nConfigure the SPI clock divider before use."),
+    "k-1": ("qt310.md", "docs", "# Limits\n\n工作温度范围 -40 到 85"),
+    "k-2": ("can.md", "docs", "# CAN\n\nSet up CAN bus arbitration before use."),
     "k-3": ("flash.md", "docs", "# Flash\n\nErase a sector, then program it."),
     "w-1": ("Lunch", "wiki", "# Lunch\n\nNoodles at noon."),
 }
 
 
 def embed(texts):
-    concepts = ["电压|伏|voltage|volt", "spi|时钟|clock|分频|divider", "擦除|烧录|erase|flash"]
+    concepts = ["温度|heat|warm", "can|总线|bus|arbitration", "擦|写入|erase|flash"]
     return np.array([[len(re.findall(c, t.lower())) for c in concepts] + [0.01] for t in texts], dtype=float)
 
 
@@ -44,7 +44,7 @@ def asked(spark, *texts):
 
 
 def test_find_crosses_languages(spark, base):
-    q = asked(spark, "supply volt", "SPI clock", "擦除")
+    q = asked(spark, "operating heat", "CAN bus", "擦除")
     rows = base.find(q).orderBy("query_id", "rank").collect()
     got = {i: [(r["doc_id"], r["match"]) for r in rows if r["query_id"] == i] for i in range(3)}
     assert got == {0: [("k-1", "semantic")], 1: [("k-2", "both")], 2: [("k-3", "semantic")]}
@@ -53,7 +53,7 @@ def test_find_crosses_languages(spark, base):
 
 
 def test_shelves_and_collections(spark, base):
-    q = asked(spark, "spi", "noodles")
+    q = asked(spark, "arbitration", "noodles")
     assert [r["doc_id"] for r in base.search(q, any_of=[]).collect()] == ["w-1"]
     assert [r["doc_id"] for r in base.search(q, only="boards").collect()] == ["k-2"]
     assert [r["doc_id"] for r in base.search(q, collection="wiki").collect()] == ["w-1"]
@@ -61,15 +61,15 @@ def test_shelves_and_collections(spark, base):
 
 def test_library_and_answer(spark, base):
     lib = Library(base, project=base, shelves=["other"])
-    hits = lib.search(asked(spark, "spi"))
+    hits = lib.search(asked(spark, "arbitration"))
     assert [r["scope"] for r in hits.collect()] == ["project"]
-    assert [r["scope"] for r in lib.search(asked(spark, "spi"), shelf="Boards").collect()] == ["global"]
-    assert [r["part"] for r in lib.unmentioned(asked(spark, "NX-999 or xr100?")).collect()] == ["NX-999"]
+    assert [r["scope"] for r in lib.search(asked(spark, "arbitration"), shelf="Boards").collect()] == ["global"]
+    assert [r["part"] for r in lib.unmentioned(asked(spark, "QT-550 or qt310?")).collect()] == ["QT-550"]
 
     def model(system, text, limit):
-        return '{"queries": ["clock divider", "erase sector"]}' if system == "plan" else "Set it [2], see [1][9]."
+        return '{"queries": ["bus arbitration", "erase sector"]}' if system == "plan" else "Set it [2], see [1][9]."
 
     none = spark.createDataFrame([], "doc_id string")
-    got = Library(base).ask(spark, "how do I set the SPI clock, or erase a sector?", model, "plan", "answer", none)
+    got = Library(base).ask(spark, "how do I set the CAN bus, or erase a sector?", model, "plan", "answer", none)
     assert got["answer"] == "Set it [1], see [2]."
-    assert [(s["n"], s["title"]) for s in got["sources"]] == [(1, "flash.md"), (2, "spi.md")]
+    assert [(s["n"], s["title"]) for s in got["sources"]] == [(1, "flash.md"), (2, "can.md")]

@@ -16,21 +16,21 @@ T0 = dt.datetime(2024, 5, 1)
 
 
 def test_questions(spark):
-    lines = ["# comment", "", "芯片最高电压 | xr100-manual.pdf p.1", "SPI 分频 | xr100-manual.pdf p2； SPI 时钟分频踩坑", "a | b | Manual.PDF", "午饭 | -", "no answer column", "| missing question"]
+    lines = ["# comment", "", "最高温度 | qt310-guide.pdf p.1", "仲裁 优先级 | qt310-guide.pdf p2； CAN 总线仲裁踩坑", "a | b | Guide.PDF", "天气 | -", "nothing after", "| nothing before"]
     df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(lines)], "line int, text string")
     rows = E.parse_questions(df).orderBy("line").collect()
     good = [(r["line"], r["question"], [(e["doc"], e["page"]) for e in r["expected"]]) for r in rows if not r["bad"]]
     assert good == [
-        (3, "芯片最高电压", [("xr100-manual.pdf", 1)]), (4, "SPI 分频", [("xr100-manual.pdf", 2), ("SPI 时钟分频踩坑", None)]),
-        (5, "a | b", [("Manual.PDF", None)]), (6, "午饭", []),
+        (3, "最高温度", [("qt310-guide.pdf", 1)]), (4, "仲裁 优先级", [("qt310-guide.pdf", 2), ("CAN 总线仲裁踩坑", None)]),
+        (5, "a | b", [("Guide.PDF", None)]), (6, "天气", []),
     ]
     assert [r["line"] for r in rows if r["bad"]] == [7, 8]
 
 
 def test_metrics(spark):
-    q = spark.createDataFrame([(1, [("xr100", 2)]), (2, [("k-9", None)]), (3, [])], "query_id long, expected array<struct<doc:string,page:int>>")
+    q = spark.createDataFrame([(1, [("qt310", 2)]), (2, [("k-9", None)]), (3, [])], "query_id long, expected array<struct<doc:string,page:int>>")
     hits = spark.createDataFrame(
-        [("keyword", 1, 1, "k-1", "XR100-Manual.pdf", 1), ("keyword", 1, 2, "k-1", "XR100-Manual.pdf", 2)],
+        [("keyword", 1, 1, "k-1", "QT310-Guide.pdf", 1), ("keyword", 1, 2, "k-1", "QT310-Guide.pdf", 2)],
         "mode string, query_id long, rank long, doc_id string, title string, page int",
     )
     ranked = E.ranks(q, hits, ["keyword"])
@@ -41,8 +41,8 @@ def test_metrics(spark):
 
 
 def test_shell_writes(one):
-    writes = ["sed -i '' 's/a/b/' f.js", "echo x > f.txt", "cat a | tee b", "mv a b", "perl -pi -e 's/a/b/' f", "p.write_text(x)"]
-    reads = ["npm test 2>&1", "ls -la", "grep -n x f.js", "node app.js >/dev/null"]
+    writes = ["sed -i 's/x/y/' m.py", "echo hi > out.log", "ls | tee list", "cp m n", "perl -pi -e 's/x/y/' m", "p.write_text(x)"]
+    reads = ["make all 2>&1", "ls -la", "grep -n y m.py", "python t.py >/dev/null"]
     assert all(one({"c": w}, D.shell_writes("c")) for w in writes) and not any(one({"c": r}, D.shell_writes("c")) for r in reads)
 
 
@@ -71,7 +71,7 @@ def test_nudges(spark):
             run_of("user|fix", "fail|bash", "ok|read", "ok|write"),
             run_of("user|fix", "fail|bash|1", "call|bash|2|sed -i x f", "ok|bash|2"),
         ],
-        "told": [run_of("user|From now on use pnpm"), run_of("user|以后用中文", "fail|bash")],
+        "told": [run_of("user|From now on use tabs"), run_of("user|以后用空格", "fail|bash")],
         None: [
             run_of("user|rename", "ok|edit"), run_of("user|x", "ok|edit", "fail|bash"), run_of("user|fix", "fail|bash", "ok|edit", "user|thanks"),
             run_of("user|fix", "fail|bash", "ok|edit", "call|kb_note"), run_of("user|fix", "fail|bash", "ok|edit", "custom"),
@@ -119,12 +119,12 @@ def test_versions_and_titles(spark):
 
 
 def test_listing(spark):
-    rows = [(f"k{i}", f"d{i}.pdf", "docs", f"/x/{'ESP32' if i < 5 else 'sensors'}/d{i}.pdf", 12, T0) for i in range(7)]
-    docs = spark.createDataFrame(rows + [("w1", "SPI", "wiki", "wiki/spi.md", None, T0)], DOC)
-    assert [r["title"] for r in C.list_page(docs, offset=6).collect()] == ["d6.pdf", "SPI"]
+    rows = [(f"k{i}", f"d{i}.pdf", "docs", f"/x/{'boards' if i < 5 else 'sensors'}/d{i}.pdf", 12, T0) for i in range(7)]
+    docs = spark.createDataFrame(rows + [("w1", "CAN", "wiki", "wiki/spi.md", None, T0)], DOC)
+    assert [r["title"] for r in C.list_page(docs, offset=6).collect()] == ["d6.pdf", "CAN"]
     assert C.list_header(docs, offset=0, limit=3).first().asDict() == {"docs": 7, "notes": 1, "first": 1, "last": 3, "rest": 5}
     groups = C.top_groups(docs.withColumn("f", C.folder_of("source")), "f").collect()
-    assert [(r["name"], r["n"]) for r in groups] == [("ESP32", 5), ("sensors", 2)]
+    assert [(r["name"], r["n"]) for r in groups] == [("boards", 5), ("sensors", 2)]
     assert C.matching(docs, " Sensors ").count() == 2
     assert [r["doc_id"] for r in C.match_docs(docs, "K3").collect()] == ["k3"]
     assert C.match_docs(docs, "  ").count() == 8
