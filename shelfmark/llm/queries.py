@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, language, packing, token_counts
+from shelfmark.llm import bpe, language, order_minhash, packing, quality, token_counts
 from shelfmark.llm.common import documents
 
 SQL: dict[str, str] = {}
@@ -17,6 +17,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_count_query(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_query(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_query(spark, sf_dir)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_query(spark, sf_dir)
 
