@@ -79,7 +79,7 @@ class Bpe:
     def _rank(self, key: int) -> int:
         """The rank of two neighbouring tokens (left << 32 | right) joined, or -1; remembered in ``pairs``."""
         left, right = key >> 32, key & 0xFFFFFFFF
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
         known = left != BORDER and right != BORDER
         rank = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1) if known else -1
@@ -183,14 +183,18 @@ def _bpe(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add each text's ids (binary, little-endian unsigned 32-bit) by the ranks in ``path``, split by ``pattern``.
 
+    With ``decoded``, also a column of that name with the bytes that the ids decode to, made by the same worker, which
+    so holds one table of tokens for both ways.
+
     Null and empty texts have no ids. Special strings are ordinary text. Every row and column is kept (a column called
     ``out`` is replaced); repeated rows are encoded alike. No shuffle; a worker keeps a bounded memory of pieces.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop(out)
+    added = [out, decoded] if decoded else [out]
+    docs = docs.drop(*added)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +208,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                     last += 1
                 found += bpe.encode(rows[first:last])
                 first = last
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*names, out])
+            more = [found, [bpe.decode(ids) for ids in found]] if decoded else [found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.binary()) for x in more)], [*names, *added])
 
-    return docs.mapInArrow(run, plus(docs.schema, **{out: "binary"}))
+    return docs.mapInArrow(run, plus(docs.schema, **dict.fromkeys(added, "binary")))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -226,7 +231,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
 def bpe_query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: its number of tokens and the digests of its ids and of the bytes they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    both = encode(docs.select("doc_id", "text"), path, pattern, decoded="decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

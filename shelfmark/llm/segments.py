@@ -56,7 +56,7 @@ class PieceCache:
     at most twice ``most`` pieces are held.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 100_000):
         self.encode, self.most = encode, most
         self.young: dict = {}
         self.old: dict = {}
