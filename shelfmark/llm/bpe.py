@@ -44,6 +44,17 @@ class RankQueue:
             self.top |= 1 << rank // WIDTH
         bucket.append(position)
 
+    def fill(self, ranks: list[int]) -> None:
+        """Queue each position under its rank, if it has one (0 or more)."""
+        buckets, used = self.buckets, set()
+        for position, rank in enumerate(ranks):
+            if rank >= 0:
+                buckets[rank].append(position)
+                used.add(rank)
+        for rank in used:
+            self.low[rank // WIDTH] |= 1 << rank % WIDTH
+            self.top |= 1 << rank // WIDTH
+
     def first(self) -> int:
         """The lowest rank that has entries, or -1."""
         if not self.top:
@@ -73,7 +84,7 @@ class Bpe:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(max(self.tokens) + 1)
         self.pairs: dict[int, int] = {}
-        self.tokens_seen = PieceCache(self._encode_tokens)
+        self.tokens_seen = PieceCache(self._encode_tokens, 250_000)
         self.cache = PieceCache(self._encode_pieces)
 
     def _rank(self, key: int) -> int:
@@ -94,14 +105,13 @@ class Bpe:
             ids.append(BORDER)
         n = len(ids)
         follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = self.queue
-        pair = [-1] * n  # the rank that a live position is queued under
-        for i in range(n - 1):
-            key = ids[i] << 32 | ids[i + 1]
-            rank = pairs[key] if key in pairs else rank_of(key)
-            if rank >= 0:
-                pair[i] = rank
-                queue.push(rank, i)
+        queue, push = self.queue, self.queue.push
+        pair = []  # the rank that a live position is queued under
+        for left, right in zip(ids, ids[1:]):
+            key = left << 32 | right
+            pair.append(pairs[key] if key in pairs else rank_of(key))
+        pair.append(-1)
+        queue.fill(pair)
         while (rank := queue.first()) >= 0:
             entries = queue.take(rank)
             if len(entries) > 1:
@@ -116,18 +126,18 @@ class Bpe:
                 new = pair[i] = pairs[key] if key in pairs else rank_of(key)
                 lower = False
                 if new >= 0:
-                    queue.push(new, i)
+                    push(new, i)
                     lower = new <= rank
                 if left >= 0:
                     key = ids[left] << 32 | rank
                     new = pair[left] = pairs[key] if key in pairs else rank_of(key)
                     if new >= 0:
-                        queue.push(new, left)
+                        push(new, left)
                         lower |= new <= rank
                 if lower:  # what has just come up goes first: back with the rest of this bucket
                     for rest in entries[k + 1 :]:
                         if pair[rest] == rank:
-                            queue.push(rank, rest)
+                            push(rank, rest)
                     break
         out, start = [], 0
         for token in pre_tokens:
@@ -139,12 +149,12 @@ class Bpe:
             start = end + 1
         return out
 
-    def _encode_tokens(self, batch: list[bytes]) -> list[bytes]:
+    def _encode_tokens(self, batch: list[str]) -> list[bytes]:
         """The ids of each pre-token; one that is a token itself has that one id."""
         ranks = self.ranks
-        whole = {t: ranks[t].to_bytes(4, "little") for t in batch if t in ranks}
-        parts = self._merged([t for t in batch if t not in whole])
-        return [whole[t] if t in whole else next(parts) for t in batch]
+        plain = [t.encode() for t in batch]
+        parts = self._merged([t for t in plain if t not in ranks])
+        return [ranks[t].to_bytes(4, "little") if t in ranks else next(parts) for t in plain]
 
     def _merged(self, batch: list[bytes]) -> Iterator[bytes]:
         """The ids of pre-tokens that have to be merged, about 100,000 bytes in one list."""
@@ -160,7 +170,7 @@ class Bpe:
 
     def _encode_pieces(self, batch: list[str]) -> list[bytes]:
         split = self.split
-        cut = [[p.encode() for p in split(piece)] for piece in batch]
+        cut = [split(piece) for piece in batch]
         known = self.tokens_seen.lookup(set().union(*cut))
         return [b"".join([known[token] for token in found]) for found in cut]
 

@@ -64,13 +64,17 @@ class PieceCache:
     def lookup(self, keys: set) -> dict:
         """The ids of all keys; what neither generation knows is encoded."""
         young, old = self.young, self.old
-        fresh = keys - young.keys()
+        fresh = keys.difference(young)
         if fresh:
-            found = {k: old[k] for k in fresh & old.keys()}
-            missing = list(fresh - found.keys())
+            missing = []
+            for key in fresh:
+                found = old.get(key)
+                if found is None:
+                    missing.append(key)
+                else:
+                    young[key] = found
             if missing:
-                found.update(zip(missing, self.encode(missing), strict=True))
-            young.update(found)
+                young.update(zip(missing, self.encode(missing), strict=True))
         if len(young) > self.most:
             self.young, self.old = {}, young
         return young
