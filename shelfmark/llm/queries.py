@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, language, order_minhash, packing, quality, token_counts
+from shelfmark.llm import bpe, language, order_minhash, packing, quality, token_counts, toxicity
 from shelfmark.llm.common import documents
 
 SQL: dict[str, str] = {}
@@ -25,6 +25,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_query(spark, sf_dir)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(spark, sf_dir)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_query(spark, sf_dir)
 
