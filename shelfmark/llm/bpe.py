@@ -84,8 +84,8 @@ class Bpe:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(max(self.tokens) + 1)
         self.pairs: dict[int, int] = {}
-        self.tokens_seen = PieceCache(self._encode_tokens, 200_000)
-        self.cache = PieceCache(self._encode_pieces, 150_000)
+        self.tokens_seen = PieceCache(self._encode_tokens, 400_000)
+        self.cache = PieceCache(self._encode_pieces, 200_000)
 
     def _rank(self, key: int) -> int:
         """The rank of two neighbouring tokens (left << 32 | right) joined, or -1; remembered in ``pairs``."""
