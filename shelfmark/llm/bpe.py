@@ -80,12 +80,16 @@ class Bpe:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        spellings = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        self.spelled = np.frombuffer(b"".join(spellings), np.uint8)
+        self.widths = np.array([len(t) for t in spellings], np.int64)
+        self.places = np.cumsum(self.widths) - self.widths
         self.split = regex.compile(pattern).findall
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(max(self.tokens) + 1)
         self.pairs: dict[int, int] = {}
-        self.tokens_seen = PieceCache(self._encode_tokens, 400_000)
-        self.cache = PieceCache(self._encode_pieces, 200_000)
+        self.tokens_seen = PieceCache(self._encode_tokens, 500_000)
+        self.cache = PieceCache(self._encode_pieces, 250_000)
 
     def _rank(self, key: int) -> int:
         """The rank of two neighbouring tokens (left << 32 | right) joined, or -1; remembered in ``pairs``."""
@@ -170,7 +174,8 @@ class Bpe:
 
     def _encode_pieces(self, batch: list[str]) -> list[bytes]:
         split = self.split
-        cut = [split(piece) for piece in batch]
+        # A blank and plain letters are one pre-token in any case.
+        cut = [[piece] if piece.isascii() and piece[0] == " " and piece[1:].isalpha() else split(piece) for piece in batch]
         known = self.tokens_seen.lookup(set().union(*cut))
         return [b"".join([known[token] for token in found]) for found in cut]
 
@@ -180,8 +185,11 @@ class Bpe:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for."""
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        found = np.frombuffer(ids, dtype="<u4")
+        widths = self.widths[found]
+        ends = np.cumsum(widths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.places[found] - (ends - widths), widths)
+        return self.spelled[at].tobytes()
 
 
 _loaded: dict[tuple[str, str], Bpe] = {}
