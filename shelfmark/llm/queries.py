@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, language, order_minhash, packing, quality, token_counts, toxicity
+from shelfmark.llm import bpe, jaccard_join, language, order_minhash, packing, quality, token_counts, toxicity
 from shelfmark.llm.common import documents
 
 SQL: dict[str, str] = {}
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_count_query(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
