@@ -36,6 +36,8 @@ LONGEST = 48
 #: Least likeness of a unit to itself: that of three letters side by side. Shorter units score the bias.
 SMALLEST = 1.0
 MARK = 27
+#: Training rows, and units, whose features are held at once.
+BLOCK = 256
 
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -170,43 +172,50 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = R
     if not len(rows) or labels.min() == labels.max():
         share = float(labels.mean()) if len(rows) else 0.0
         return ToxicityModel(np.zeros(1 << 15, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    data, offsets = buffer_of(pa.array([t for t, _ in rows], pa.string()))
-    classes, first, bounds = units(data, offsets)
-    ends = np.append(first[1:], len(data))
-    unit_row = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    blocks = []  # (labels, bytes, offsets of rows, classes, starts of units, unit offsets of rows)
+    for at in range(0, len(rows), BLOCK):
+        data, offsets = buffer_of(pa.array([t for t, _ in rows[at : at + BLOCK]], pa.string()))
+        blocks.append((labels[at : at + BLOCK], data, offsets, *units(data, offsets)))
     # First guess: how much more often a feature is in toxic than in clean documents.
-    row_of_byte = np.repeat(np.arange(len(rows)), np.diff(offsets))
-    held = np.unique(np.concatenate([row_of_byte[at] * (1 << 15) + feature for _, at, feature in occurrences(classes, first)]))
-    counts = [np.bincount(held[labels[held >> 15] == y] & 0x7FFF, minlength=1 << 15) for y in (0, 1)]
+    counts = np.zeros((2, 1 << 15))
+    for label, _, offsets, classes, first, _ in blocks:
+        row_of = np.repeat(np.arange(len(label)), np.diff(offsets))
+        seen = np.zeros((len(label), 1 << 15), bool)
+        for _, at, feature in occurrences(classes, first):
+            seen[row_of[at], feature] = True
+        counts += [seen[label == y].sum(axis=0) for y in (0, 1)]
     odds = np.log((counts[1] + 0.5) / (labels.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - labels).sum() + 1))
-    odds[counts[0] + counts[1] == 0] = 0
+    odds[counts.sum(axis=0) == 0] = 0
     model = ToxicityModel(odds.astype(np.float32), 0.0, 1.0, 0.0)
     chance = np.random.default_rng(7)
     for turn in range(rounds):
-        decisions = model.decisions(classes, first)
-        order = np.lexsort((-decisions, unit_row))
-        top = order[np.searchsorted(unit_row[order], np.unique(unit_row))]  # the worst unit of each row
-        text_of = lambda i: data[first[i] : ends[i]].tobytes().lower().strip()
-        clean = sorted({text_of(i) for i in top if not labels[unit_row[i]]})
-        ordinary = [i for i in chance.choice(len(first), min(len(first), 8000), replace=False) if not labels[unit_row[i]]]
-        clean = [u for u in dict.fromkeys([*clean, *(text_of(i) for i in ordinary)]) if len(u) > 2][:10_000]
-        known = set(clean)
-        worst = sorted({u for i in top if labels[unit_row[i]] and len(u := text_of(i)) > 2 and u not in known})
-        if not worst or not clean:
+        worst, clean, ordinary = set(), set(), set()
+        for label, data, _, classes, first, bounds in blocks:
+            decisions, ends = model.decisions(classes, first), np.append(first[1:], len(data))
+            text_of = lambda i: data[first[i] : ends[i]].tobytes().lower().strip()  # noqa: E731, B023
+            for row in np.flatnonzero(bounds[1:] > bounds[:-1]):
+                top = bounds[row] + int(np.argmax(decisions[bounds[row] : bounds[row + 1]]))
+                (worst if label[row] else clean).add(text_of(top))
+                if not label[row]:
+                    ordinary.add(text_of(int(chance.integers(bounds[row], bounds[row + 1]))))
+        known = {u for u in clean | ordinary if len(u) > 2}
+        negative = sorted(known)
+        positive = sorted(u for u in worst if len(u) > 2 and u not in known)
+        if not positive or not negative:
             break
-        worst += [v for u in worst for v in _disturbed(u, chance) if v not in known] if turn else []
-        both = worst + clean
-        half = min(len(worst), landmarks // 2)
-        marks = _features([worst[i] for i in chance.choice(len(worst), half, replace=False)] + [clean[i] for i in chance.choice(len(clean), min(len(clean), landmarks - half), replace=False)])
-        kernel = (marks @ marks.T).astype(np.float64)
-        values, vectors = np.linalg.eigh(kernel)
+        half = min(len(positive), landmarks // 2)
+        chosen = [positive[i] for i in chance.choice(len(positive), half, replace=False)]
+        chosen += [negative[i] for i in chance.choice(len(negative), min(len(negative), landmarks - half), replace=False)]
+        marks = _features(chosen)
+        positive += [v for u in positive for v in _disturbed(u, chance) if v not in known] if turn else []
+        both = positive + negative
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = np.concatenate([_features(both[i : i + 512]).astype(np.float32) @ marks.T for i in range(0, len(both), 512)]).astype(np.float64) @ root
-        w, bias = _machine(x, np.where(np.arange(len(both)) < len(worst), 1.0, -1.0))
-        model = ToxicityModel((marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), bias, 1.0, 0.0)
-    worst_of = model.worst(data, offsets)
-    slope, shift = _curve(worst_of, labels)
+        x = np.concatenate([_features(both[i : i + BLOCK]) @ marks.T for i in range(0, len(both), BLOCK)]).astype(np.float64) @ root
+        w, bias = _machine(x, np.where(np.arange(len(both)) < len(positive), 1.0, -1.0))
+        model = ToxicityModel((marks.T @ (root @ w).astype(np.float32)).astype(np.float32), bias, 1.0, 0.0)
+    slope, shift = _curve(np.concatenate([model.worst(data, offsets) for _, data, offsets, *_ in blocks]), labels)
     return ToxicityModel(model.weights, model.bias, slope, shift)
 
 
