@@ -24,6 +24,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Keys of a semi join that are broadcast; more are shuffled, with the rows that they pick.
+BROADCAST_KEYS = 1_000_000
+
+
+def picked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose ``on`` is among the distinct ``keys``. Few keys go to the rows, so that these need not move."""
+    keys = keys.select(on)
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``: the learning and held-out folds (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string")) % parts

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import small_batches
+from shelfmark.llm.common import picked, small_batches
 from shelfmark.llm.components import components
 from shelfmark.llm.shingles import shingle_sets
 from shelfmark.session import checkpoint
@@ -119,14 +119,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, width: int, pe
         word = lambda c: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")  # noqa: E731, B023
         differ += F.bit_count(word("ba").bitwiseXOR(word("bb")))
     likely = checkpoint(sides.where(differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b"))
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
+    wanted = checkpoint(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "tokens"])
 
-    of = checkpoint(docs.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(sets, "id long, tokens binary").dropDuplicates(["id", "tokens"]))
+    of = checkpoint(picked(docs.select("id", "text"), wanted, "id").mapInArrow(sets, "id long, tokens binary").dropDuplicates(["id", "tokens"]))
     both = likely.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

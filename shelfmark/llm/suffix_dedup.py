@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, small_batches
+from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, picked, small_batches
 from shelfmark.session import checkpoint
 
 #: Bytes of a gram. Must be less than the length of the strings.
@@ -209,8 +209,9 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("held").alias("least"), F.sum(size).alias("size")).where("kinds > 1 AND least = 1")
     ask = kinds.join(open_.select("anchor", "size"), "anchor")
     one = docs.groupBy("key").agg(F.min("id").alias("id"))  # of equal texts one row is read
-    asked = ask.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "held", "first", "starts", "size")).alias("asked")).join(one, "key")
-    texts = docs.join(asked, [docs["key"] == asked["key"], docs["id"].eqNullSafe(asked["id"])]).select(docs["key"], docs["text"], "asked")
+    asked = checkpoint(ask.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "held", "first", "starts", "size")).alias("asked")).join(one, "key"))
+    texts = picked(docs, asked, "key")
+    texts = texts.join(asked, [texts["key"] == asked["key"], texts["id"].eqNullSafe(asked["id"])]).select(texts["key"], texts["text"], "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
