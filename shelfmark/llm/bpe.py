@@ -44,16 +44,16 @@ class RankQueue:
             self.top |= 1 << rank // WIDTH
         bucket.append(position)
 
-    def fill(self, ranks: list[int]) -> None:
+    def fill(self, ranks: np.ndarray) -> None:
         """Queue each position under its rank, if it has one (0 or more)."""
-        buckets, used = self.buckets, set()
-        for position, rank in enumerate(ranks):
-            if rank >= 0:
-                buckets[rank].append(position)
-                used.add(rank)
-        for rank in used:
-            self.low[rank // WIDTH] |= 1 << rank % WIDTH
-            self.top |= 1 << rank // WIDTH
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        for places in np.split(at, np.flatnonzero(np.diff(ranks[at])) + 1):
+            if len(places):
+                rank = int(ranks[places[0]])
+                self.buckets[rank] = places.tolist()
+                self.low[rank // WIDTH] |= 1 << rank % WIDTH
+                self.top |= 1 << rank // WIDTH
 
     def first(self) -> int:
         """The lowest rank that has entries, or -1."""
@@ -85,7 +85,8 @@ class Bpe:
         self.widths = np.array([len(t) for t in spellings], np.int64)
         self.places = np.cumsum(self.widths) - self.widths
         self.split = regex.compile(pattern).findall
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.queue = RankQueue(max(self.tokens) + 1)
         self.pairs: dict[int, int] = {}
         self.tokens_seen = PieceCache(self._encode_tokens, 500_000)
@@ -102,20 +103,18 @@ class Bpe:
 
     def merge(self, pre_tokens: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token."""
-        byte, pairs, rank_of = self.byte, self.pairs, self._rank
-        ids: list[int] = []
-        for token in pre_tokens:
-            ids += [byte[b] for b in token]
-            ids.append(BORDER)
-        n = len(ids)
+        pairs, rank_of = self.pairs, self._rank
+        plain = np.frombuffer(b"\0".join(pre_tokens) + b"\0", np.uint8)
+        borders = np.cumsum([len(t) + 1 for t in pre_tokens]) - 1
+        n = len(plain)
+        numbers, ranks = self.byte[plain], np.full(n, -1, np.int64)
+        ranks[:-1] = self.byte_pairs[(plain[:-1].astype(np.int64) << 8) | plain[1:]]
+        numbers[borders], ranks[borders], ranks[borders - 1] = BORDER, -1, -1
+        ids: list[int] = numbers.tolist()
+        pair: list[int] = ranks.tolist()  # the rank that a live position is queued under
         follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue, push = self.queue, self.queue.push
-        pair = []  # the rank that a live position is queued under
-        for left, right in zip(ids, ids[1:]):
-            key = left << 32 | right
-            pair.append(pairs[key] if key in pairs else rank_of(key))
-        pair.append(-1)
-        queue.fill(pair)
+        queue.fill(ranks)
         while (rank := queue.first()) >= 0:
             entries = queue.take(rank)
             if len(entries) > 1:
