@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, jaccard_join, language, order_minhash, packing, quality, suffix_dedup, token_counts, toxicity
+from shelfmark.llm import bpe, jaccard_join, language, language_model, order_minhash, packing, quality, suffix_dedup, token_counts, toxicity
 from shelfmark.llm.common import documents
 
 SQL: dict[str, str] = {}
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_count_query(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_query(spark, sf_dir)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_query(documents(spark, sf_dir, "doc_id", "text"))
 
