@@ -8,7 +8,9 @@ side by side; together they are its region, a stretch of under twice ``length``
 2. Where one anchor has different regions, one copy of each goes to the task of that anchor, which builds the suffix array
    of all its regions in two stages: suffixes smaller than their successors are sorted directly, the rest is induced by
    scanning the buckets, and common prefixes of neighbours then show which strings occur twice.
-3. An anchor with more regions than a task should hold is settled by digests of its single strings instead.
+3. An anchor with more regions than a task should hold has its strings dealt out again, by how far they start before the
+   anchor (STEP at a time) and by the bytes that all strings of such a part have in common; its parts then go through 1
+   and 2. A part that is still too large is settled by digests of its single strings.
 
 Spans are then joined to the documents by digest of the text, and cut out.
 """
@@ -31,6 +33,8 @@ from shelfmark.session import checkpoint
 GRAM = 32
 #: Bytes of regions of which one suffix array is built; an anchor whose regions are larger takes the third way.
 ARRAY_BYTES = 1 << 20
+#: Starts that a part of a too large anchor holds.
+STEP = 64
 _PLACE = 28
 #: Stands between regions; no byte of UTF-8.
 _BORDER = b"\xff"
@@ -226,6 +230,55 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "digest", "held", "key", "first", "size", "bytes"])
 
     cuts = checkpoint(texts.mapInArrow(cut, "anchor long, digest binary, held long, key binary, first long, size long, bytes binary").dropDuplicates(["anchor", "digest"]))
+    fits = F.col("size") <= ARRAY_BYTES
+    again = _parts(cuts.where(~fits), length)
+    part_fits = F.col("size") <= ARRAY_BYTES
+    return (
+        whole.unionByName(_by_array(cuts.where(fits), length))
+        .unionByName(again.where("held = 1 AND copies > 1").select("key", F.col("first").alias("start"), (F.col("first") + F.octet_length("bytes")).alias("stop")))
+        .unionByName(_by_array(again.where(part_fits & (F.col("turn") == 1)).withColumn("held", F.greatest("held", "copies")), length))
+        .unionByName(_by_digest(again.where(~part_fits & (F.col("turn") == 1)).withColumn("held", F.greatest("held", "copies")), length))
+    )
+
+
+def _parts(large: DataFrame, length: int) -> DataFrame:
+    """The strings of too large anchors in parts: those that start within the same STEP places before their anchor and
+    have the same bytes from the last of these places to the end of the first string. ``copies``: rows with the same
+    bytes; ``turn``: number of a row among them; ``size``: bytes of a part's different rows.
+    """
+    gram = min(GRAM, length)
+    step = min(STEP, length - gram + 1)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: tuple[list, ...] = ([], [], [], [], [], [])
+            for anchor, held, key, first, plain in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = gram_hashes(np.frombuffer(plain, np.uint8), gram)
+                place = int(np.argmax(hashes == np.uint64(anchor & (1 << 64) - 1)))
+                for n in range(place // step + 1):
+                    last = place - n * step
+                    begin, stop = max(0, last - step + 1), min(last, len(plain) - length)
+                    if begin > stop:
+                        continue
+                    core = hashlib.blake2b(plain[last : last - step + 1 + length], digest_size=8, key=n.to_bytes(4, "little") + (anchor & (1 << 64) - 1).to_bytes(8, "little"))
+                    some = plain[begin : stop + length]
+                    values = (int.from_bytes(core.digest(), "little", signed=True), hashlib.blake2b(some, digest_size=16).digest(), held, key, first + begin, some)
+                    for c, v in zip(columns, values, strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "digest", "held", "key", "first", "bytes"])
+
+    parts = checkpoint(large.select("anchor", "held", "key", "first", "bytes").mapInArrow(split, "anchor long, digest binary, held long, key binary, first long, bytes binary"))
+    kinds = parts.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first")).alias("one"), F.first(F.octet_length("bytes")).alias("bytes_of"))
+    kinds = checkpoint(kinds.withColumnRenamed("anchor", "_a").withColumnRenamed("digest", "_d"))
+    sizes = kinds.groupBy(F.col("_a").alias("_s")).agg(F.sum("bytes_of").alias("size"))
+    known = kinds.join(sizes, kinds["_a"] == sizes["_s"]).drop("_s", "bytes_of")
+    found = parts.join(known, (parts["anchor"] == known["_a"]) & (parts["digest"] == known["_d"])).drop("_a", "_d")
+    return checkpoint(found.withColumn("turn", F.when((F.col("key") == F.col("one.key")) & (F.col("first") == F.col("one.first")), 1).otherwise(2)).drop("one"))
+
+
+def _by_array(regions_: DataFrame, length: int) -> DataFrame:
+    """Spans of the rows held once, from suffix arrays over all regions of an anchor."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor. Anchors are gathered until their regions fill an array."""
@@ -234,7 +287,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
 
         def settle() -> pa.RecordBatch:
             keys, begins, ends = [], [], []
-            for (_, times, key, first, plain), starts in zip(held, repeated_starts([(h[4], len(h[4]) - length + 1) for h in held], length), strict=True):
+            for (_, times, key, first, _plain), starts in zip(held, repeated_starts([(h[4], len(h[4]) - length + 1) for h in held], length), strict=True):
                 if times == 1:  # the others are covered already
                     for a, b in runs(starts):
                         keys.append(key), begins.append(first + a), ends.append(first + b + length)
@@ -251,14 +304,16 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle()
 
-    fits = F.col("size") <= ARRAY_BYTES
-    small = cuts.where(fits).select("anchor", "held", "key", "first", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    inside = small.mapInArrow(arrays, "key binary, start long, stop long")
-    singles = cuts.where(~fits).select("held", "key", "first", "bytes", F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - length + 1)).alias("at"))
+    rows = regions_.select("anchor", "held", "key", "first", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return rows.mapInArrow(arrays, "key binary, start long, stop long")
+
+
+def _by_digest(regions_: DataFrame, length: int) -> DataFrame:
+    """Spans of the rows held once, from digests of their single strings, counted in each task before they meet."""
+    singles = regions_.select("held", "key", "first", "bytes", F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - length + 1)).alias("at"))
     singles = checkpoint(singles.select("held", "key", (F.col("first") + F.col("at") - 1).alias("start"), F.substring(F.unhex(F.sha2(F.substring("bytes", F.col("at"), F.lit(length)), 256)), 1, 16).alias("string")))
     twice = singles.groupBy("string").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("string")
-    outside = singles.where("held = 1").join(twice, "string").select("key", "start", (F.col("start") + length).alias("stop"))
-    return whole.unionByName(inside).unionByName(outside)
+    return singles.where("held = 1").join(twice, "string").select("key", "start", (F.col("start") + length).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
