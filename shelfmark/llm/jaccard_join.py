@@ -5,7 +5,7 @@ the wanted degree share a shingle of their prefixes. Two relations keep most of
 
 * By position. A list is split into blocks of equal set size and position. Two blocks whose sizes and positions leave
   room for too small an overlap are skipped as a whole.
-* By answers. In each list all sets are first compared with one pivot. Sets that turn out highly similar to it take over
+* By answers. In each list, sets are first compared with one pivot. Sets that turn out highly similar to it take over
   its answers: they are one component, and pairs within it are not compared again. For pairs that remain, the distances
   to the pivot bound their own distance from below (Jaccard distance is a metric), and most are derived away.
 
@@ -29,7 +29,7 @@ from shelfmark.session import checkpoint
 #: A shingle is frequent if more than one document in so many has it; there are at most this times the mean set size.
 FREQUENT = 2048
 #: Rounds of comparing lists with one pivot, each with other pivots.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 #: Bits of the parity bitmap that bounds the difference of two sets from below.
 BITMAP = 512
 
@@ -107,36 +107,35 @@ def _possible(left: str, right: str, percent: int) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (room >= _need(n1, n2, percent))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids whose bitmaps do not rule them out, with the exact sizes of intersection and union.
-
-    Only texts that are in such a pair are read again; their sets meet pair by pair.
-    """
+def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose bitmaps do not rule them out."""
     small = info.select("id", "n", "bitmap")
     sides = pairs.join(small.toDF("a", "na", "ba"), "a").join(small.toDF("b", "nb", "bb"), "b")
     differ = F.lit(0)
     for k in range(BITMAP // 64):
         word = lambda c: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")  # noqa: E731, B023
         differ += F.bit_count(word("ba").bitwiseXOR(word("bb")))
-    likely = checkpoint(sides.where(differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b"))
-    wanted = checkpoint(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
+    return sides.where(differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "tokens"])
 
-    of = checkpoint(picked(docs.select("id", "text"), wanted, "id").mapInArrow(sets, "id long, tokens binary").dropDuplicates(["id", "tokens"]))
-    both = likely.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b")
+def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Exact sizes of intersection (``shared``) and union (``total``) of written pairs (a, b) of ids.
+
+    Only the texts of these ids are read again, and meet pair by pair.
+    """
+    texts = docs.select("id", "text")
+    left, right = (picked(texts, checkpoint(pairs.select(F.col(side).alias("id")).distinct()), "id").toDF(side, "t" + side) for side in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(ta, tb, strict=True)]
-            union = [(len(x) + len(y)) // 8 - s for x, y, s in zip(ta, tb, shared, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "total"])
+            sets = zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width), strict=True)
+            sizes = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets]
+            shared = np.array([s for s, _ in sizes], np.int64)
+            total = np.array([t for _, t in sizes], np.int64) - shared
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(total)], ["a", "b", "shared", "total"])
 
-    return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(overlap, "a long, b long, shared long, total long"))
+    return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(overlap, "a long, b long, shared long, total long").distinct())
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,26 +157,31 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     same = checkpoint(real.groupBy("digest").agg(F.min("id").alias("rep")))
     member = real.select("id", "digest").join(same, "digest").select("id", "rep").where("id <> rep").distinct()
     reps = real.join(same.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     entries = checkpoint(entries.join(lists, "token"))
 
+    alike = f"100 * shared >= {percent} * total"
     links, distances = member.toDF("a", "b"), None
     label = checkpoint(components(links))
     for turn in range(PIVOT_ROUNDS):
-        labelled = _labelled(entries, label)
+        labelled = checkpoint(_labelled(entries, label))
         mixed = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos", "label")).alias("p"), F.min("label").alias("least"), F.max("label").alias("most"))
         pivots = mixed.where("least <> most").select("token", F.col("p.id").alias("id"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.label").alias("label"))
         pairs = labelled.alias("e").join(pivots.alias("p"), "token").where((F.col("e.label") != F.col("p.label")) & _possible("e", "p", percent))
-        pairs = pairs.select(F.least("e.id", "p.id").alias("a"), F.greatest("e.id", "p.id").alias("b")).distinct()
+        pairs = pairs.select(F.col("e.id").alias("b"), F.col("p.id").alias("a")).distinct()
         if distances is not None:
-            pairs = pairs.join(distances, ["a", "b"], "left_anti")
-        known = _verified(pairs, docs, info, width, percent)
+            done = distances.select("a", "b")
+            pairs = pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        # Of its pivots a set takes the first in a common order, so that a family gathers around few of them.
+        first = F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a"))["a"]
+        chosen = _likely(pairs, info, percent).groupBy("b").agg(first.alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = _verified(checkpoint(chosen), docs, width)
         distances = known if distances is None else checkpoint(distances.unionByName(known))
-        links = links.unionByName(known.where(f"100 * shared >= {percent} * total").select("a", "b"))
+        links = links.unionByName(known.where(alike).select("a", "b"))
         label = checkpoint(components(links))
-    rest = _verified(_remaining(_labelled(entries, label), distances, percent), docs, info, width, percent)
-    links = links.unionByName(rest.where(f"100 * shared >= {percent} * total").select("a", "b"))
+    rest = _verified(checkpoint(_likely(_remaining(_labelled(entries, label), distances, percent), info, percent)), docs, width)
+    links = links.unionByName(rest.where(alike).select("a", "b"))
     label = checkpoint(components(links))
     return info.select("id", "n").join(label, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
