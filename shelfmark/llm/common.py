@@ -28,10 +28,11 @@ def small_batches(spark: SparkSession) -> None:
 BROADCAST_KEYS = 1_000_000
 
 
-def picked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows whose ``on`` is among the distinct ``keys``. Few keys go to the rows, so that these need not move."""
+def picked(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose ``on`` is among the distinct written ``keys`` (``left_anti``: is not). Few keys go to the rows, so
+    that these need not move."""
     keys = keys.select(on)
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def fold(doc_id: str, parts: int) -> Column:

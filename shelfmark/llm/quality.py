@@ -111,19 +111,19 @@ def host_verdicts(judged: DataFrame, host: str, limit: float) -> DataFrame:
     return hosts.select(host, "docs", "failures", drawn.alias("rate"), (drawn > limit).alias("blocked"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), with_text: bool = True) -> DataFrame:
     """Add the measures, ``base_failed``, ``failed`` (any rule), ``host_rate``, ``host_blocked`` and ``kept``.
 
     ``kept`` is false for a document that fails a rule itself, and for all documents of a blocked host. Rows are kept
     and repeated rows judged alike; columns of the added names are replaced; an empty table gives an empty one. The
-    measured rows are written to the shared folder once; hosts are joined by name, and a host with
+    measured rows are written to the shared folder once, without the text unless ``with_text``; hosts are joined by name, and a host with
     a large share of the rows is pre-aggregated in each task and only meets one row.
     """
     added = {*MEASURES, "base_failed", "failed", "host_rate", "host_blocked", "kept"}
     keep = [c for c in docs.columns if c not in added]
     measured = measures(docs.select(*keep), text)
     measured = measured.withColumn("base_failed", base_failed(rules)).withColumn("failed", F.col("base_failed") | soft_failed(rules))
-    measured = checkpoint(measured)
+    measured = checkpoint(measured if with_text else measured.drop(text))
     hosts = host_verdicts(measured, host, rules.host_limit).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"), F.col("blocked").alias("host_blocked"))
     joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("failed") & ~F.col("host_blocked"))
@@ -131,5 +131,5 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
 
 def quality_query(docs: DataFrame) -> DataFrame:
     """One row per document: its base measures, whether the base rules fail, and the verdict."""
-    judged = judge(docs.select("doc_id", "text", "source"))
+    judged = judge(docs.select("doc_id", "text", "source"), with_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_blocked")
