@@ -11,7 +11,7 @@ one the pieces of the packed sequences. Between stages documents are Parquet in
 * packing: what is left, in sequences of 2048 tokens.
 
 Nulls: a null text has no language and goes in the first stage. Rows that share an id are told apart by their texts: of
-equal rows one stays, of linked ones that with the smallest text. A null id is its own group in the third stage.
+equal rows one stays, of others that with the smallest hash of its text. A null id is its own group in the third stage.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import jaccard_join, language, packing, quality, suffix_dedup
+from shelfmark.llm.common import picked
 from shelfmark.session import checkpoint
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,13 +44,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
     groups = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
+    others = checkpoint(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    stay = picked(docs.select(*COLUMNS), others, "doc_id", "left_anti")
     # Of rows that share an id: equal texts are one; the smallest digest stays.
-    shared = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    known = docs.where(F.col("doc_id").isNotNull())
+    shared = checkpoint(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "source", "lang", "n_chars"))
-    once = stay.join(shared, "doc_id", "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
-    return stay.join(shared, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    once = picked(stay, shared, "doc_id").withColumn("_n", first).where("_n = 1").drop("_n")
+    return picked(stay, shared, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
