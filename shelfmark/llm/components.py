@@ -14,7 +14,7 @@ def _stamp(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id`` and ``label`` for every end of an edge (a, b): the smallest id that its edges lead to.
+    """``id`` and ``label``, the smallest id that edges (a, b) lead to, for every id that is not that smallest one itself.
 
     Each round hangs a node's larger neighbours on its smallest one, then its smaller neighbours; the number of rounds
     grows with the logarithm of the longest path. A node with very many edges is one minimum, taken in each task first.

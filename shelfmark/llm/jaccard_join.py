@@ -28,10 +28,11 @@ from shelfmark.session import checkpoint
 
 #: A shingle is frequent if more than one document in so many has it; there are at most this times the mean set size.
 FREQUENT = 2048
-#: Rounds of comparing lists with one pivot, each with other pivots.
-PIVOT_ROUNDS = 3
-#: Bits of the parity bitmap that bounds the difference of two sets from below.
+#: Most rounds of comparing lists with one pivot, each with other pivots; a round that links nothing is the last.
+PIVOT_ROUNDS = 6
+#: Bits of the short parity bitmap that bounds the difference of two sets from below; the wide one has 4 a shingle.
 BITMAP = 512
+WIDE = 4
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +60,21 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], times[order]
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
+def _bitmap(tokens: np.ndarray, bits: int) -> bytes:
     """Parity of the tokens dealt to each bit: two sets differ in at least as many tokens as their bitmaps in bits."""
-    return np.packbits((np.bincount((tokens % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer folded to the length of the shorter."""
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() if len(x) == len(y) else _differing(y, x)
 
 
 def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, set size, 128-bit digest of the set, bitmap, and the prefix in global order."""
+    """id, set size, 128-bit digest of the set, short and wide bitmap, and the prefix in global order."""
     frequent, times = _frequent(docs, width)
     levels = (np.floor(np.log2(np.maximum(times, 1))) + 1).astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, levels))  # FREQUENT * mean set size at most
@@ -75,7 +84,7 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         known, level_of = shared.value
         for batch in batches:
-            sizes, digests, bitmaps, prefixes = [], [], [], []
+            sizes, digests, bitmaps, wide, prefixes = [], [], [], [], []
             for tokens in shingle_sets(batch.column(1), width):
                 n = len(tokens)
                 keep = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -85,14 +94,15 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     level = np.where(known[at] == tokens, level_of[at], np.uint64(0))
                 sizes.append(n)
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                bitmaps.append(_bitmap(tokens))
+                bitmaps.append(_bitmap(tokens, BITMAP))
+                wide.append(_bitmap(tokens, max(BITMAP, 1 << (WIDE * n - 1).bit_length())) if n else b"")
                 prefixes.append(tokens[np.argsort(level, kind="stable")[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["id", "n", "digest", "bitmap", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["id", "n", "digest", "bitmap", "wide", "prefix"],
             )
 
-    return docs.select("id", "text").mapInArrow(describe, "id long, n long, digest binary, bitmap binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(describe, "id long, n long, digest binary, bitmap binary, wide binary, prefix array<long>")
 
 
 def _need(n1: Column, n2: Column, percent: int) -> Column:
@@ -107,15 +117,30 @@ def _possible(left: str, right: str, percent: int) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (room >= _need(n1, n2, percent))
 
 
-def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose bitmaps do not rule them out."""
-    small = info.select("id", "n", "bitmap")
-    sides = pairs.join(small.toDF("a", "na", "ba"), "a").join(small.toDF("b", "nb", "bb"), "b")
+def _near(left: Column, right: Column, n1: Column, n2: Column, percent: int) -> Column:
+    """Short bitmaps do not rule the pair out."""
     differ = F.lit(0)
     for k in range(BITMAP // 64):
         word = lambda c: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")  # noqa: E731, B023
-        differ += F.bit_count(word("ba").bitwiseXOR(word("bb")))
-    return sides.where(differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+        differ += F.bit_count(word(left).bitwiseXOR(word(right)))
+    return differ <= n1 + n2 - 2 * _need(n1, n2, percent)
+
+
+def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids that neither the short nor the wide bitmaps rule out."""
+    short = info.select("id", "n", "bitmap")
+    sides = pairs.join(short.toDF("a", "na", "ba"), "a").join(short.toDF("b", "nb", "bb"), "b")
+    some = checkpoint(sides.where(_near(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
+    wide = info.select("id", "n", "wide")
+    both = some.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
+
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, na, nb, wa, wb = (c.to_pylist() for c in batch.columns)
+            keep = [_differing(x, y) <= m + n - 2 * -(-percent * (m + n) // (100 + percent)) for m, n, x, y in zip(na, nb, wa, wb, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(rule, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -178,9 +203,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
         chosen = _likely(pairs, info, percent).groupBy("b").agg(first.alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         known = _verified(checkpoint(chosen), docs, width)
         distances = known if distances is None else checkpoint(distances.unionByName(known))
-        links = links.unionByName(known.where(alike).select("a", "b"))
+        fresh = known.where(alike).select("a", "b")
+        if fresh.isEmpty():
+            break
+        links = links.unionByName(fresh)
         label = checkpoint(components(links))
-    rest = _verified(checkpoint(_likely(_remaining(_labelled(entries, label), distances, percent), info, percent)), docs, width)
+    rest = _verified(checkpoint(_likely(_remaining(_labelled(entries, label), info, distances, percent), info, percent)), docs, width)
     links = links.unionByName(rest.where(alike).select("a", "b"))
     label = checkpoint(components(links))
     return info.select("id", "n").join(label, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
@@ -190,7 +218,7 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     return entries.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _remaining(entries: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
+def _remaining(entries: DataFrame, info: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share an index list and that neither blocks nor distances rule out."""
     mixed = entries.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("id", F.lit(0)), "id"))["id"].alias("pivot")).where("least <> most").drop("least", "most")
     open_ = checkpoint(entries.join(mixed, "token"))
@@ -199,12 +227,12 @@ def _remaining(entries: DataFrame, distances: DataFrame, percent: int) -> DataFr
     kept = kept.select("token", F.col("x.n").alias("xn"), F.col("x.pos").alias("xp"), F.col("y.n").alias("yn"), F.col("y.pos").alias("yp"))
     apart = F.lit(1.0) - F.col("shared") / F.col("total")
     to_pivot = distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), apart.alias("d")).unionByName(distances.select(F.col("b").alias("pivot"), F.col("a").alias("id"), apart.alias("d")))
-    seen = open_.join(to_pivot, ["pivot", "id"], "left").select("token", "n", "pos", "id", "label", "d")
-    left, right = (seen.select("token", *[F.col(c).alias(side + c) for c in ("n", "pos", "id", "label", "d")]) for side in ("x_", "y_"))
+    seen = open_.join(to_pivot, ["pivot", "id"], "left").join(info.select("id", F.col("n").cast("int").alias("n"), "bitmap").distinct(), ["id", "n"]).select("token", "n", "pos", "id", "label", "d", "bitmap")
+    left, right = (seen.select("token", *[F.col(c).alias(side + c) for c in ("n", "pos", "id", "label", "d", "bitmap")]) for side in ("x_", "y_"))
     pairs = left.join(kept, (left["token"] == kept["token"]) & (F.col("x_n") == F.col("xn")) & (F.col("x_pos") == F.col("xp"))).drop(left["token"])
-    pairs = pairs.join(right, (pairs["token"] == right["token"]) & (F.col("y_n") == F.col("yn")) & (F.col("y_pos") == F.col("yp")))
-    far = F.abs(F.col("x_d") - F.col("y_d")) > (100 - percent) / 100 + 1e-9
-    pairs = pairs.where((F.col("x_label") != F.col("y_label")) & ~F.coalesce(far, F.lit(False)))
+    far = F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) > (100 - percent) / 100 + 1e-9, F.lit(False))
+    open_pair = (F.col("x_label") != F.col("y_label")) & ~far & _near(F.col("x_bitmap"), F.col("y_bitmap"), F.col("x_n"), F.col("y_n"), percent)
+    pairs = pairs.join(right, (pairs["token"] == right["token"]) & (F.col("y_n") == F.col("yn")) & (F.col("y_pos") == F.col("yp")) & open_pair)
     pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     return pairs.join(distances, ["a", "b"], "left_anti")
 

@@ -42,34 +42,34 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     proportion to its words (and a sort of its windows, if any repeat).
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_text", whole)
-    df = df.withColumn("_words", _words(F.col("_text"))).withColumn("n_words", F.size("_words").cast("long"))
-    df = df.withColumn("_hashed", F.transform("_words", lambda w: F.xxhash64(w)))
-    ahead = lambda i, k: F.get(F.col("_hashed"), i + F.lit(k))
+    df = docs.withColumn("__quality_text", whole)
+    df = df.withColumn("__quality_words", _words(F.col("__quality_text"))).withColumn("n_words", F.size("__quality_words").cast("long"))
+    df = df.withColumn("__quality_hashed", F.transform("__quality_words", lambda w: F.xxhash64(w)))
+    ahead = lambda i, k: F.get(F.col("__quality_hashed"), i + F.lit(k))
     df = df.withColumn(
-        "_windows",
+        "__quality_windows",
         F.transform(
-            F.slice("_hashed", 1, F.greatest(F.size("_hashed") - (WINDOW - 1), F.lit(0))),
+            F.slice("__quality_hashed", 1, F.greatest(F.size("__quality_hashed") - (WINDOW - 1), F.lit(0))),
             lambda w, i: F.xxhash64(w, *[ahead(i, k) for k in range(1, WINDOW)]),
         ),
     )
-    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    df = df.withColumn("_placed", F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
-    same = lambda x, i, k: F.coalesce(F.get(F.col("_placed"), i + F.lit(k))["h"] == x["h"], F.lit(False))
-    df = df.withColumn("_at", F.sort_array(F.transform(F.filter("_placed", lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["at"])))
-    df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    covered = F.transform("_at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + F.lit(1)) - x, F.lit(WINDOW))))
+    placed = F.sort_array(F.transform("__quality_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    repeats = F.size(F.array_distinct("__quality_windows")) < F.size("__quality_windows")
+    df = df.withColumn("__quality_placed", F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+    same = lambda x, i, k: F.coalesce(F.get(F.col("__quality_placed"), i + F.lit(k))["h"] == x["h"], F.lit(False))
+    df = df.withColumn("__quality_at", F.sort_array(F.transform(F.filter("__quality_placed", lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["at"])))
+    df = df.withColumn("__quality_lines", F.filter(F.split("__quality_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    covered = F.transform("__quality_at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__quality_at"), i + F.lit(1)) - x, F.lit(WINDOW))))
     keep = [c for c in docs.columns if c not in MEASURES]
     return df.select(
         *keep,
         "n_words",
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("__quality_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("__quality_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size("__quality_lines") - F.size(F.array_distinct("__quality_lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("_text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
+        F.size("__quality_lines").cast("long").alias("n_lines"),
+        F.length(F.regexp_replace("__quality_text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
     )
 
 
@@ -124,8 +124,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
     measured = measures(docs.select(*keep), text)
     measured = measured.withColumn("base_failed", base_failed(rules)).withColumn("failed", F.col("base_failed") | soft_failed(rules))
     measured = checkpoint(measured if with_text else measured.drop(text))
-    hosts = host_verdicts(measured, host, rules.host_limit).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"), F.col("blocked").alias("host_blocked"))
-    joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    hosts = host_verdicts(measured, host, rules.host_limit).select(F.col(host).alias("__quality_host"), F.col("rate").alias("host_rate"), F.col("blocked").alias("host_blocked"))
+    joined = measured.join(hosts, measured[host].eqNullSafe(hosts["__quality_host"]), "left").drop("__quality_host")
     return joined.withColumn("kept", ~F.col("failed") & ~F.col("host_blocked"))
 
 

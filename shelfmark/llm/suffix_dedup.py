@@ -329,12 +329,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
     docs = docs.drop("spans", "kept")
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("id")).withColumn("key", _key(F.col("text")))
     spans = checkpoint(_spans(base.select("key", "text", "id"), length))
-    merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_found")).withColumnRenamed("key", "_key")
-    with_key = docs.withColumn("_own", _key(F.coalesce(F.col(text), F.lit(""))))
-    joined = with_key.join(merged, with_key["_own"] == merged["_key"], "left").drop("_own", "_key")
+    merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__dedup_found")).withColumnRenamed("key", "__dedup_key")
+    with_key = docs.withColumn("__dedup_own", _key(F.coalesce(F.col(text), F.lit(""))))
+    joined = with_key.join(merged, with_key["__dedup_own"] == merged["__dedup_key"], "left").drop("__dedup_own", "__dedup_key")
     names = joined.columns
-    at, found_at = names.index(text), names.index("_found")
-    keep = [i for i, n in enumerate(names) if n != "_found"]
+    at, found_at = names.index(text), names.index("__dedup_found")
+    keep = [i for i, n in enumerate(names) if n != "__dedup_found"]
     out_names = [*docs.columns, "spans", "kept"]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", kind), T.StructField("kept", T.BinaryType())])
