@@ -8,9 +8,15 @@ from shelfmark.functions.text import source_path
 
 
 def content_id(content: Column | str) -> Column:
+    """The id shown for a content. Twelve digits do not tell contents apart at scale; ``content_key`` does."""
     return F.concat(F.lit("k-"), F.substring(F.sha2(content, 256), 1, 12))
 
 
+def content_key(content: Column | str) -> Column:
+    """What contents are grouped and joined by: the whole SHA-256."""
+    return F.sha2(content, 256)
+
+
 def note_id(path: Column | str, project: bool = False) -> Column:
     """From the path inside the content folder; a project's notes hash differently."""
     path = F.col(path) if isinstance(path, str) else path
@@ -20,26 +26,27 @@ def note_id(path: Column | str, project: bool = False) -> Column:
 
 
 def exact_duplicates(rows: DataFrame, content: str, order: str = "added_at") -> DataFrame:
-    """One row per content: content_id, the first doc_id to bring it, how many copies.
+    """One row per content: content_id, the first doc_id to bring it, how many copies. Equal means equal in all 256 bits.
 
     Copies are counted map-side, so a text with any number of copies costs one row per task.
     """
     return (
-        rows.select(content_id(content).alias("content_id"), "doc_id", order)
-        .groupBy("content_id")
+        rows.select(content_key(content).alias("_key"), "doc_id", order)
+        .groupBy("_key")
         .agg(F.min_by("doc_id", F.struct(order, "doc_id")).alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+        .select(F.concat(F.lit("k-"), F.substring("_key", 1, 12)).alias("content_id"), "doc_id", "copies")
     )
 
 
 def import_status(files: DataFrame, known: DataFrame, other_scope: DataFrame) -> DataFrame:
-    """New files (content_id, ...) marked ``exists``, ``in_other_scope`` or ``added``.
+    """New files (content_key, ...) marked ``exists``, ``in_other_scope`` or ``added``.
 
-    ``known`` and ``other_scope``: content_id.
+    ``known`` and ``other_scope``: content_key, the whole digest.
     """
-    here = known.select("content_id").distinct().withColumn("_here", F.lit(True))
-    there = other_scope.select("content_id").distinct().withColumn("_there", F.lit(True))
+    here = known.select("content_key").distinct().withColumn("_here", F.lit(True))
+    there = other_scope.select("content_key").distinct().withColumn("_there", F.lit(True))
     state = F.when(F.col("_there"), "in_other_scope").when(F.col("_here"), "exists").otherwise("added")
-    marked = files.join(here, "content_id", "left").join(there, "content_id", "left")
+    marked = files.join(here, "content_key", "left").join(there, "content_key", "left")
     return marked.withColumn("status", state).drop("_here", "_there")
 
 
@@ -124,7 +131,9 @@ def distinct_titles(docs: DataFrame, block: Column | None = None) -> DataFrame:
     Every ending is counted once, map-side; unique endings name their document without joining the
     crowd back.
     """
-    block = F.floor(F.col("doc_id") / 65536) if block is None else block
+    if block is None:  # neighbours in the order of ids, which may be names
+        named = docs.schema["doc_id"].dataType.simpleString() == "string"
+        block = F.substring("doc_id", 1, 5) if named else F.floor(F.col("doc_id") / 65536)
     upload = F.startswith("source", F.lit("upload:"))
     parts = F.size(F.filter(F.split("source", r"[\\/]+"), lambda p: p != ""))
     depth = F.when(upload, 1).otherwise(F.greatest(parts, F.lit(1)))

@@ -372,7 +372,7 @@ def note_ids(spark, sf):
     "WHEN text IN (SELECT text FROM documents JOIN labels USING (doc_id)) THEN 'exists' ELSE 'added' END AS status FROM documents",
 )
 def import_status(spark, sf):
-    files = B.read(spark, sf, "documents").select("doc_id", V.content_id("text").alias("content_id"))
+    files = B.read(spark, sf, "documents").select("doc_id", V.content_key("text").alias("content_key"))
     known = files.join(B.read(spark, sf, "labels"), "doc_id")
     return V.import_status(files, known, known.filter("toxic = 1")).select("doc_id", "status")
 

@@ -111,7 +111,7 @@ def appended_sections(spark, sf):
   SELECT doc_id, 'doc ' || doc_id * 3 || '.pdf', NULL FROM raw UNION ALL SELECT doc_id, 'main.c', NULL FROM raw""",
 )
 def note_citations(spark, sf):
-    r = raw_notes(spark, sf).withColumn("raw", F.regexp_extract("raw", r"(?s)^(.*?http://a\)\.)", 1))
+    r = raw_notes(spark, sf)
     return r.select("doc_id", F.explode(N.note_citations(N.note_body("raw"))).alias("c")).select("doc_id", "c.title", "c.page")
 
 
@@ -124,7 +124,7 @@ def _named(spark, sf):
 
 
 def _links(spark, sf):
-    body = N.note_body(F.regexp_extract("raw", r"(?s)^(.*?http://a\)\.)", 1))
+    body = N.note_body("raw")
     return raw_notes(spark, sf).select(F.col("doc_id").alias("note_id"), "scope", F.explode(N.wiki_links(body)).alias("target"))
 
 
@@ -147,9 +147,7 @@ def broken_links(spark, sf):
 
 
 def _sources(spark, sf):
-    notes = parsed(spark, sf).select(
-        F.col("doc_id").alias("note_id"), F.regexp_extract("body", r"(?s)^(.*?http://a\)\.)", 1).alias("body"), "updated"
-    )
+    notes = parsed(spark, sf).select(F.col("doc_id").alias("note_id"), "body", "updated")
     docs = B.docs(spark, sf).filter("collection = 'docs'").select(
         "doc_id", F.concat(F.lit("DOC "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("title"), F.lit("global").alias("scope"), "added_at"
     )
@@ -178,7 +176,7 @@ def note_sources(spark, sf):
 def lint_report(spark, sf):
     p = parsed(spark, sf).drop("title")
     named = _named(spark, sf).select("doc_id", "path", "title")
-    notes = p.join(named, "doc_id").withColumnRenamed("doc_id", "note_id").withColumn("body", F.regexp_extract("body", r"(?s)^(.*?http://a\)\.)", 1))
+    notes = p.join(named, "doc_id").withColumnRenamed("doc_id", "note_id")
     docs = B.docs(spark, sf).filter("collection = 'docs'").select(
         "doc_id", F.concat(F.lit("DOC "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("title"), F.lit("global").alias("scope"), "added_at"
     )

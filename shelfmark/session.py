@@ -39,7 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
         return f"{named.rstrip('/')}/shelfmark-{context.applicationId}"
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="shelfmark-"))
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = tempfile.mkdtemp(prefix="shelfmark-")
+    return _folders[context.applicationId]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
