@@ -329,37 +329,46 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
     docs = docs.drop("spans", "kept")
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("id")).withColumn("key", _key(F.col("text")))
     spans = checkpoint(_spans(base.select("key", "text", "id"), length))
-    merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__dedup_found")).withColumnRenamed("key", "__dedup_key")
+    ordered = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    merged = spans.groupBy(F.col("key").alias("__dedup_key")).agg(ordered.alias("__dedup_found"))
+    merged = merged.select("__dedup_key", F.col("__dedup_found.start").alias("__dedup_starts"), F.col("__dedup_found.stop").alias("__dedup_stops"))
     with_key = docs.withColumn("__dedup_own", _key(F.coalesce(F.col(text), F.lit(""))))
     joined = with_key.join(merged, with_key["__dedup_own"] == merged["__dedup_key"], "left").drop("__dedup_own", "__dedup_key")
     names = joined.columns
-    at, found_at = names.index(text), names.index("__dedup_found")
-    keep = [i for i, n in enumerate(names) if n != "__dedup_found"]
+    at, starts_at, stops_at = (names.index(n) for n in (text, "__dedup_starts", "__dedup_stops"))
+    keep = [i for i, n in enumerate(names) if i not in (starts_at, stops_at)]
     out_names = [*docs.columns, "spans", "kept"]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", kind), T.StructField("kept", T.BinaryType())])
-    arrow = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans stay arrays throughout: a text of one short line over and over has one for every few bytes."""
         for batch in batches:
-            spans_of, kept = [], []
-            for plain, found in zip(batch.column(at).fill_null("").to_pylist(), batch.column(found_at).to_pylist(), strict=True):
-                plain, whole, parts, end = plain.encode(), [], [], 0
-                for span in found or []:
-                    if whole and span["start"] <= whole[-1]["stop"]:
-                        whole[-1]["stop"] = max(whole[-1]["stop"], span["stop"])
-                    else:
-                        whole.append(dict(span))
-                for span in whole:
-                    parts.append(plain[end : span["start"]])
-                    end = span["stop"]
-                spans_of.append(whole)
-                kept.append(b"".join([*parts, plain[end:]]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(spans_of, arrow), pa.array(kept, pa.binary())], out_names)
+            begins, ends, counts, kept = [], [], [], []
+            for text_, first, last in zip(batch.column(at), batch.column(starts_at), batch.column(stops_at), strict=True):
+                plain = (text_.as_py() or "").encode()
+                if first.is_valid:
+                    start, stop = _joined(first.values.to_numpy(), last.values.to_numpy())
+                    edges = [0, *np.stack((start, stop), axis=1).ravel().tolist(), len(plain)]
+                    kept.append(b"".join([plain[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+                    begins.append(start), ends.append(stop), counts.append(len(start))
+                else:
+                    kept.append(plain), counts.append(0)
+            none = [np.zeros(0, np.int64)]
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(begins or none)), pa.array(np.concatenate(ends or none))], ["start", "stop"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), lists, pa.array(kept, pa.binary())], out_names)
 
     return joined.mapInArrow(cut, schema)
 
 
+def _joined(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of their starts, those that touch or overlap as one."""
+    reach = np.maximum.accumulate(stops)
+    fresh = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))
+    return starts[fresh], np.append(reach[fresh[1:] - 1], reach[-1])
+
+
 def dedup_query(docs: DataFrame) -> DataFrame:
     """One row per document: bytes, bytes removed, spans removed, and the digest of what is left."""
     done = remove_repeats(docs)
