@@ -89,8 +89,8 @@ class Bpe:
         self.byte_pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.queue = RankQueue(max(self.tokens) + 1)
         self.pairs: dict[int, int] = {}
-        self.tokens_seen = PieceCache(self._encode_tokens, 500_000)
-        self.cache = PieceCache(self._encode_pieces, 250_000)
+        self.tokens_seen = PieceCache(self._encode_tokens, 800_000)
+        self.cache = PieceCache(self._encode_pieces, 500_000)
 
     def _rank(self, key: int) -> int:
         """The rank of two neighbouring tokens (left << 32 | right) joined, or -1; remembered in ``pairs``."""
