@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch that a task hands to Python. A batch holds whole rows, so one row may exceed it.
 BATCH_BYTES = 4 << 20
+#: Bytes of text that numpy works on at once within a batch; its temporary arrays are some ten times as large.
+SLICE = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -53,6 +58,17 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return column.fill_null("").to_pylist()
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of rows of about SLICE bytes, with the number of the first row."""
+    ends = np.cumsum(pa.compute.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+        yield first, column.slice(first, last - first)
+        first = last
+
+
 # --- words of many texts at once, as numpy arrays ---------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

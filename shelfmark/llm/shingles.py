@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from shelfmark.llm.common import buffer_of, lowered, mix, word_hashes, word_spans
+from shelfmark.llm.common import buffer_of, lowered, mix, slices, word_hashes, word_spans
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -17,6 +17,11 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
     Fewer words give their whole sequence as one shingle; null, empty and blank texts give none.
     """
+    for _, part in slices(column):
+        yield from _sets(part, width)
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     data, offsets = buffer_of(column)
     data = lowered(data)
     starts, ends, bounds = word_spans(data, offsets)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, picked, small_batches
+from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, picked, slices, small_batches
 from shelfmark.session import checkpoint
 
 #: Bytes of a gram. Must be less than the length of the strings.
@@ -190,7 +190,8 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     """(key, start, stop): stretches of texts, named by their digest, that repeated strings cover; they may overlap."""
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        parts = (batch.slice(at, len(part)) for batch in batches for at, part in slices(batch.column(1)))
+        for batch in parts:
             data, offsets = buffer_of(batch.column(1))
             row, first, starts, hashes = regions(data, offsets, length)
             plain = data.tobytes()

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.llm import common as helpers
 from shelfmark.llm import language, language_model, order_minhash, quality, toxicity
 from shelfmark.llm.common import buffer_of
 from tests.llm.rows import WORD, awkward, frame, words
@@ -149,7 +150,7 @@ def spelled(text):
 
 def test_language_model_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(language_model, "LANE", 16)
-    monkeypatch.setattr(language_model, "SLICE", 2000)
+    monkeypatch.setattr(helpers, "SLICE", 2000)
     rows = awkward(n=40)
     docs = frame(spark, rows, ["block", "word", "n_known", "part"]).withColumn("learns", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 1, F.lit(False)))
     model = language_model.build(language_model.gram_counts(docs.where("learns")), share=2.0**-9)
