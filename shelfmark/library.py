@@ -1,7 +1,8 @@
 """The whole in one place: a knowledge base's tables, and searches over one or two of them.
 
-Every method takes a frame of questions and returns one lazy frame of hits, so a thousand
-questions are one job. Embedding and language models are callables the user passes in.
+Every method takes a frame of questions and returns one frame of hits, so a thousand questions are
+one pass over the chunks. What is used twice on the way (matches, candidates, a first list) is written
+to the shared folder while the frame is being built. Embedding and language models are callables the user passes in.
 """
 
 from __future__ import annotations
@@ -123,13 +124,16 @@ class Library:
             )
         )
 
-        def merged(method: str) -> DataFrame:
-            hits = self._merge(method, asked.select("query_id", "query"), planning.PER_SEARCH, None, None)
-            named = hits.join(asked.select("query_id", "question_id", "search"), "query_id")
+        def merged(method: str, of: DataFrame) -> DataFrame:
+            hits = self._merge(method, of.select("query_id", "query"), planning.PER_SEARCH, None, None)
+            named = hits.join(of.select("query_id", "question_id", "search"), "query_id")
             return fusion.merge_searches(named.select("question_id", "search", "scope", "chunk_id", "rank"), limit)
 
-        found = merged("search")
-        return fusion.with_fallback(found, merged("find")) if self.semantic_ready() else found
+        if not self.semantic_ready():
+            return merged("search", asked)
+        found = checkpoint(merged("search", asked))
+        open_ = checkpoint(asked.join(found.select("question_id").distinct(), "question_id", "left_anti"))
+        return found if open_.isEmpty() else found.unionByName(merged("find", open_))
 
     def passages(self, found: DataFrame, unreviewed: DataFrame) -> DataFrame:
         """The texts of retrieved chunks, numbered per question."""
@@ -141,8 +145,9 @@ class Library:
         return reduce(DataFrame.unionByName, parts)
 
     def overview(self) -> str:
-        """What a planner is told: titles within a few thousand characters."""
-        titles = reduce(DataFrame.unionByName, [b.docs.select("title") for b in self._bases()])
+        """What a planner is told: titles within a few thousand characters, of what the project can see."""
+        seen = catalog.visible(self.everywhere.docs, self.everywhere.shelves, self.shelves)
+        titles = reduce(DataFrame.unionByName, [d.select("title") for d in ([self.project.docs] if self.project else []) + [seen]])
         lines = planning.contents(titles).orderBy("pos").collect()
         return "Titles: " + "; ".join(r["line"] for r in lines)
 

@@ -73,3 +73,11 @@ def test_library_and_answer(spark, base):
     got = Library(base).ask(spark, "how do I set the CAN bus, or erase a sector?", model, "plan", "answer", none)
     assert got["answer"] == "Set it [1], see [2]."
     assert [(s["n"], s["title"]) for s in got["sources"]] == [(1, "flash.md"), (2, "can.md")]
+
+
+def test_overview_and_retrieval_stay_within_the_shelves(spark, base):
+    assert "can;" in Library(base).overview() and "can;" not in Library(base, shelves=["Others"]).overview()
+    assert "can;" in Library(base, shelves=["boards"]).overview()
+    searches = spark.createDataFrame([(1, ["arbitration"]), (2, ["operating heat"]), (3, ["zzzz"])], "question_id long, searches array<string>")
+    found = {(r["question_id"], r["chunk_id"].split("#")[0]) for r in Library(base).retrieve(searches, 8).collect()}
+    assert {f for f in found if f[0] == 1} == {(1, "k-2")} and (2, "k-1") in found
