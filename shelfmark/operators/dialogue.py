@@ -20,14 +20,16 @@ def shell_writes(command: Column | str) -> Column:
 
 
 def note_nudges(
-    messages: DataFrame, note_tool: str = "kb_note", own_tools: str = "kb_", reminder: str = "note-reminder"
+    messages: DataFrame, note_tool: str, own_tools: str, reminder: str
 ) -> DataFrame:
     """conv_id, reason: ``debugged`` (a tool failed, then a file was edited) or ``told`` (a lasting wish).
 
     ``messages``: conv_id, turn, role, text, tool, call_id, is_error, arguments, kind. Only what
     follows a conversation's last user message counts, and never twice or after a note was saved.
-    Conversations are reduced by aggregates; the join back is on a one-row-per-conversation side,
-    which adaptive execution splits if a conversation is very long.
+    ``note_tool`` saves notes, names of the knowledge base's tools begin with ``own_tools``, ``reminder`` is the kind of
+    message that reminds. Conversations are reduced by aggregates; the join back is on a one-row-per-conversation side,
+    which adaptive execution splits if a conversation is very long. Calls and their results meet by call id; what has
+    none joins nothing.
     """
     user = F.col("role") == "user"
     last = messages.filter(user).groupBy("conv_id").agg(
@@ -42,19 +44,20 @@ def note_nudges(
         .select("conv_id", "call_id")
         .filter("call_id is not null")
         .distinct()
-        .withColumn("_writes", F.lit(True))
     )
     result = F.col("role") == "toolResult"
     failed = F.coalesce("is_error", F.lit(False))
-    edited = F.col("tool").isin(EDIT_TOOLS) | F.col("_writes").isNotNull()
-    facts = run.join(writes, ["conv_id", "call_id"], "left").groupBy("conv_id").agg(
+    shell = run.filter(result & ~failed & F.col("call_id").isNotNull()).join(writes, ["conv_id", "call_id"], "left_semi")
+    shell = shell.groupBy("conv_id").agg(F.max("turn").alias("shell_at"))
+    facts = run.groupBy("conv_id").agg(
         F.min(F.when(result & failed, F.col("turn"))).alias("failed_at"),
-        F.max(F.when(result & ~failed & F.coalesce(edited, F.lit(False)), F.col("turn"))).alias("edited_at"),
+        F.max(F.when(result & ~failed & F.coalesce(F.col("tool").isin(EDIT_TOOLS), F.lit(False)), F.col("turn"))).alias("tool_at"),
         F.max(
             ((F.col("role") == "custom") & F.col("kind").eqNullSafe(reminder))
             | (call & F.col("tool").eqNullSafe(note_tool))
         ).alias("done"),
     )
+    facts = facts.join(shell, "conv_id", "left").withColumn("edited_at", F.greatest("tool_at", "shell_at"))
     fixed = F.coalesce(F.col("failed_at") < F.col("edited_at"), F.lit(False))
     reason = F.when(fixed, "debugged").when(F.rlike("said", F.lit(LASTING)), "told")
     return (

@@ -453,13 +453,13 @@ def note_nudges(spark, sf):
         F.col("event_id").alias("turn"),
         F.when(kind == "view", "user").when(kind.isin("error", "purchase"), "toolResult").otherwise("assistant").alias("role"),
         F.when(F.col("value") < 40, "From now on use this").otherwise("what is it").alias("text"),
-        F.when(kind == "purchase", "edit").when(kind == "error", "bash").when((kind == "signup") & (F.col("value") > 60), "kb_note").alias("tool"),
+        F.when(kind == "purchase", "edit").when(kind == "error", "bash").when((kind == "signup") & (F.col("value") > 60), "save_note").alias("tool"),
         F.lit(None).cast("string").alias("call_id"),
         (kind == "error").alias("is_error"),
         F.lit("{}").alias("arguments"),
         F.lit(None).cast("string").alias("kind"),
     )
-    return dialogue.note_nudges(m)
+    return dialogue.note_nudges(m, "save_note", "notes_", "reminder")
 
 
 @register("conversation_ends", "SELECT conv_id, max(turn) AS turn, CAST(regexp_matches(arg_max(text, turn), '(?i)from now on|going forward|in (?:the )?future|remember (?:that|this)|keep in mind') AS INT) AS lasting FROM conversations WHERE role = 'user' GROUP BY conv_id")

@@ -61,7 +61,7 @@ def run_of(*steps):
         elif what in ("ok", "fail"):
             rows.append((i, "toolResult", "", x[0], x[1] if len(x) > 1 else None, what == "fail", None, None, None))
         else:
-            rows.append((i, "custom", "", None, None, None, None, "note-reminder", None))
+            rows.append((i, "custom", "", None, None, None, None, "reminder", None))
     return [r[:8] for r in rows]
 
 
@@ -74,8 +74,8 @@ def test_nudges(spark):
         "told": [run_of("user|From now on use tabs"), run_of("user|以后用空格", "fail|bash")],
         None: [
             run_of("user|rename", "ok|edit"), run_of("user|x", "ok|edit", "fail|bash"), run_of("user|fix", "fail|bash", "ok|edit", "user|thanks"),
-            run_of("user|fix", "fail|bash", "ok|edit", "call|kb_note"), run_of("user|fix", "fail|bash", "ok|edit", "custom"),
-            run_of("user|fix", "fail|bash", "call|kb_search|3|echo x > f", "ok|kb_search|3"), run_of("user|fix", "fail|bash", "call|bash|4|ls 2>&1", "ok|bash|4"),
+            run_of("user|fix", "fail|bash", "ok|edit", "call|save_note"), run_of("user|fix", "fail|bash", "ok|edit", "custom"),
+            run_of("user|fix", "fail|bash", "call|notes_find|3|echo x > f", "ok|notes_find|3"), run_of("user|fix", "fail|bash", "call|bash|4|ls 2>&1", "ok|bash|4"),
         ],
     }
     rows, want = [], {}
@@ -84,7 +84,7 @@ def test_nudges(spark):
             conv = len(want)
             want[conv] = reason
             rows += [(conv, *m) for m in messages]
-    got = {r["conv_id"]: r["reason"] for r in D.note_nudges(spark.createDataFrame(rows, MSG)).collect()}
+    got = {r["conv_id"]: r["reason"] for r in D.note_nudges(spark.createDataFrame(rows, MSG), "save_note", "notes_", "reminder").collect()}
     assert got == {k: v for k, v in want.items() if v}
 
 
