@@ -168,9 +168,12 @@ def note_sources(spark, sf):
     "lint_report",
     NOTES_SQL + """, l AS (SELECT doc_id AS note_id, scope, 'Note ' || (doc_id // 2) AS target, doc_id // 2 AS d FROM raw
   UNION ALL SELECT doc_id, scope, 'n' || doc_id * 2 || '.md', doc_id * 2 FROM raw),
-  r AS (SELECT note_id, l.scope, target, r.doc_id AS to_id, r.scope AS to_scope FROM l LEFT JOIN raw r ON l.d = r.doc_id)
+  r AS (SELECT note_id, l.scope, target, r.doc_id AS to_id, r.scope AS to_scope FROM l LEFT JOIN raw r ON l.d = r.doc_id),
+  t AS (SELECT min(doc_id) AS doc_id, regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM raw GROUP BY 2 HAVING t <> ''),
+  g AS (SELECT doc_id, CASE WHEN length(t) = 1 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS BIGINT), 2))) END AS g FROM t)
   SELECT kind, count(*) AS n FROM (SELECT 'broken' AS kind FROM r WHERE to_id IS NULL UNION ALL SELECT 'private' FROM r WHERE scope = 'project' AND to_scope = 'global'
   UNION ALL SELECT 'untagged' FROM raw WHERE quality IS NULL OR quality <> 1 UNION ALL SELECT 'unreviewed' FROM raw WHERE toxic = 1
+  UNION ALL SELECT 'duplicate' FROM g x JOIN g y ON x.doc_id < y.doc_id WHERE 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) >= 0.7
   UNION ALL SELECT 'stale' FROM (""" + SOURCES_SQL.replace(", c AS", "WITH c AS") + """) WHERE state IS NOT NULL) GROUP BY kind""",
 )
 def lint_report(spark, sf):
@@ -180,8 +183,10 @@ def lint_report(spark, sf):
     docs = B.docs(spark, sf).filter("collection = 'docs'").select(
         "doc_id", F.concat(F.lit("DOC "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("title"), F.lit("global").alias("scope"), "added_at"
     )
-    none = spark.createDataFrame([], "a bigint, b bigint")
-    return N.lint(notes, docs, none, none).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    openings = B.read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"))
+    alike = similarity.title_pairs(openings).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    none = spark.createDataFrame([], "a bigint, b bigint")  # mutual best matches need vectors of the notes
+    return N.lint(notes, docs, alike, none).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
