@@ -29,7 +29,7 @@ from shelfmark.session import checkpoint
 #: A shingle is frequent if more than one document in so many has it; there are at most this times the mean set size.
 FREQUENT = 2048
 #: Most rounds of comparing lists with one pivot, each with other pivots; a round that links nothing is the last.
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 4
 #: Bits of the short parity bitmap that bounds the difference of two sets from below; the wide one has 4 a shingle.
 BITMAP = 512
 WIDE = 4
@@ -187,8 +187,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     entries = checkpoint(entries.join(lists, "token"))
 
     alike = f"100 * shared >= {percent} * total"
-    links, distances = member.toDF("a", "b"), None
-    label = checkpoint(components(links))
+    links, distances = None, None
+    label = spark.createDataFrame([], "id long, label long")
     for turn in range(PIVOT_ROUNDS):
         labelled = checkpoint(_labelled(entries, label))
         mixed = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos", "label")).alias("p"), F.min("label").alias("least"), F.max("label").alias("most"))
@@ -206,11 +206,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
         fresh = known.where(alike).select("a", "b")
         if fresh.isEmpty():
             break
-        links = links.unionByName(fresh)
+        links = fresh if links is None else links.unionByName(fresh)
         label = checkpoint(components(links))
     rest = _verified(checkpoint(_likely(_remaining(_labelled(entries, label), info, distances, percent), info, percent)), docs, width)
-    links = links.unionByName(rest.where(alike).select("a", "b"))
-    label = checkpoint(components(links))
+    every = member.toDF("a", "b").unionByName(rest.where(alike).select("a", "b"))
+    label = checkpoint(components(every if links is None else every.unionByName(links)))
     return info.select("id", "n").join(label, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
