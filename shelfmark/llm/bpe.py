@@ -10,6 +10,7 @@ Pre-tokens never touch, so the lowest rank of the whole list is also the lowest
 from __future__ import annotations
 
 import base64
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -179,8 +180,17 @@ class Bpe:
         return [b"".join([known[token] for token in found]) for found in cut]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        return self.cache.ids(batch)
+        """The ids of each text, as little-endian unsigned 32-bit integers.
+
+        Python's cycle collector rests meanwhile: it would walk the remembered pieces again and again, which hold no cycles.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.cache.ids(batch)
+        finally:
+            if collecting:
+                gc.enable()
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for."""
