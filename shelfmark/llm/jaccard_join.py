@@ -183,7 +183,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     member = real.select("id", "digest").join(same, "digest").select("id", "rep").where("id <> rep").distinct()
     reps = real.join(same.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
     entries = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
+    # A list of two is one pair: sizes and positions decide at once whether it can be alike.
+    lists = entries.groupBy("token").agg(
+        F.count(F.lit(1)).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("room")
+    )
+    pair_fails = (100 * F.col("least") < percent * F.col("most")) | (F.col("room") < _need(F.col("least"), F.col("most"), percent))
+    lists = lists.where((F.col("held") > 1) & ~((F.col("held") == 2) & pair_fails)).select("token")
     entries = checkpoint(entries.join(lists, "token"))
 
     alike = f"100 * shared >= {percent} * total"
