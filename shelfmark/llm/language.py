@@ -46,13 +46,14 @@ class LanguageModel:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS) -> LanguageModel:
     """Dictionaries from rows with a text and a language; other rows teach nothing.
 
-    The sample is bounded: ``sample`` texts a language at most, those with the smallest hashes, each by its first
-    SAMPLE_CHARS characters. Counts by language are taken first, and the scan keeps only as large a share of the
-    hashes as holds the sample, so a task returns few rows however large the table. No rows: a model without languages.
+    The sample is bounded: ``sample`` distinct texts a language at most, those with the smallest hashes, each by its first
+    SAMPLE_CHARS characters. Distinct hashes are counted by language first, as copies share one, and the scan keeps only
+    as large a share of the hashes as holds the sample, so a task returns few rows however large the table. No rows: a
+    model without languages.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     hashed = F.xxhash64(F.col(text))
+    counts = {r[0]: r[1] for r in known.select(F.col(lang).alias("lang"), hashed.alias("h")).distinct().groupBy("lang").count().collect()}
     limits = {name: min(2**63 - 1, -(2**63) + int(min(1.0, 2 * sample / n) * 2**64)) for name, n in counts.items()}
     wanted: Column = F.lit(False)
     for name, limit in limits.items():

@@ -38,6 +38,16 @@ def test_language_without_rows(spark):
     assert language.classify(frame(spark, []), model).collect() == []
 
 
+def test_language_rich_in_copies(spark):
+    """8,000 copies of one text beside 300 others: as many distinct texts are learnt as without the copies."""
+    rng = random.Random(8)
+    others = [(i, words(rng, 20, "es"), "es", None) for i in range(300)]
+    copies = frame(spark, [(0, "el mismo texto", "es", None)]).crossJoin(spark.range(8000)).drop("id")
+    model = language.train(frame(spark, others).unionByName(copies))
+    learnt = set(model.content["es"].decode().split("\n"))
+    assert len(learnt) == language.SAMPLE_TEXTS and learnt <= {language.letters(t) for _, t, _, _ in others} | {"el mismo texto"}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     found = language.language_query(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out")
