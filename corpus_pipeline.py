@@ -6,8 +6,8 @@ one the pieces of the packed sequences. Between stages documents are Parquet in
 * language_id: texts whose language cannot be told (no letter, or too narrow a margin between the best two) go.
 * quality_rules: texts that fail a rule go, and all texts of hosts whose drawn-in failure rate is too high.
 * near_duplicates: of the documents that 5-word shingles link at 80 % or more, the one with the smallest id stays.
-* repeated_passages: bytes covered by repeated 400-byte strings go; a character cut in two goes whole, a document of which
-  nothing but blanks is left goes too.
+* repeated_passages: bytes covered by repeated 400-byte strings or by repeated passages of over 50 words, however short
+  these are, go; a character cut in two goes whole, a document of which nothing but blanks is left goes too.
 * packing: what is left, in sequences of 2048 tokens.
 
 Nulls: a null text has no language and goes in the first stage. Rows that share an id are told apart by their texts: of
@@ -27,6 +27,8 @@ from shelfmark.llm import jaccard_join, language, packing, quality, suffix_dedup
 from shelfmark.llm.common import picked
 from shelfmark.session import checkpoint
 
+#: A repeated passage of so many words goes (over 50), also if it has fewer than 400 bytes.
+PASSAGE_WORDS = 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -55,8 +57,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; ``n_chars`` follows the text."""
-    done = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
+    """Documents without their repeated passages (400 bytes, or PASSAGE_WORDS words); ``n_chars`` follows the text."""
+    done = suffix_dedup.remove_repeats(docs.select(*COLUMNS), least_words=PASSAGE_WORDS)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

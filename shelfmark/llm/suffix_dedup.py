@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, picked, slices, small_batches
+from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, picked, slices, small_batches, word_hashes, word_spans
 from shelfmark.session import checkpoint
 
 #: Bytes of a gram. Must be less than the length of the strings.
 GRAM = 32
 #: Bytes of regions of which one suffix array is built; an anchor whose regions are larger takes the third way.
 ARRAY_BYTES = 1 << 20
+#: Bytes that stand for a word where passages are compared by words.
+CODE = 8
 #: Starts that a part of a too large anchor holds.
 STEP = 64
 _PLACE = 28
@@ -317,7 +319,26 @@ def _by_digest(regions_: DataFrame, length: int) -> DataFrame:
     return singles.where("held = 1").join(twice, "string").select("key", "start", (F.col("start") + length).alias("stop"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _coded(docs: DataFrame) -> DataFrame:
+    """The rows (key, text, id) with CODE characters of 6 bits of its hash for each word, so that strings of words are strings
+    of bytes of one length. Strings that begin within a code are equal only where whole codes are, but for collisions."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch.slice(at, len(part)) for batch in batches for at, part in slices(batch.column(1)))
+        for batch in parts:
+            data, offsets = buffer_of(batch.column(1))
+            starts, ends, bounds = word_spans(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            codes = np.empty((len(hashes), CODE), np.uint8)
+            for i in range(CODE):
+                codes[:, i] = 48 + ((hashes >> np.uint64(6 * i)) & np.uint64(63)).astype(np.uint8)
+            coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(bounds.astype(np.int64) * CODE), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), coded.cast(pa.large_string()).cast(pa.string()), batch.column(2)], ["key", "text", "id"])
+
+    return docs.mapInArrow(code, docs.schema)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", least_words: int | None = None) -> DataFrame:
     """Add ``spans`` (array of struct start, stop in bytes: maximal, in order) and ``kept`` (the other bytes, binary).
 
     A byte is covered if a string of ``length`` bytes over it also starts anywhere else, in the same text or another
@@ -325,19 +346,24 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
     shorter, empty and null texts have no spans (kept: their bytes; null: empty). ``key`` may be null or repeated; it only
     spares reading all copies of a text. Rows and other columns stay, columns of the added names are replaced; an empty
     table gives an empty one.
+
+    With ``least_words``, passages of so many words (runs outside blanks and 0x09-0x0D) that also start anywhere else are
+    covered as well, from their first word to their last, however few bytes they have and whatever blanks part the words.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("spans", "kept")
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("id")).withColumn("key", _key(F.col("text")))
-    spans = checkpoint(_spans(base.select("key", "text", "id"), length))
-    ordered = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    spans = checkpoint(_spans(base.select("key", "text", "id"), length)).withColumn("by_words", F.lit(False))
+    if least_words:
+        spans = spans.unionByName(checkpoint(_spans(_coded(base.select("key", "text", "id")), CODE * least_words)).withColumn("by_words", F.lit(True)))
+    ordered = F.array_sort(F.collect_set(F.struct("start", "stop", "by_words")))
     merged = spans.groupBy(F.col("key").alias("__dedup_key")).agg(ordered.alias("__dedup_found"))
-    merged = merged.select("__dedup_key", F.col("__dedup_found.start").alias("__dedup_starts"), F.col("__dedup_found.stop").alias("__dedup_stops"))
+    merged = merged.select("__dedup_key", *(F.col(f"__dedup_found.{a}").alias(f"__dedup_{b}") for a, b in (("start", "starts"), ("stop", "stops"), ("by_words", "by_words"))))
     with_key = docs.withColumn("__dedup_own", _key(F.coalesce(F.col(text), F.lit(""))))
     joined = with_key.join(merged, with_key["__dedup_own"] == merged["__dedup_key"], "left").drop("__dedup_own", "__dedup_key")
     names = joined.columns
-    at, starts_at, stops_at = (names.index(n) for n in (text, "__dedup_starts", "__dedup_stops"))
-    keep = [i for i, n in enumerate(names) if i not in (starts_at, stops_at)]
+    at, starts_at, stops_at, words_at = (names.index(n) for n in (text, "__dedup_starts", "__dedup_stops", "__dedup_by_words"))
+    keep = [i for i, n in enumerate(names) if i not in (starts_at, stops_at, words_at)]
     out_names = [*docs.columns, "spans", "kept"]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", kind), T.StructField("kept", T.BinaryType())])
@@ -346,10 +372,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
         """Spans stay arrays throughout: a text of one short line over and over has one for every few bytes."""
         for batch in batches:
             begins, ends, counts, kept = [], [], [], []
-            for text_, first, last in zip(batch.column(at), batch.column(starts_at), batch.column(stops_at), strict=True):
+            for text_, first, last, by_words in zip(*(batch.column(i) for i in (at, starts_at, stops_at, words_at)), strict=True):
                 plain = (text_.as_py() or "").encode()
                 if first.is_valid:
-                    start, stop = _joined(first.values.to_numpy(), last.values.to_numpy())
+                    start, stop = first.values.to_numpy(), last.values.to_numpy()
+                    if least_words:
+                        start, stop = _in_bytes(plain, start, stop, by_words.values.to_numpy(zero_copy_only=False))
+                    start, stop = _joined(start, stop)
                     edges = [0, *np.stack((start, stop), axis=1).ravel().tolist(), len(plain)]
                     kept.append(b"".join([plain[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
                     begins.append(start), ends.append(stop), counts.append(len(start))
@@ -363,6 +392,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
     return joined.mapInArrow(cut, schema)
 
 
+def _in_bytes(plain: bytes, starts: np.ndarray, stops: np.ndarray, by_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of their starts, those of coded words as bytes of the text."""
+    starts, stops = starts.copy(), stops.copy()
+    if by_words.any():
+        first, last, _ = word_spans(np.frombuffer(plain, np.uint8), np.array([0, len(plain)]))
+        starts[by_words], stops[by_words] = first[-(-starts[by_words] // CODE)], last[stops[by_words] // CODE - 1]
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order]
+
+
 def _joined(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans in order of their starts, those that touch or overlap as one."""
     reach = np.maximum.accumulate(stops)

@@ -1,6 +1,8 @@
+import random
+
 import corpus_pipeline
 import pytest
-from tests.llm.rows import awkward, frame
+from tests.llm.rows import awkward, frame, words
 from tests.llm.test_duplicates import cut_of, groups_of
 
 
@@ -39,6 +41,22 @@ def test_passages_go(spark, docs):
     assert sorted(r["text"] for r in found) == want and all(len(r["text"]) == r["n_chars"] for r in found)
 
 
+def test_short_passages_go_by_their_words(spark):
+    """51 words of any length go wherever they are repeated, 50 stay."""
+    rng = random.Random(12)
+    some = [" ".join(rng.choice(["a", "of", "wé", "tin", "zu"]) + rng.choice("abcdefgh") for _ in range(n)) for n in (51, 50, 64)]
+    rows, want = [], []
+    for i in range(12):
+        before, after = (words(rng, rng.randint(20, 40), lang) for lang in ("en", "de"))
+        passage = some[i % 3] if i < 9 else ""
+        rows.append((i, f"{before}x{i} {passage if i else passage.replace(' ', chr(10))} y{i}{after}", "en", "host"))
+        want.append((i, [*f"{before}x{i}".split(), *(passage.split() if i % 3 == 1 else ()), *f"y{i}{after}".split()]))
+    assert max(len(p.encode()) for p in some) < 400
+    docs = frame(spark, rows).selectExpr("*", "CAST(length(text) AS long) AS n_chars")
+    found = corpus_pipeline.repeated_passages(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"].split()) for r in found) == want
+
+
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` <> `max(doc_tokens)`").count() == 0
