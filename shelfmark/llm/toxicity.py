@@ -31,8 +31,10 @@ LANDMARKS = 384
 ROUNDS = 4
 LAMBDA = 0.6
 SPAN = 5
-#: Longer units are cut here, so that an insult stands out in a long run of characters.
+#: Longer units are read in windows of so many bytes, so that an insult stands out in a long run of characters.
 LONGEST = 48
+#: Bytes from one window to the next: an insult of up to LONGEST - STRIDE bytes lies whole in some window wherever it stands.
+STRIDE = 16
 #: Least likeness of a unit to itself: that of three letters side by side. Shorter units score the bias.
 SMALLEST = 1.0
 MARK = 27
@@ -52,10 +54,12 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of the bytes (0: a blank between units), starts of the units, and n+1 unit offsets by row.
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the bytes (0: a blank between units), starts of the units, (start, end) of the windows, and n+1 window
+    offsets by row.
 
-    A blank between two words of one character each joins them. No unit crosses rows or is longer than LONGEST.
+    A blank between two words of one character each joins them. No unit crosses rows. A unit of up to LONGEST bytes is one
+    window, a longer one has a window of LONGEST bytes every STRIDE bytes until its end is reached.
     """
     n = len(data)
     solid = np.zeros(n + 4, bool)
@@ -68,14 +72,12 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts[borders] = inside[borders]
     classes = np.where(inside, _CLASS[data], 0).astype(np.uint8)
     first = np.flatnonzero(starts)
-    if len(first):
-        gaps = np.append(np.flatnonzero(~inside), n)
-        ends = np.minimum(np.append(first[1:], n), gaps[np.searchsorted(gaps, first)])
-        long = np.flatnonzero(ends - first > LONGEST)
-        if len(long):
-            more = np.concatenate([np.arange(first[i], ends[i], LONGEST)[1:] for i in long])
-            first = np.sort(np.concatenate((first, more)))
-    return classes, first, np.searchsorted(first, offsets)
+    gaps = np.append(np.flatnonzero(~inside), n)
+    ends = np.minimum(np.append(first[1:], n)[: len(first)], gaps[np.searchsorted(gaps, first)])
+    held = 1 + np.maximum(0, -(-(ends - first - LONGEST) // STRIDE))
+    begin = np.repeat(first, held) + STRIDE * (np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held))
+    windows = np.stack((begin, np.minimum(begin + LONGEST, np.repeat(ends, held))), axis=1)
+    return classes, first, windows, np.searchsorted(begin, offsets)
 
 
 def occurrences(classes: np.ndarray, first: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
@@ -105,20 +107,22 @@ class ToxicityModel:
     slope: float
     shift: float
 
-    def decisions(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The machine's decision for each unit. Its likeness to itself takes its subsequences as distinct."""
+    def decisions(self, classes: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """The machine's decision for each window, over the subsequences of its unit that start in it. Its likeness to itself
+        takes its subsequences as distinct."""
         if not len(first):
             return np.zeros(0)
-        each, own = np.zeros(len(classes), np.float32), np.zeros(len(classes), np.float32)
+        each, own = np.zeros(len(classes) + 1, np.float32), np.zeros(len(classes) + 1, np.float32)
         for weight, at, feature in occurrences(classes, first):
             each[at] += np.float32(weight) * self.weights[feature]
             own[at] += np.float32(weight * weight)
-        return np.add.reduceat(each, first) / np.sqrt(np.maximum(np.add.reduceat(own, first), SMALLEST)) + self.bias
+        edges = windows.ravel()
+        return np.add.reduceat(each, edges)[::2] / np.sqrt(np.maximum(np.add.reduceat(own, edges)[::2], SMALLEST)) + self.bias
 
     def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The worst decision of each row; a row without units has the bias."""
-        classes, first, bounds = units(data, offsets)
-        found = np.append(self.decisions(classes, first), -np.inf)
+        classes, first, windows, bounds = units(data, offsets)
+        found = np.append(self.decisions(classes, first, windows), -np.inf)
         out = np.full(len(offsets) - 1, self.bias)
         some = bounds[1:] > bounds[:-1]
         if some.any():
@@ -172,13 +176,13 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = R
     if not len(rows) or labels.min() == labels.max():
         share = float(labels.mean()) if len(rows) else 0.0
         return ToxicityModel(np.zeros(1 << 15, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    blocks = []  # (labels, bytes, offsets of rows, classes, starts of units, unit offsets of rows)
+    blocks = []  # (labels, bytes, offsets of rows, classes, starts of units, windows, window offsets of rows)
     for at in range(0, len(rows), BLOCK):
         data, offsets = buffer_of(pa.array([t for t, _ in rows[at : at + BLOCK]], pa.string()))
         blocks.append((labels[at : at + BLOCK], data, offsets, *units(data, offsets)))
     # First guess: how much more often a feature is in toxic than in clean documents.
     counts = np.zeros((2, 1 << 15))
-    for label, _, offsets, classes, first, _ in blocks:
+    for label, _, offsets, classes, first, *_ in blocks:
         row_of = np.repeat(np.arange(len(label)), np.diff(offsets))
         seen = np.zeros((len(label), 1 << 15), bool)
         for _, at, feature in occurrences(classes, first):
@@ -190,9 +194,9 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = R
     chance = np.random.default_rng(7)
     for turn in range(rounds):
         worst, clean, ordinary = set(), set(), set()
-        for label, data, _, classes, first, bounds in blocks:
-            decisions, ends = model.decisions(classes, first), np.append(first[1:], len(data))
-            text_of = lambda i: data[first[i] : ends[i]].tobytes().lower().strip()  # noqa: E731, B023
+        for label, data, _, classes, first, windows, bounds in blocks:
+            decisions = model.decisions(classes, first, windows)
+            text_of = lambda i: data[windows[i, 0] : windows[i, 1]].tobytes().lower().strip()  # noqa: E731, B023
             for row in np.flatnonzero(bounds[1:] > bounds[:-1]):
                 top = bounds[row] + int(np.argmax(decisions[bounds[row] : bounds[row + 1]]))
                 (worst if label[row] else clean).add(text_of(top))

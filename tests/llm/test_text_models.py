@@ -134,6 +134,25 @@ def test_toxicity_finds_disguised_insults():
     assert 0 <= score(None)[0] < 0.7 and score("")[0] == score("   ")[0] == score(None)[0]
 
 
+def test_toxicity_finds_insults_anywhere_in_long_runs():
+    """An insult at every offset of a 200-byte run, and of a sentence in single letters."""
+    rng = random.Random(6)
+    insults = ["grumpelfritz", "nastywort", "zokkelbag"]
+    rows = []
+    for i in range(300):
+        text = words(rng, 60).split()
+        if i % 3 == 0:
+            text.insert(rng.randrange(60), rng.choice(insults))
+        rows.append((" ".join(text), int(i % 3 == 0)))
+    model = toxicity.fit(rows)
+    worst = lambda of: model.worst(*buffer_of(pa.array(of, pa.string())))
+    run = words(rng, 60).replace(" ", "")[:200]
+    for spell in (lambda t: t, " ".join):
+        clean = worst([spell(run)])[0]
+        for insult in insults:
+            assert worst([spell(run[:at] + insult + run[at:]) for at in range(201)]).min() > clean, insult
+
+
 def test_toxicity_frames(spark):
     docs = frame(spark, awkward(), ["score"])
     for rows, share in (([], 0.0), ([(0, 0), (1, 0), (None, 1)], 0.0), ([(0, 1), (1, 0), (2, None), (2, 0), (3, 1), (3, 0)], None)):
