@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import buffer_of, documents, fold, plus, small_batches
 
-#: Bounds of the training sample: toxic documents, clean documents for each of these, and characters of each.
+#: Bounds of the training sample: toxic documents, and clean documents for each of these.
 SAMPLE_DOCS = 2000
 CLEAN_SHARE = 3
-SAMPLE_CHARS = 4000
 LANDMARKS = 384
 ROUNDS = 4
 LAMBDA = 0.6
@@ -241,7 +240,7 @@ def _curve(decisions: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit on a bounded sample: at most ``sample`` toxic and three times as many clean documents, by the smallest hashes of their ids,
-    each by its first SAMPLE_CHARS characters. Rows without a text, a label or an id teach nothing; of repeated label
+    each with its whole text. Rows without a text, a label or an id teach nothing; of repeated label
     rows of a document the highest counts. Only sampled ids meet the texts, as a broadcast of at most 4 * sample ids.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -255,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Toxi
     if not parts:
         return fit([])
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic").distinct()
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct()
     return fit([(r["text"], int(r["toxic"])) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))][: 4 * sample])
 
 

@@ -164,6 +164,16 @@ def test_toxicity_frames(spark):
     assert toxicity.score(frame(spark, []), toxicity.fit([])).collect() == []
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Insults that only stand behind character 4,000 are learnt."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, 900) + (" grumpelfritz " if i % 3 == 0 else " ") + words(rng, 5), "en", None) for i in range(90)]
+    assert all(t.find("grumpelfritz") > 4000 for i, t, *_ in rows if i % 3 == 0)
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    score = lambda *texts: model.scores(model.worst(*buffer_of(pa.array(list(texts), pa.string())))).tolist()
+    assert min(score(*[words(rng, 30) + " grumpelfritz " + words(rng, 30) for _ in range(20)])) > max(0.7, *score(*[words(rng, 60) for _ in range(20)]))
+
+
 def test_toxicity_held_out(spark):
     """Insults of English documents; the other languages' labels of this table are not in their texts."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
