@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, jaccard_join, language, language_model, order_minhash, packing, quality, suffix_dedup, token_counts, toxicity
+from shelfmark.llm import bpe, embedding_dedup, jaccard_join, language, language_model, order_minhash, packing, quality, suffix_dedup, token_counts, toxicity
 from shelfmark.llm.common import documents
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -26,7 +26,8 @@ SQL: dict[str, str] = {
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id)
   JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
     "op5_host_quality": rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-  w AS (SELECT *, regexp_extract_all(t, {WORDS}) AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l FROM d),
+  w AS (SELECT *, regexp_extract_all(t, {WORDS}) AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l FROM d),
   x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
   five AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS v
     FROM x WINDOW p AS (PARTITION BY rid ORDER BY i)),
@@ -87,6 +88,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_query(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
