@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, embedding_dedup, jaccard_join, language, language_model, order_minhash, packing, quality, suffix_dedup, token_counts, toxicity
+from shelfmark.llm import bpe, embedding_dedup, jaccard_join, language, language_model, order_minhash, packing, quality, source_audit, suffix_dedup, token_counts, toxicity
 from shelfmark.llm.common import documents
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -45,6 +45,25 @@ SQL: dict[str, str] = {
   verdict AS (SELECT source, (failures + mean * size) / (docs + size) > 0.5 AS host_blocked FROM h, prior)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT host_blocked AS kept, host_blocked
   FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source""",
+    "op12_source_audit": rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+  kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+  c AS (SELECT lang, source, term, count(*) AS k FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+  n AS (SELECT lang, source, sum(k) AS n FROM c GROUP BY lang, source),
+  whole AS (SELECT lang, sum(n) AS n FROM n GROUP BY lang),
+  p AS (SELECT g.lang, g.source, kept.term, coalesce(k, 0) AS k, 1 + 1000000000::HUGEINT * (coalesce(k, 0) + 2) // (coalesce(n, 0) + 2 * v) AS p
+    FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN n USING (lang, source)),
+  q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(k) + 2) // (any_value(n) + 2 * any_value(v)) AS q FROM c JOIN whole USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+  f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+  pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+    FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+  terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE k > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+  SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
 
 
@@ -92,6 +111,10 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_query(documents(spark, sf_dir, "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
