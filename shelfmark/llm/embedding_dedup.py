@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +50,22 @@ EXACT = 1 << 15
 SEED = 20_011
 
 
-@lru_cache(maxsize=64)
+_rotations: dict[tuple[int, int], np.ndarray] = {}
+_tables: dict[tuple[int, int, float, float], int] = {}
+
+
 def rotation(dim: int, number: int) -> np.ndarray:
     """The random rotation of this number, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng((SEED, dim, number)).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    if (dim, number) not in _rotations:
+        q, r = np.linalg.qr(np.random.default_rng((SEED, dim, number)).standard_normal((dim, dim)))
+        _rotations[dim, number] = q * np.sign(np.diag(r))
+    return _rotations[dim, number]
 
 
-def levels_for(rows: int, dim: int) -> int:
-    """Coordinates that name a bucket, so that buckets hold BUCKET rows on average at most."""
+def levels_for(rows: int, dim: int, bucket: int) -> int:
+    """Coordinates that name a bucket, so that buckets hold ``bucket`` rows on average at most."""
     levels = 1
-    while rows * PROBES > BUCKET * (2 * dim) ** levels and levels < 8:
+    while rows * PROBES > bucket * (2 * dim) ** levels and levels < 8:
         levels += 1
     return levels
 
@@ -83,15 +87,17 @@ def _names(turned: np.ndarray) -> np.ndarray:
     return name
 
 
-@lru_cache(maxsize=256)
 def tables_for(dim: int, levels: int, threshold: float) -> int:
     """Tables needed so that a pair at the threshold meets in none with a chance of MISSED: by a trial on random pairs."""
+    if (known := _tables.get((dim, levels, threshold, MISSED))) is not None:
+        return known
     rng = np.random.default_rng((SEED, dim, levels))
     rows = max(200, min(4000, 2_000_000 // (dim * levels)))
     x = rng.standard_normal((rows, levels, dim))
     y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * rng.standard_normal((rows, levels, dim))
     meet = float((_names(x)[:, :, None] == _names(y)[:, None, :]).any((1, 2)).mean())
-    return 1 if meet >= 1 - MISSED else max(1, math.ceil(math.log(MISSED) / math.log(1 - max(meet, 0.01))))
+    tables = 1 if meet >= 1 - MISSED else max(1, math.ceil(math.log(MISSED) / math.log(1 - max(meet, 0.01))))
+    return _tables.setdefault((dim, levels, threshold, MISSED), tables)
 
 
 def bucket_names(units: np.ndarray, levels: int, threshold: float) -> np.ndarray:
@@ -282,7 +288,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     width = int(kind[2])
     whole = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
     whole = checkpoint(whole.withColumn("dim", (F.octet_length("vec") / width).cast("int")))
-    total = whole.count()
+    total, bucket = whole.count(), BUCKET
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +297,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
                 some = batch.filter(pa.array(dims == dim))
                 units = _units(np.frombuffer(b"".join(some.column("vec").to_pylist()), kind).reshape(-1, dim).astype(np.float64))
                 code, corner = codes(units)
-                names = bucket_names(units, levels_for(total, int(dim)), threshold).view(np.int64)
+                names = bucket_names(units, levels_for(total, int(dim), bucket), threshold).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(corner), pa.array([n.tolist() for n in names], pa.list_(pa.list_(pa.int64())))],
                     [*some.schema.names, "code", "corner", "names"],
@@ -319,7 +325,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
                 group = _groups(part)
                 begins = np.flatnonzero(np.diff(group, prepend=-1))
                 sizes = np.diff(begins, append=len(group))
-                found = _Rows(part, int(dim), kind, levels_for(total, int(dim)), threshold)
+                found = _Rows(part, int(dim), kind, levels_for(total, int(dim), bucket), threshold)
                 few = np.where(np.repeat(sizes, sizes) <= SMALL, group, -1 - np.arange(len(group)))
                 found.small(few)
                 for k in np.flatnonzero(sizes > SMALL):

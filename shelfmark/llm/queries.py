@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, embedding_dedup, jaccard_join, language, language_model, order_minhash, packing, quality, source_audit, suffix_dedup, token_counts, toxicity
+from shelfmark.llm import bpe, embedding_dedup, jaccard_join, language, language_model, order_minhash, packing, quality, source_audit, suffix_dedup, token_alignment, token_counts, toxicity
 from shelfmark.llm.common import documents
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -115,6 +115,11 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_query(documents(spark, sf_dir, "text", "lang", "source"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment_query(documents(spark, sf_dir, "doc_id", "text"), a, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }

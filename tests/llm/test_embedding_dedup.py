@@ -60,10 +60,8 @@ SCHEMA = "vec_id long, embedding array<float>"
 def test_links_are_brute_forces(spark, monkeypatch, dim, block, small, bucket):
     for name, value in (("BLOCK", block), ("SMALL", small), ("BUCKET", bucket), ("MISSED", 1e-6)):
         monkeypatch.setattr(E, name, value)
-    E.tables_for.cache_clear()
     rows = clouds(np.random.default_rng(dim), dim, 5, 25, 90)
     assert result(E.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 0.9)
-    E.tables_for.cache_clear()
 
 
 def test_awkward_vectors(spark):
