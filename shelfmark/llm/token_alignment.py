@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
-Both libraries tell where a token lies in the text: ``tokenizers`` by character offsets, ``sentencepiece`` by the spans of
-its proto. These are coarse cuts. A character of several bytes may be shared by several tokens, and a byte-fallback token
+Both libraries tell where a token lies in the text, in characters: ``tokenizers`` by offsets, ``sentencepiece`` by the
+spans of its immutable proto, which its present version hands out as an offset mapping. These are coarse cuts. A character of several bytes may be shared by several tokens, and a byte-fallback token
 has an empty or a whole character's span; within such a run the ends follow from the decoded bytes of its tokens. A run
 whose bytes do not add up to its span, or a token whose bytes are not the text's, makes the text unaligned.
 
@@ -16,6 +16,7 @@ nor the table of counts is ever shuffled link by link or sent to every task.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import os
@@ -36,7 +37,7 @@ from shelfmark.session import checkpoint
 #: Links of one block of documents; a longer document is a block of its own.
 BLOCK_LINKS = 4_000_000
 #: Pieces remembered (twice as many at most), and characters of a piece that is.
-PIECES, PIECE_CHARS = 150_000, 64
+PIECES, PIECE_CHARS = 300_000, 64
 #: Pieces aligned at once.
 BATCH = 20_000
 _SPACE = "▁"
@@ -94,13 +95,14 @@ class Pair:
         return np.fromiter(itertools.chain.from_iterable(ids), np.int64, at[-1]), spans[:, 0], spans[:, 1], at
 
     def _tokens_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same by sentencepiece, spans in bytes: its own blank in front stands for the text's first one."""
-        found = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        rows = [[(p.id, p.begin + 1, p.end + 1) for p in f.pieces] or [(self.blank, 0, 1)] for f in found]
-        at = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(rows)), np.int64, 3 * at[-1]).reshape(-1, 3)
-        flat[at[:-1], 1] = 0
-        return flat[:, 0], flat[:, 1], flat[:, 2], at
+        """The same by sentencepiece: its own blank in front stands for the text's first one."""
+        found = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
+        ids = [f["ids"] or [self.blank] for f in found]
+        at = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64)
+        flat = itertools.chain.from_iterable(itertools.chain.from_iterable(f["offsets"] or [(0, 0)] for f in found))
+        spans = np.fromiter(flat, np.int64, 2 * at[-1]).reshape(-1, 2) + 1
+        spans[at[:-1], 0] = 0
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, at[-1]), spans[:, 0], spans[:, 1], at
 
     @staticmethod
     def _refined(begin: np.ndarray, end: np.ndarray, size: np.ndarray, row: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ class Pair:
         # Characters' places in bytes; a span of characters becomes one of bytes.
         place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         lead = np.searchsorted(place, base[:-1])
-        a_begin, a_end = place[lead[a_row] + a_begin] - base[a_row], place[lead[a_row] + a_end] - base[a_row]
+        a_begin, a_end, b_begin, b_end = (place[lead[row] + x] - base[row] for row, x in ((a_row, a_begin), (a_row, a_end), (b_row, b_begin), (b_row, b_end)))
         a_size, b_size = np.diff(self.a_bytes[1])[a_id], np.diff(self.b_bytes[1])[b_id]
         bad = np.zeros(rows, bool)
         bad[self._differs(a_id, self.a_bytes, a_row, data, base)] = True
@@ -252,6 +254,8 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, block, filled = Pair(a_path, b_path), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
+            # Remembered pieces are many small objects without cycles; the collector would only walk them again and again.
+            gc.disable()
             for first, part in slices(batch.column(1)):
                 texts = part.fill_null("").to_pylist()
                 rows = []
@@ -272,6 +276,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     [batch.column(0).slice(first, len(part)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "block", "links"],
                 )
+            gc.enable()
 
     return docs.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block long, links binary")
 
