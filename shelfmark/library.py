@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.vectors import profile_for
 from shelfmark.operators import catalog, fusion, keyword, planning, semantic
+from shelfmark.operators.index import SearchIndex
 from shelfmark.session import checkpoint
 
 HIT = ["query_id", "rank", "chunk_id", "doc_id", "page", "title", "heading", "snippet", "score", "match"]
@@ -21,7 +22,8 @@ HIT = ["query_id", "rank", "chunk_id", "doc_id", "page", "title", "heading", "sn
 
 @dataclass(frozen=True)
 class KnowledgeBase:
-    """Tables as the operators describe them; ``stats`` is ``keyword.corpus_stats`` kept from the build."""
+    """Tables as the operators describe them; ``stats`` is ``keyword.corpus_stats`` kept from the build,
+    ``index`` the search index of the chunks: with it no search reads texts to find chunks."""
 
     docs: DataFrame
     chunks: DataFrame
@@ -31,6 +33,7 @@ class KnowledgeBase:
     embedder: semantic.Embedder | None = None
     min_score: float | None = None
     stats: DataFrame | None = None
+    index: SearchIndex | None = None
 
     def visible(self, collection: str | None = None, any_of: list[str] | None = None, only: str | None = None) -> DataFrame | None:
         """Documents in reach (doc_id), or None for all of them."""
@@ -40,7 +43,7 @@ class KnowledgeBase:
         return (seen.filter(F.col("collection") == collection) if collection else seen).select("doc_id")
 
     def search(self, queries: DataFrame, limit: int = 8, **scope) -> DataFrame:
-        hits = keyword.search(self.chunks, queries, self.visible(**scope), limit, self.stats)
+        hits = keyword.search(self.chunks, queries, self.visible(**scope), limit, self.stats, self.index or "auto")
         return hits.withColumn("match", F.lit("keyword")).select(HIT)
 
     def semantic_ready(self) -> bool:
@@ -109,7 +112,7 @@ class Library:
         """Part numbers in questions that neither knowledge base mentions."""
         return reduce(
             lambda left, right: left.join(right, ["query_id", "part", "ord"], "left_semi"),
-            [keyword.unmentioned_parts(questions, b.chunks) for b in self._bases()],
+            [keyword.unmentioned_parts(questions, b.chunks, b.index or "auto") for b in self._bases()],
         )
 
     def retrieve(self, searches: DataFrame, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions import terms as T
 from shelfmark.functions.text import drop_pictures
+from shelfmark.operators.index import SearchIndex, match as index_match
 from shelfmark.session import checkpoint
 
 # Ranking constants.
@@ -161,12 +162,15 @@ def match_postings(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def match_needles(chunks: DataFrame, needles: DataFrame, how: str = "auto") -> DataFrame:
+def match_needles(chunks: DataFrame, needles: DataFrame, how: str | SearchIndex = "auto") -> DataFrame:
     """chunk_id, doc_id, tokens, needle, occ for every chunk that holds a needle.
 
-    ``how``: literal, automaton, postings, or auto by the number of distinct needles (at most
-    ``AUTOMATON_NEEDLES`` of them are looked at here).
+    ``how``: a ``SearchIndex`` of these chunks, which reads no texts, whatever the number of needles; or, without one,
+    literal, automaton, postings, or auto by the number of distinct needles (at most ``AUTOMATON_NEEDLES`` of them are
+    looked at here).
     """
+    if isinstance(how, SearchIndex):
+        return index_match(how, needles)
     distinct = needles.select("needle").distinct()
     if how == "auto":
         listed = [r["needle"] for r in distinct.limit(AUTOMATON_NEEDLES + 1).collect()]
@@ -201,14 +205,15 @@ def candidates(
     queries_needles: DataFrame,
     visible: DataFrame | None = None,
     stats: DataFrame | None = None,
-    how: str = "auto",
+    how: str | SearchIndex = "auto",
     limit: int = CANDIDATES,
 ) -> DataFrame:
     """query_id, chunk_id, doc_id, bm25: per query the best phrase matches, then short-term matches.
 
     ``visible`` (doc_id) restricts the candidates before the cut, not the corpus statistics.
     """
-    stats = corpus_stats(chunks) if stats is None else stats
+    if stats is None:
+        stats = how.stats(chunks.sparkSession) if isinstance(how, SearchIndex) else corpus_stats(chunks)
     pairs = checkpoint(match_needles(chunks, queries_needles, how))
     found = pairs.groupBy("needle").agg(F.count(F.lit(1)).alias("found"))
     seen = pairs if visible is None else pairs.join(visible.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -293,7 +298,7 @@ def search(
     visible: DataFrame | None = None,
     limit: int = 8,
     stats: DataFrame | None = None,
-    how: str = "auto",
+    how: str | SearchIndex = "auto",
 ) -> DataFrame:
     """Ranked keyword hits: query_id, rank (from 1), chunk_id, doc_id, page, title, heading, snippet, score."""
     plans = checkpoint(query_plans(queries))
@@ -324,7 +329,7 @@ def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(facts, "chunk_id")
 
 
-def unmentioned_parts(questions: DataFrame, chunks: DataFrame, how: str = "auto") -> DataFrame:
+def unmentioned_parts(questions: DataFrame, chunks: DataFrame, how: str | SearchIndex = "auto") -> DataFrame:
     """Part numbers in questions that no chunk mentions in any spelling: query_id, part, ord.
 
     Shelves and collections do not matter here.

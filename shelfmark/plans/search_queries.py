@@ -83,7 +83,7 @@ def chunk_documents(spark, sf):
     big=["query_id"],
 )
 def keyword_search(spark, sf):
-    h = keyword.search(B.chunks(spark, sf), search_frame(spark))
+    h = keyword.search(B.chunks(spark, sf), search_frame(spark), how=B.search_index(spark, sf))
     return h.select("query_id", "rank", "chunk_id", "title", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -103,7 +103,7 @@ def keyword_search_visible(spark, sf):
 
     docs = B.docs(spark, sf).filter("collection = 'docs'")
     seen = visible(docs, B.shelves(spark, sf), any_of=["SRC1", "src2", "flagged"])
-    h = keyword.search(B.chunks(spark, sf), search_frame(spark), visible=seen)
+    h = keyword.search(B.chunks(spark, sf), search_frame(spark), visible=seen, how=B.search_index(spark, sf))
     return h.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -114,7 +114,7 @@ def keyword_search_visible(spark, sf):
 )
 def bm25_candidates(spark, sf):
     plans = keyword.query_plans(search_frame(spark))
-    c = keyword.candidates(B.chunks(spark, sf), keyword.query_needles(plans))
+    c = keyword.candidates(B.chunks(spark, sf), keyword.query_needles(plans), how=B.search_index(spark, sf))
     return c.select("query_id", "chunk_id", "ord", F.round("bm25", 6).alias("bm25"))
 
 
@@ -127,7 +127,7 @@ def bm25_candidates(spark, sf):
 def document_coverage(spark, sf):
     chunks = B.chunks(spark, sf)
     plans = keyword.query_plans(search_frame(spark))
-    scored = keyword.score_candidates(keyword.candidates(chunks, keyword.query_needles(plans)), chunks, plans)
+    scored = keyword.score_candidates(keyword.candidates(chunks, keyword.query_needles(plans), how=B.search_index(spark, sf)), chunks, plans)
     return scored.groupBy("query_id", "doc_id").agg(
         F.round(F.max("doc_coverage"), 6).alias("doc_coverage"), F.count(F.lit(1)).alias("chunks")
     )
@@ -156,10 +156,49 @@ def corpus_facts(spark, sf):
 )
 def unmentioned_parts(spark, sf):
     asked = spark.createDataFrame(ASKED_PARTS, "query_id bigint, query string")
-    return keyword.unmentioned_parts(asked, B.chunks(spark, sf)).select("query_id", "part")
+    return keyword.unmentioned_parts(asked, B.chunks(spark, sf), B.search_index(spark, sf)).select("query_id", "part")
 
 
 
+NEEDLES = [("anble",), ("thble",), ("in",), ("ou",), ("ertions of",), ("zz edited",)]
+SYNCED_SQL = f"""WITH {B.CHUNKS}, {B.PENDING}, {B.values(NEEDLES, 'needles(needle)')},
+  removed AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM pending)),
+  edited AS (SELECT doc_id FROM labels WHERE quality = 1 GROUP BY doc_id HAVING doc_id NOT IN (SELECT doc_id FROM pending)),
+  now AS (SELECT chunk_id, doc_id, title, CASE WHEN doc_id IN (SELECT doc_id FROM edited) THEN content || ' ZZ edited' ELSE content END AS content
+    FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM removed)),
+  low AS (SELECT chunk_id, doc_id, lower(title) AS t, lower(content) AS c FROM now)"""
+
+
+@register(
+    "synced_index",
+    SYNCED_SQL + """ SELECT chunk_id, doc_id, needle, CASE WHEN length(needle) < 3 THEN 0 ELSE (3 * (length(t) - length(replace(t, needle, '')))
+  + length(c) - length(replace(c, needle, ''))) // length(needle) END AS occ FROM low, needles WHERE contains(t, needle) OR contains(c, needle)""",
+    big=["occ"],
+)
+def synced_index(spark, sf):
+    """What the index finds after documents were edited and deleted: as many generations, no text of the others read again."""
+    from shelfmark.operators import index
+
+    chunks, pending = B.chunks(spark, sf), B.ocr_pending(spark, sf)
+    good = B.read(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct().join(pending, "doc_id", "left_anti")
+    edited = chunks.join(good, "doc_id", "left_semi").withColumn("content", F.concat("content", F.lit(" ZZ edited")))
+    after = index.update(B.search_index(spark, sf), edited, pending)
+    return index.match(after, spark.createDataFrame(NEEDLES, "needle string")).select("chunk_id", "doc_id", "needle", "occ")
+
+
+@register("compacted_index", SYNCED_SQL + " SELECT count(*) AS n_chunks, sum(greatest(length(title) - 2, 0) + greatest(length(content) - 2, 0)) AS tokens FROM now", big=["tokens"])
+def compacted_index(spark, sf):
+    """Corpus statistics of the index after changes and compaction."""
+    from shelfmark.operators import index
+
+    pending = B.ocr_pending(spark, sf)
+    good = B.read(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct().join(pending, "doc_id", "left_anti")
+    edited = B.chunks(spark, sf).join(good, "doc_id", "left_semi").withColumn("content", F.concat("content", F.lit(" ZZ edited")))
+    one = index.compact(index.update(B.search_index(spark, sf), edited, pending), spark)
+    rows = one.segments(spark).filter("weight = 1")
+    return rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tokens").alias("tokens"))
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 NEAR_SQL = f"""{B.CENTROIDS}, near AS (SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id
@@ -260,7 +299,7 @@ def purged_vectors(spark, sf):
 
 
 def _lists(spark, sf):
-    kw = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=fusion.LIST_LENGTH)
+    kw = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=fusion.LIST_LENGTH, how=B.search_index(spark, sf))
     centroids = B.centroids(spark, sf).join(search_frame(spark).select("query_id"), "query_id", "left_semi")
     return kw, semantic.nearest(centroids, B.vectors(spark, sf))
 
@@ -350,7 +389,7 @@ def merged_scopes(spark, sf):
 )
 def merged_searches(spark, sf):
     """All the searches taken as planned for one question."""
-    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=10)
+    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=10, how=B.search_index(spark, sf))
     one = hits.select(F.lit(1).alias("question_id"), F.col("query_id").alias("search"), F.lit("global").alias("scope"), "chunk_id", "rank")
     m = fusion.merge_searches(one, 20)
     return m.select("chunk_id", "pos", F.round("score", 9).alias("score"))
@@ -367,7 +406,7 @@ def merged_searches(spark, sf):
 def answer_passages(spark, sf):
     from shelfmark.operators.planning import passages
 
-    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=10)
+    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=10, how=B.search_index(spark, sf))
     one = hits.select(F.lit(1).alias("question_id"), F.col("query_id").alias("search"), F.lit("global").alias("scope"), "chunk_id", "rank")
     p = passages(fusion.merge_searches(one, 8), B.chunks(spark, sf), B.ocr_pending(spark, sf))
     return p.select("n", "doc_id", "title", F.col("unreviewed").cast("int").alias("unreviewed"), "text")
@@ -382,7 +421,7 @@ def answer_passages(spark, sf):
 def result_groups(spark, sf):
     from shelfmark.operators.catalog import result_groups as grouped
 
-    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=40)
+    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=40, how=B.search_index(spark, sf))
     placed = hits.drop("title", "page").join(B.docs(spark, sf).select("doc_id", "collection", F.col("source").alias("title")), "doc_id")
     g = grouped(placed.withColumn("page", F.col("rank")))
     return g.select("query_id", "collection", F.col("title").alias("source"), "rank", F.size("pages").cast("bigint").alias("hits"))

@@ -6,11 +6,14 @@ folder, and the label rows say which shelves and marks they have.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import normalize_text
+from shelfmark.operators import index
 from shelfmark.operators.chunking import chunk_texts, with_chunk_id
-from shelfmark.session import kept, spread
+from shelfmark.session import kept, shared_folder, spread
 
 # Queries asked of the document texts: words of the texts, a plural, short terms, stop words.
 SEARCHES = [(1, "the anble edtion"), (2, "thble"), (3, "in ou"), (4, "inble, ertions of ering"), (5, "what is nthe ti")]
@@ -76,6 +79,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return kept(lambda: make_chunks(spark, sf), spark, f"chunks:{sf}")
 
 
+_indexes: dict[tuple[str, str], index.SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf: str) -> index.SearchIndex:
+    """The index of the chunk table: built once per application, read by every search."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = index.build(chunks(spark, sf), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288) || chr(65279)"
 NORM_SQL = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), "
