@@ -65,6 +65,8 @@ class SearchIndex:
         """block, segment, chunk_id, doc_id, tokens, weight of every living chunk's columns."""
         chunk, doc = self.kinds(spark)
         rows = self._read(spark, "segments", f"block bigint, segment int, chunk_id {chunk}, doc_id {doc}, tokens bigint, weight int")
+        if len(self.generations) == 1:
+            return rows.drop("gen")
         dead = self._read(spark, "dead", f"doc_id {doc}").groupBy("doc_id").agg(F.max("gen").alias("until"))
         return rows.join(dead, "doc_id", "left").where("until is null or gen >= until").drop("until", "gen")
 
@@ -217,8 +219,8 @@ def match(index: SearchIndex, needles: DataFrame) -> DataFrame:
             low, high = key << span, ((key + 1) << span) - 1
             kept = kept | (F.col("gram") == low if width == 3 else F.col("gram").between(low, high))
         postings = postings.where(kept)
-    found = None
-    for width in (1, 2, 3):
+    found = postings.limit(0).select(F.lit("").alias("needle"), F.lit(0).alias("parts"), "block", "bits", F.lit(0).alias("off"), "places") if not named else None
+    for width in sorted({w for _, w in named}) if len(named) <= NAMED_GRAMS else (1, 2, 3):
         wanted = covers.where(F.col("width") == width)
         keyed = postings.withColumn("key", F.shiftright("gram", BITS * (3 - width)))
         hits = keyed.join(wanted, "key").select("needle", "parts", "block", "bits", "off", "places")
