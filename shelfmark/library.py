@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.vectors import profile_for
-from shelfmark.operators import catalog, fusion, keyword, planning, semantic
+from shelfmark.operators import catalog, fusion, keyword, planning, semantic, similarity
 from shelfmark.operators.index import SearchIndex
 from shelfmark.session import checkpoint
 
@@ -77,6 +77,24 @@ class KnowledgeBase:
             .select(HIT)
         )
 
+    def mutual_notes(self, limit: int = 3) -> DataFrame:
+        """Pairs of notes (a < b) that a search for each other's title finds first, where meaning had a say.
+
+        All titles are one batch over the notes' chunks; a note itself and notes titled alike are left out of its hits.
+        """
+        notes = self.docs.filter("collection = 'wiki'").select("doc_id", "title")
+        if not self.semantic_ready():
+            return notes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        asked = notes.filter(F.trim("title") != "").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+        hits = checkpoint(self.find(asked, limit + 1, collection="wiki"))
+        floor = self.min_score if self.min_score is not None else profile_for(self.model).min_score
+        titled = asked.select("query_id", F.col("query").alias("title"), F.col("query_id").alias("exclude"))
+        similar = similarity.similar_notes(titled, notes, hits, floor is not None, limit)
+        first = similar.filter("why = 'search'").groupBy("query_id").agg(F.min_by(F.struct("doc_id", "match"), "pos").alias("x"))
+        # By words alone related notes are found too, which repeat nothing.
+        best = first.filter("x.match <> 'keyword'").select(F.col("query_id").alias("id"), F.col("x.doc_id").alias("best"))
+        return similarity.mutual_best(checkpoint(best))
+
 
 @dataclass(frozen=True)
 class Library:

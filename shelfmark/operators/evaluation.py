@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import strip
+from shelfmark.session import checkpoint
 
 DEPTH = 8
 
@@ -35,29 +38,45 @@ def parse_questions(lines: DataFrame) -> DataFrame:
     )
 
 
-def is_relevant(expected: Column, doc_id: Column, title: Column, page: Column) -> Column:
-    """Whether a hit is one of the expected answers: by id, or title part, and by page where one is given."""
-    return F.exists(
-        expected,
-        lambda e: ((doc_id == e["doc"]) | F.contains(F.lower(title), F.lower(e["doc"])))
-        & (e["page"].isNull() | page.eqNullSafe(e["page"])),
-    )
+def expected_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed lines in long form: questions (query_id, question) and their answers, one a row (query_id, doc, page)."""
+    good = parsed.filter("not bad")
+    gold = good.select(F.col("line").alias("query_id"), F.explode("expected").alias("e")).select("query_id", "e.doc", "e.page")
+    return good.select(F.col("line").alias("query_id"), "question"), gold
 
 
-def ranks(questions: DataFrame, hits: DataFrame, modes: list[str]) -> DataFrame:
-    """Per question and mode: rank of the first relevant hit (0: none), hits, title on top.
+def ranks(questions: DataFrame, gold: DataFrame, hits: DataFrame, modes: list[str]) -> DataFrame:
+    """Per question and mode: rank of the first relevant hit (0: none), hits, what came on top, whether it has an answer.
 
-    ``questions``: query_id, expected. ``hits``: mode, query_id, rank, doc_id, title, page.
+    ``questions``: query_id. ``gold``: query_id, doc (an id or part of a title), page (null: any); any number of rows a
+    question. ``hits``: mode, query_id, rank, doc_id, title, page. A question has a few hits, so answers meet them by
+    question and are counted in parts; no list of answers is gathered.
     """
-    asked = questions.select("query_id", "expected", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
-    found = asked.join(hits.filter(F.col("rank") <= DEPTH), ["mode", "query_id"], "left")
-    right = is_relevant(F.col("expected"), F.col("doc_id").cast("string"), F.col("title"), F.col("page"))
-    return found.groupBy("mode", "query_id").agg(
-        F.coalesce(F.min(F.when(right, F.col("rank"))), F.lit(0)).alias("rank"),
-        F.count("rank").alias("count"),
-        F.min_by("title", "rank").alias("top"),
-        (F.size(F.first("expected")) > 0).alias("answerable"),
-    )
+    asked = questions.select("query_id", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    near = hits.filter(F.col("rank") <= DEPTH).select("mode", "query_id", "rank", F.col("doc_id").cast("string").alias("doc_id"), "title", F.col("page").alias("at"))
+    named = (F.col("doc_id") == F.col("doc")) | F.contains(F.lower("title"), F.lower("doc"))
+    right = gold.join(near, "query_id").filter(named & (F.col("page").isNull() | F.col("page").eqNullSafe(F.col("at"))))
+    first = right.groupBy("mode", "query_id").agg(F.min("rank").alias("first"))
+    top = F.concat("title", F.when(F.col("at") > 0, F.concat(F.lit(" p."), F.col("at").cast("string"))).otherwise(""))
+    seen = near.groupBy("mode", "query_id").agg(F.count(F.lit(1)).alias("hits"), F.min_by(top, "rank").alias("top"))
+    answered = gold.select("query_id", F.lit(True).alias("has")).distinct()
+    whole = asked.join(seen, ["mode", "query_id"], "left").join(first, ["mode", "query_id"], "left").join(answered, "query_id", "left")
+    return whole.select("mode", "query_id", F.coalesce("first", F.lit(0)).alias("rank"), F.coalesce("hits", F.lit(0)).alias("count"), "top", F.coalesce("has", F.lit(False)).alias("answerable"))
+
+
+MODES = {"keyword": "search", "hybrid": "find", "semantic": "find_semantic"}
+
+
+def run_eval(library, questions: DataFrame, gold: DataFrame) -> DataFrame:
+    """``ranks`` of every question in every mode that the library (or a knowledge base) can answer.
+
+    Each mode answers all questions in one job; while there are no vectors, words are the only mode. ``metrics``,
+    ``summary`` and ``detail_rows`` make the report of it.
+    """
+    modes = list(MODES) if library.semantic_ready() else ["keyword"]
+    asked = questions.select("query_id", F.col("question").alias("query"))
+    found = [getattr(library, MODES[m])(asked, DEPTH).select(F.lit(m).alias("mode"), "query_id", "rank", "doc_id", "title", "page") for m in modes]
+    return ranks(questions, gold, checkpoint(reduce(DataFrame.unionByName, found)), modes)
 
 
 def metrics(ranked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.library import KnowledgeBase, Library
 from shelfmark.operators import chunking, dialogue, evaluation as E, fusion, keyword, notes as N, planning, semantic, similarity
 from shelfmark.plans import tables as B
 from shelfmark.plans.registry import register
@@ -170,11 +171,17 @@ def note_sources(spark, sf):
   UNION ALL SELECT doc_id, scope, 'n' || doc_id * 2 || '.md', doc_id * 2 FROM raw),
   r AS (SELECT note_id, l.scope, target, r.doc_id AS to_id, r.scope AS to_scope FROM l LEFT JOIN raw r ON l.d = r.doc_id),
   t AS (SELECT min(doc_id) AS doc_id, regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM raw GROUP BY 2 HAVING t <> ''),
-  g AS (SELECT doc_id, CASE WHEN length(t) = 1 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS BIGINT), 2))) END AS g FROM t)
+  g AS (SELECT doc_id, CASE WHEN length(t) = 1 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS BIGINT), 2))) END AS g FROM t),
+  same AS (SELECT t, min(doc_id) AS a FROM (SELECT doc_id, regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM raw) GROUP BY t HAVING t <> ''),
+  s AS (SELECT a.vec_id AS id, b.vec_id AS best, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
+    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id IN (SELECT doc_id FROM raw) AND b.vec_id IN (SELECT doc_id FROM raw)),
+  best AS (SELECT id, best FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, best) = 1),
+  twice AS (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.doc_id < y.doc_id WHERE 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) >= 0.7
+    UNION SELECT a, doc_id FROM raw JOIN same ON t = regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+', '', 'g') WHERE doc_id <> a
+    UNION SELECT x.id, x.best FROM best x JOIN best y ON x.best = y.id AND y.best = x.id WHERE x.id < x.best)
   SELECT kind, count(*) AS n FROM (SELECT 'broken' AS kind FROM r WHERE to_id IS NULL UNION ALL SELECT 'private' FROM r WHERE scope = 'project' AND to_scope = 'global'
   UNION ALL SELECT 'untagged' FROM raw WHERE quality IS NULL OR quality <> 1 UNION ALL SELECT 'unreviewed' FROM raw WHERE toxic = 1
-  UNION ALL SELECT 'duplicate' FROM g x JOIN g y ON x.doc_id < y.doc_id WHERE 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) >= 0.7
-  UNION ALL SELECT 'stale' FROM (""" + SOURCES_SQL.replace(", c AS", "WITH c AS") + """) WHERE state IS NOT NULL) GROUP BY kind""",
+  UNION ALL SELECT 'duplicate' FROM twice UNION ALL SELECT 'stale' FROM (""" + SOURCES_SQL.replace(", c AS", "WITH c AS") + """) WHERE state IS NOT NULL) GROUP BY kind""",
 )
 def lint_report(spark, sf):
     p = parsed(spark, sf).drop("title")
@@ -184,9 +191,10 @@ def lint_report(spark, sf):
         "doc_id", F.concat(F.lit("DOC "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("title"), F.lit("global").alias("scope"), "added_at"
     )
     openings = B.read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"))
-    alike = similarity.title_pairs(openings).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    none = spark.createDataFrame([], "a bigint, b bigint")  # mutual best matches need vectors of the notes
-    return N.lint(notes, docs, alike, none).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    alike = similarity.title_pairs(openings).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionByName(similarity.title_members(openings))
+    vectors = B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).join(openings.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    mutual = similarity.mutual_best(similarity.best_neighbour(vectors, floor=0.3))
+    return N.lint(notes, docs, alike, mutual).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -359,22 +367,21 @@ def converted_files(spark, sf):
 # Each benchmark item is a question (five of its words); documents that hold the item answer it.
 
 
-def question_lines(spark, sf):
+def asked_questions(spark, sf):
+    """query_id, question: some words of each benchmark item."""
     b = B.read(spark, sf, "benchmark")
     words = F.filter(F.split(F.regexp_replace("text", r"[^\p{L} ]", ""), " +"), lambda w: w != "")
-    asked = F.array_join(F.slice(words, 2, 5), " ")
+    return b.select((F.col("item_id") + 1).alias("query_id"), F.array_join(F.slice(words, 2, 5), " ").alias("question"))
+
+
+def gold_rows(spark, sf):
+    """query_id, doc, page: the documents that hold an item, one a row."""
     whole = B.spread(B.read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
         F.col("doc_id").alias("chunk_id"), "doc_id", F.lit("").alias("title"), F.lit("").alias("heading"), F.col("text").alias("content")
     )
-    items = b.select("item_id", F.lower("text").alias("needle"))
-    gold = (
-        keyword.match_needles(whole, items)
-        .join(items, "needle")
-        .groupBy("item_id")
-        .agg(F.array_join(F.sort_array(F.collect_list("doc_id")), "; ").alias("gold"))
-    )
-    line = F.concat(asked, F.lit(" | "), F.coalesce("gold", F.lit("-")))
-    return b.join(gold, "item_id", "left").select((F.col("item_id") + 1).alias("line"), line.alias("text"))
+    items = B.read(spark, sf, "benchmark").select("item_id", F.lower("text").alias("needle"))
+    found = checkpoint(keyword.match_needles(whole, items).select("needle", "doc_id")).join(items, "needle")
+    return found.select((F.col("item_id") + 1).alias("query_id"), F.col("doc_id").cast("string").alias("doc"), F.lit(None).cast("int").alias("page"))
 
 
 QUESTIONS_SQL = """asked AS (SELECT item_id + 1 AS query_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '[^\\p{L} ]', '', 'g'), ' +'), lambda w: w <> '')[2:6], ' ') AS query FROM benchmark),
@@ -386,17 +393,21 @@ QUESTIONS_SQL = """asked AS (SELECT item_id + 1 AS query_id, array_to_string(lis
     f"WITH {QUESTIONS_SQL} SELECT query_id AS line, query AS question, (SELECT count(*) FROM gold g WHERE g.query_id = a.query_id) AS expected, 0 AS bad FROM asked a",
 )
 def eval_questions(spark, sf):
-    q = E.parse_questions(question_lines(spark, sf))
-    return q.select("line", "question", F.size("expected").cast("bigint").alias("expected"), F.col("bad").cast("int").alias("bad"))
+    """The question file's lines, an answer a line, parsed back; questions without one say so."""
+    q, gold = asked_questions(spark, sf), gold_rows(spark, sf)
+    lines = q.join(gold, "query_id", "left").select(F.col("query_id").alias("line"), F.concat("question", F.lit(" | "), F.coalesce("doc", F.lit("-"))).alias("text"))
+    parsed = E.parse_questions(lines)
+    return parsed.groupBy("line", "question").agg(F.sum(F.size("expected")).cast("bigint").alias("expected"), F.max(F.col("bad").cast("int")).alias("bad"))
 
 
-MODES = ["keyword", "hybrid", "semantic"]
+MODES = list(E.MODES)
 
 
 def eval_ranks_frame(spark, sf):
-    q = checkpoint(E.parse_questions(question_lines(spark, sf)).withColumnRenamed("line", "query_id"))
+    q, gold = checkpoint(asked_questions(spark, sf)), checkpoint(gold_rows(spark, sf))
     chunks = B.chunks(spark, sf)
-    kw = checkpoint(keyword.search(chunks, q.select("query_id", F.col("question").alias("query")), limit=fusion.LIST_LENGTH).select("query_id", "chunk_id", "rank"))
+    asked = q.select("query_id", F.col("question").alias("query"))
+    kw = checkpoint(keyword.search(chunks, asked, limit=fusion.LIST_LENGTH, how=B.search_index(spark, sf)).select("query_id", "chunk_id", "rank"))
     asked = B.read(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("vec"))
     asked = asked.join(q.select("query_id"), "query_id", "left_semi")
     near = checkpoint(semantic.nearest(asked, B.vectors(spark, sf)).select("query_id", "chunk_id", "rank"))
@@ -404,7 +415,7 @@ def eval_ranks_frame(spark, sf):
     lists = lists.unionByName(near.withColumn("mode", F.lit("semantic")))
     lists = lists.unionByName(fusion.hybrid(kw, near).select("query_id", "chunk_id", "rank", F.lit("hybrid").alias("mode")))
     hits = lists.filter(F.col("rank") <= E.DEPTH).join(chunks.select("chunk_id", "doc_id", "title", "page"), "chunk_id")
-    return E.ranks(q, hits, MODES)
+    return E.ranks(q, gold, hits, MODES)
 
 
 EVAL_SQL = f"""WITH {QUESTIONS_SQL}, {B.CHUNKS}, {search_sql("queries AS (SELECT query_id, query FROM asked)", limit=40)},
@@ -438,6 +449,14 @@ def eval_metrics(spark, sf):
     return E.metrics(eval_ranks_frame(spark, sf)).withColumn("mrr", F.round("mrr", 6))
 
 
+@register("run_eval", EVAL_SQL + " SELECT mode, answerable, hit1, hit3, hit8, round(mrr, 6) AS mrr, unanswerable, quiet FROM measured WHERE mode = 'keyword'")
+def run_eval(spark, sf):
+    """The evaluation of a whole library, which has no vectors yet."""
+    base = KnowledgeBase(B.docs(spark, sf), B.chunks(spark, sf), B.shelves(spark, sf), index=B.search_index(spark, sf))
+    done = E.run_eval(Library(base), checkpoint(asked_questions(spark, sf)), checkpoint(gold_rows(spark, sf)))
+    return E.metrics(done).withColumn("mrr", F.round("mrr", 6))
+
+
 # --- dialogue and planning ------------------------------------------------------------------------
 
 

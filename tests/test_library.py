@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from shelfmark.library import KnowledgeBase, Library
-from shelfmark.operators import semantic as S
+from shelfmark.operators import evaluation as E, semantic as S
 from shelfmark.operators.chunking import chunk_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,3 +81,27 @@ def test_overview_and_retrieval_stay_within_the_shelves(spark, base):
     searches = spark.createDataFrame([(1, ["arbitration"]), (2, ["operating heat"]), (3, ["zzzz"])], "question_id long, searches array<string>")
     found = {(r["question_id"], r["chunk_id"].split("#")[0]) for r in Library(base).retrieve(searches, 8).collect()}
     assert {f for f in found if f[0] == 1} == {(1, "k-2")} and (2, "k-1") in found
+
+
+def test_evaluation_of_every_mode(spark, base):
+    lines = [(1, "operating heat | k-1"), (2, "CAN bus | can.md; k-9"), (3, "erase a sector | k-9 p. 4"), (4, "zebra stripes | -"), (5, "no bar")]
+    parsed = E.parse_questions(spark.createDataFrame(lines, "line long, text string"))
+    done = E.run_eval(Library(base), *E.expected_rows(parsed))
+    ranks = {(r["mode"], r["query_id"]): r["rank"] for r in done.collect()}
+    assert ranks == {("keyword", 1): 0, ("hybrid", 1): 1, ("semantic", 1): 1} | {(m, 2): 1 for m in E.MODES} | {(m, q): 0 for m in E.MODES for q in (3, 4)}
+    measured = {r["mode"]: (r["answerable"], r["hit1"], r["unanswerable"], r["quiet"]) for r in E.metrics(done).collect()}
+    assert measured == {"keyword": (3, 1, 1, 1), "hybrid": (3, 2, 1, 0), "semantic": (3, 2, 1, 0)}
+    words = E.run_eval(KnowledgeBase(base.docs, base.chunks, base.shelves), *E.expected_rows(parsed))
+    assert {r["mode"] for r in words.collect()} == {"keyword"}
+
+
+def test_notes_that_find_each_other_by_title(spark):
+    texts = {"n1": ("warm board", "heat sink"), "n2": ("too much heat", "it was warm"), "n3": ("flash trouble", "erase"), "n4": ("bus", "can"), "n5": ("flash writes", "erase first")}
+    rows = [(i, t, "wiki", x) for i, (t, x) in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id string, title string, collection string, text string")
+    chunks = chunk_texts(docs).join(docs.select("doc_id", "title"), "doc_id").withColumn("chunk_id", F.concat_ws("#", "doc_id", F.col("seq").cast("string")))
+    none = spark.createDataFrame([], "chunk_id string, doc_id string, model string, vec array<float>")
+    vectors = S.embed_pending(chunks, none, spark.createDataFrame([], "doc_id string"), "toy", embed)
+    wiki = KnowledgeBase(docs, chunks, spark.createDataFrame([], "doc_id string, shelf string"), vectors, "toy", embed, 0.5)
+    assert sorted(tuple(r) for r in wiki.mutual_notes().collect()) == [("n1", "n2"), ("n3", "n5")]
+    assert KnowledgeBase(docs, chunks, wiki.shelves).mutual_notes().collect() == []
