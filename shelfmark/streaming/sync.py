@@ -30,7 +30,9 @@ def follow_manifests(spark: SparkSession, inbox: str, table: str, state: str) ->
 
 
 def current_manifests(spark: SparkSession, table: str) -> DataFrame:
-    """The newest record per document over all batches."""
+    """The newest record per document over all batches: of the last batch that has it, the one added last; of records
+    added at the same time the one that reads greater, so that the answer never depends on the order of rows."""
     rows = spark.read.option("basePath", table).parquet(table)
     fields = F.struct(*[f.name for f in MANIFEST.fields if f.name != "id"])
-    return rows.groupBy("id").agg(F.max_by(fields, "batch").alias("m")).select("id", "m.*")
+    order = F.struct("batch", *(["added_at"] if "added_at" in MANIFEST.fieldNames() else []), F.to_json(fields))
+    return rows.groupBy("id").agg(F.max_by(fields, order).alias("m")).select("id", "m.*")
