@@ -39,6 +39,8 @@ SMALLEST = 1.0
 MARK = 27
 #: Training rows, and units, whose features are held at once.
 BLOCK = 256
+#: Units whose features are held at once while training (128 kB each).
+FEATURED = 64
 
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -143,7 +145,8 @@ def _features(units_of: list[bytes]) -> np.ndarray:
     for weight, at, feature in occurrences(classes, first):
         np.add.at(out, (row_of[at], feature), np.float32(weight))
         np.add.at(own, row_of[at], weight * weight)
-    return out / np.sqrt(np.maximum(own, SMALLEST))[:, None].astype(np.float32)
+    out /= np.sqrt(np.maximum(own, SMALLEST))[:, None].astype(np.float32)
+    return out
 
 
 def _disturbed(unit: bytes, chance: np.random.Generator) -> list[bytes]:
@@ -175,13 +178,17 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = R
     if not len(rows) or labels.min() == labels.max():
         share = float(labels.mean()) if len(rows) else 0.0
         return ToxicityModel(np.zeros(1 << 15, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    blocks = []  # (labels, bytes, offsets of rows, classes, starts of units, windows, window offsets of rows)
-    for at in range(0, len(rows), BLOCK):
-        data, offsets = buffer_of(pa.array([t for t, _ in rows[at : at + BLOCK]], pa.string()))
-        blocks.append((labels[at : at + BLOCK], data, offsets, *units(data, offsets)))
+
+    def blocks() -> Iterator[tuple]:
+        """(labels, bytes, offsets of rows, classes, starts of units, windows, window offsets of rows), made anew each time:
+        they are many times as large as the texts."""
+        for at in range(0, len(rows), BLOCK):
+            data, offsets = buffer_of(pa.array([t for t, _ in rows[at : at + BLOCK]], pa.string()))
+            yield labels[at : at + BLOCK], data, offsets, *units(data, offsets)
+
     # First guess: how much more often a feature is in toxic than in clean documents.
     counts = np.zeros((2, 1 << 15))
-    for label, _, offsets, classes, first, *_ in blocks:
+    for label, _, offsets, classes, first, *_ in blocks():
         row_of = np.repeat(np.arange(len(label)), np.diff(offsets))
         seen = np.zeros((len(label), 1 << 15), bool)
         for _, at, feature in occurrences(classes, first):
@@ -193,7 +200,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = R
     chance = np.random.default_rng(7)
     for turn in range(rounds):
         worst, clean, ordinary = set(), set(), set()
-        for label, data, _, classes, first, windows, bounds in blocks:
+        for label, data, _, classes, first, windows, bounds in blocks():
             decisions = model.decisions(classes, first, windows)
             text_of = lambda i: data[windows[i, 0] : windows[i, 1]].tobytes().lower().strip()  # noqa: E731, B023
             for row in np.flatnonzero(bounds[1:] > bounds[:-1]):
@@ -215,10 +222,10 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = R
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = np.concatenate([_features(both[i : i + BLOCK]) @ marks.T for i in range(0, len(both), BLOCK)]).astype(np.float64) @ root
+        x = np.concatenate([_features(both[i : i + FEATURED]) @ marks.T for i in range(0, len(both), FEATURED)]).astype(np.float64) @ root
         w, bias = _machine(x, np.where(np.arange(len(both)) < len(positive), 1.0, -1.0))
         model = ToxicityModel((marks.T @ (root @ w).astype(np.float32)).astype(np.float32), bias, 1.0, 0.0)
-    slope, shift = _curve(np.concatenate([model.worst(data, offsets) for _, data, offsets, *_ in blocks]), labels)
+    slope, shift = _curve(np.concatenate([model.worst(data, offsets) for _, data, offsets, *_ in blocks()]), labels)
     return ToxicityModel(model.weights, model.bias, slope, shift)
 
 
