@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfmark.functions.text import normalize_shelves, source_path
+from shelfmark.functions.text import normalize_shelves, page_runs, source_path
 
 LIST_LIMIT = 100
 SHORT_LIST = 50
@@ -354,6 +354,54 @@ def result_groups(hits: DataFrame) -> DataFrame:
     )
 
 
+#: Entries of a result line; the others are only counted.
+SHOWN = 3
+
+
+def result_lines(hits: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """What a search's result says in one line: query_id, hits, entries (the first ``shown`` documents and notes in rank
+    order, documents with their pages as runs), more (how many entries are left out).
+
+    ``hits``: query_id, rank, collection, title, page.
+    """
+    groups = result_groups(hits)
+    pages = page_runs(F.filter("pages", lambda p: p.isNotNull()))
+    named = F.when((F.col("collection") != "wiki") & (pages != ""), F.concat("title", F.lit(" p."), pages)).otherwise(F.col("title"))
+    order = Window.partitionBy("query_id").orderBy("rank", "collection", "title")
+    first = groups.select("query_id", named.alias("entry"), F.row_number().over(order).alias("at")).filter(F.col("at") <= shown)
+    first = first.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "entry"))), lambda x: x["entry"]).alias("entries"))
+    counts = groups.groupBy("query_id").agg(F.count(F.lit(1)).alias("groups"))
+    total = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    whole = total.join(counts, "query_id").join(first, "query_id")
+    return whole.select("query_id", "hits", "entries", F.greatest(F.col("groups") - shown, F.lit(0)).cast("bigint").alias("more"))
+
+
+#: Names a notice gives; the others are only counted.
+NAMED = 5
+
+
+def search_notices(queries: DataFrame, missing: DataFrame, importing: DataFrame, reading: DataFrame, named: int = NAMED) -> DataFrame:
+    """What must be said beside a search's hits: query_id, unknown (parts nothing mentions, in order, as one text or null),
+    importing and importing_names (files not searchable yet), reading and reading_names (documents whose pictures OCR has
+    not read yet), each with the first few names by time and an ellipsis if there are more.
+
+    ``queries``: query_id. ``missing``: query_id, part, ord. ``importing`` and ``reading``: name, at.
+    """
+    parts = missing.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "part"))).alias("p"))
+    unknown = F.array_join(F.transform("p", lambda x: x["part"]), ", ")
+
+    def waiting(files: DataFrame, what: str) -> DataFrame:
+        total = files.agg(F.count(F.lit(1)).alias("n"))
+        first = files.orderBy("at", "name").limit(named).agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("f"))
+        text = F.concat(F.array_join(F.transform("f", lambda x: x["name"]), ", "), F.when(F.col("n") > named, ", …").otherwise(""))
+        return total.select("n", first.scalar().alias("f")).select(F.col("n").alias(what), F.when(F.col("n") > 0, text).alias(f"{what}_names"))
+
+    out = queries.select("query_id").join(parts, "query_id", "left").select("query_id", unknown.alias("unknown"))
+    for facts in (waiting(importing, "importing"), waiting(reading, "reading")):
+        out = out.select("*", *[facts.select(c).scalar().alias(c) for c in facts.columns])
+    return out
+
+
 def unused_names(files: DataFrame, docs: DataFrame) -> DataFrame:
     """Files whose base name is not yet a document's source name."""
     have = docs.select(source_path("source", 1).alias("_name")).distinct()

@@ -425,3 +425,55 @@ def result_groups(spark, sf):
     placed = hits.drop("title", "page").join(B.docs(spark, sf).select("doc_id", "collection", F.col("source").alias("title")), "doc_id")
     g = grouped(placed.withColumn("page", F.col("rank")))
     return g.select("query_id", "collection", F.col("title").alias("source"), "rank", F.size("pages").cast("bigint").alias("hits"))
+
+
+@register(
+    "result_lines",
+    f"""WITH {B.DOCS}, {B.CHUNKS}, {search_sql(QUERIES_SQL, limit=40)},
+  placed AS (SELECT query_id, collection, d.source AS title, rank FROM hits JOIN docs d USING (doc_id)),
+  islands AS (SELECT *, rank - row_number() OVER (PARTITION BY query_id, collection, title ORDER BY rank) AS island FROM placed),
+  runs AS (SELECT query_id, collection, title, min(rank) AS lo, max(rank) AS hi FROM islands GROUP BY query_id, collection, title, island),
+  groups AS (SELECT query_id, collection, title, min(lo) AS rank, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ', ' ORDER BY lo) AS runs
+    FROM runs GROUP BY query_id, collection, title),
+  entries AS (SELECT query_id, CASE WHEN collection = 'wiki' THEN title ELSE title || ' p.' || runs END AS entry,
+    row_number() OVER (PARTITION BY query_id ORDER BY rank, collection, title) AS place FROM groups)
+  SELECT query_id, (SELECT count(*) FROM placed p WHERE p.query_id = e.query_id) AS hits, string_agg(entry, ' · ' ORDER BY place) FILTER (WHERE place <= 3) AS line,
+    greatest(count(*) - 3, 0) AS more FROM entries e GROUP BY query_id""",
+    big=["query_id"],
+)
+def result_lines(spark, sf):
+    """Hits by file, ranks standing for pages."""
+    from shelfmark.operators.catalog import result_lines as lines
+
+    hits = keyword.search(B.chunks(spark, sf), search_frame(spark), limit=40, how=B.search_index(spark, sf))
+    placed = hits.drop("title", "page").join(B.docs(spark, sf).select("doc_id", "collection", F.col("source").alias("title")), "doc_id")
+    return lines(placed.withColumn("page", F.col("rank"))).select("query_id", "hits", F.array_join("entries", " · ").alias("line"), "more")
+
+
+@register(
+    "search_notices",
+    f"""WITH {B.DOCS}, {B.CHUNKS}, {B.PENDING}, asked(query_id, ord, part) AS (VALUES (1, 0, 'NX-999'), (1, 1, 'mail5'), (1, 2, 'anble-77'), (2, 0, 'ESP32C3'), (2, 1, 'thedge4')),
+  spelled(part, s) AS (VALUES ('NX-999', 'nx-999'), ('NX-999', 'nx999'), ('NX-999', 'nx 999'), ('mail5', 'mail5'), ('mail5', 'mail-5'),
+  ('mail5', 'mail 5'), ('anble-77', 'anble-77'), ('anble-77', 'anble77'), ('anble-77', 'anble 77'), ('ESP32C3', 'esp32c3'), ('ESP32C3', 'esp-32c3'),
+  ('ESP32C3', 'esp 32c3'), ('ESP32C3', 'esp32-c3'), ('ESP32C3', 'esp32 c3'), ('ESP32C3', 'esp32c-3'), ('ESP32C3', 'esp32c 3'),
+  ('thedge4', 'thedge4'), ('thedge4', 'thedge-4'), ('thedge4', 'thedge 4')),
+  unknown AS (SELECT query_id, string_agg(part, ', ' ORDER BY ord) AS unknown FROM asked
+    WHERE part NOT IN (SELECT part FROM spelled, chunks WHERE contains(lower(title), s) OR contains(lower(content), s)) GROUP BY query_id),
+  waits AS (SELECT title, added_at FROM docs WHERE doc_id IN (SELECT doc_id FROM pending)),
+  files AS (SELECT title, added_at FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+  SELECT q.query_id, unknown, (SELECT count(*) FROM files) AS importing,
+    (SELECT string_agg(title, ', ' ORDER BY added_at, title) FROM (SELECT * FROM files ORDER BY added_at, title LIMIT 5)) || CASE WHEN (SELECT count(*) FROM files) > 5 THEN ', …' ELSE '' END AS importing_names,
+    (SELECT count(*) FROM waits) AS reading,
+    (SELECT string_agg(title, ', ' ORDER BY added_at, title) FROM (SELECT * FROM waits ORDER BY added_at, title LIMIT 5)) || CASE WHEN (SELECT count(*) FROM waits) > 5 THEN ', …' ELSE '' END AS reading_names
+  FROM (VALUES (1), (2), (3)) q(query_id) LEFT JOIN unknown u ON u.query_id = q.query_id""",
+    big=["query_id"],
+)
+def search_notices(spark, sf):
+    """Flagged documents stand for files that are still being imported."""
+    from shelfmark.operators.catalog import search_notices as notices
+
+    asked = spark.createDataFrame(ASKED_PARTS, "query_id bigint, query string")
+    missing = keyword.unmentioned_parts(asked, B.chunks(spark, sf), B.search_index(spark, sf))
+    named = B.docs(spark, sf).select("doc_id", F.col("title").alias("name"), F.col("added_at").alias("at"))
+    toxic = B.read(spark, sf, "labels").filter("toxic = 1").select("doc_id").distinct()
+    return notices(asked, missing, named.join(toxic, "doc_id", "left_semi"), named.join(B.ocr_pending(spark, sf), "doc_id", "left_semi"))

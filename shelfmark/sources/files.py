@@ -16,6 +16,7 @@ from shelfmark.functions.text import (
     strip,
     HTML_EXT,
 )
+from shelfmark.session import checkpoint
 
 # Marks in converted files, and wiki files that are no notes.
 PAGE_MARK = r"(?m)^<!-- kb:page (\d+) -->$"
@@ -143,8 +144,19 @@ def render_converted(pages: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def read_pages(pages: DataFrame, doc_id, first: int, last: int) -> DataFrame:
-    """A page range of one document; the end is clamped to its last page by what is there."""
-    return pages.filter((F.col("doc_id") == doc_id) & F.col("page").between(first, last)).orderBy("page")
+    """A page range of one document, tables that run on with their header; the end is clamped to what is there.
+
+    ``pages``: doc_id, seq, page, markdown. A range without pages is refused: the error says which there are.
+    """
+    from shelfmark.operators.chunking import with_carried_headers
+
+    own = pages.filter(F.col("doc_id") == doc_id)
+    read = checkpoint(with_carried_headers(own).filter(F.col("page").between(first, last)))
+    if read.isEmpty():
+        there = own.agg(F.min("page").alias("first"), F.max("page").alias("last")).first()
+        has = f"pages {there['first']}-{there['last']}" if there["last"] is not None else "no pages"
+        raise ValueError(f"{doc_id} has {has}, not {first}-{last}")
+    return read.orderBy("page")
 
 
 def read_manifests(spark: SparkSession, folder: str, file_per_document: bool = True) -> DataFrame:
