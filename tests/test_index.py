@@ -74,3 +74,8 @@ def test_ids_may_be_strings(spark):
     rows = [("c1", "d1", 1, "t", "h", "clock"), ("c2", "d2", 1, "t", "h", "clocks")]
     df = spark.createDataFrame(rows, COLUMNS.replace("long", "string"))
     assert found(spark, I.update(I.build(df, folder()), df.limit(0), df.where("doc_id = 'd1'")), ["clock"]) == [("c2", "d2", "clock", 1)]
+
+
+def test_no_needles_find_nothing(spark):
+    made = I.build(spark.createDataFrame(corpus(2, 5), COLUMNS), folder())
+    assert found(spark, made, [None, ""]) == []
