@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+#: Paths that ``checkpoint`` wrote within the innermost running ``written``.
+_scope: ContextVar[list[str] | None] = ContextVar("_scope", default=None)
 _kept: dict[tuple[str, str], str] = {}
 
 
@@ -53,9 +57,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` returns, as ``checkpoint`` writes it; frames that were written on the way are deleted then.
+
+    Only what this very call wrote goes, and only once the result is whole in the shared folder, so nothing that
+    is left has its lineage there and a lost executor costs a re-read of the result. ``make`` must not hand out
+    frames of its own by other ways. If it fails, its frames go too. Calls nest: the result belongs to the outer call.
+    """
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        result = make()
+        _scope.reset(token)
+        token = None
+        return checkpoint(result)
+    finally:
+        if token:
+            _scope.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def kept(df_of, spark: SparkSession, name: str) -> DataFrame:
     """A derived table (an index) made once per application and read by many queries."""
     key = (spark.sparkContext.applicationId, name)
