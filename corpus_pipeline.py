@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import jaccard_join, language, packing, quality, suffix_dedup
 from shelfmark.llm.common import picked
-from shelfmark.session import checkpoint
+from shelfmark.session import checkpoint, written
 
 #: A repeated passage of so many words goes (over 50), also if it has fewer than 400 bytes.
 PASSAGE_WORDS = 51
@@ -45,8 +45,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
-    groups = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    others = checkpoint(groups.where("component_id <> doc_id").select("doc_id").distinct())
+
+    def copies() -> DataFrame:
+        groups = jaccard_join.jaccard_components(docs, width=5, percent=80)
+        return groups.where("component_id <> doc_id").select("doc_id").distinct()
+
+    others = written(spark, copies)
     stay = picked(docs.select(*COLUMNS), others, "doc_id", "left_anti")
     # Of rows that share an id: equal texts are one; the smallest digest stays.
     known = docs.where(F.col("doc_id").isNotNull())
@@ -87,10 +91,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again before the next."""
+    """All stages over the documents of ``sf_dir``, each written and read again before the next; what a stage wrote on its
+    way is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = checkpoint(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import checkpoint
+from shelfmark.session import checkpoint, written
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -18,8 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs a node's larger neighbours on its smallest one, then its smaller neighbours; the number of rounds
     grows with the logarithm of the longest path. A node with very many edges is one minimum, taken in each task first.
-    Rounds are written to the shared folder; only a count and a checksum come to the driver.
+    Rounds are written to the shared folder; only a count and a checksum come to the driver. The result is a written
+    table, and the rounds are deleted.
     """
+    return written(edges.sparkSession, lambda: _stars(edges))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     stamp = _stamp(now)
     while stamp[0]:

@@ -357,7 +357,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     # Keys of equal vectors hang on the smallest; a root stands for what its own task saw.
     same = rows.where("digest is not null").join(whole.select("digest", F.col("id").alias("root"), "weight"), "digest")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same.where("weight > 1").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    label = checkpoint(components(edges))
+    label = components(edges)
     facts = whole.select("digest", "weight").join(links, "digest", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("id", "digest").join(facts, "digest", "left").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     return out.select(

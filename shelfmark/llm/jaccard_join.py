@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import picked, small_batches
 from shelfmark.llm.components import components
 from shelfmark.llm.shingles import shingle_sets
-from shelfmark.session import checkpoint
+from shelfmark.session import checkpoint, written
 
 #: A shingle is frequent if more than one document in so many has it; there are at most this times the mean set size.
 FREQUENT = 2048
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             total = np.array([t for _, t in sizes], np.int64) - shared
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(total)], ["a", "b", "shared", "total"])
 
-    return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(overlap, "a long, b long, shared long, total long").distinct())
+    return both.select("a", "b", "ta", "tb").mapInArrow(overlap, "a long, b long, shared long, total long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,30 +195,35 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     links, distances = None, None
     label = spark.createDataFrame([], "id long, label long")
     for turn in range(PIVOT_ROUNDS):
-        labelled = checkpoint(_labelled(entries, label))
-        mixed = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos", "label")).alias("p"), F.min("label").alias("least"), F.max("label").alias("most"))
-        pivots = mixed.where("least <> most").select("token", F.col("p.id").alias("id"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.label").alias("label"))
-        pairs = labelled.alias("e").join(pivots.alias("p"), "token").where((F.col("e.label") != F.col("p.label")) & _possible("e", "p", percent))
-        pairs = pairs.select(F.col("e.id").alias("b"), F.col("p.id").alias("a")).distinct()
-        if distances is not None:
-            done = distances.select("a", "b")
-            pairs = pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        # Of its pivots a set takes the first in a common order, so that a family gathers around few of them.
-        first = F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a"))["a"]
-        chosen = _likely(pairs, info, percent).groupBy("b").agg(first.alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = _verified(checkpoint(chosen), docs, width)
-        distances = known if distances is None else checkpoint(distances.unionByName(known))
+        known = written(spark, lambda: _to_pivots(entries, label, info, distances, docs, width, percent, turn))  # noqa: B023
+        distances = known if distances is None else distances.unionByName(known)
         fresh = known.where(alike).select("a", "b")
         if fresh.isEmpty():
             break
         links = fresh if links is None else links.unionByName(fresh)
-        label = checkpoint(components(links))
-    rest = _verified(checkpoint(_likely(_remaining(_labelled(entries, label), info, distances, percent), info, percent)), docs, width)
+        label = components(links)
+    rest = written(spark, lambda: _verified(checkpoint(_likely(_remaining(_labelled(entries, label), info, distances, percent), info, percent)), docs, width))
     every = member.toDF("a", "b").unionByName(rest.where(alike).select("a", "b"))
-    label = checkpoint(components(every if links is None else every.unionByName(links)))
+    label = components(every if links is None else every.unionByName(links))
     return info.select("id", "n").join(label, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
+def _to_pivots(entries: DataFrame, label: DataFrame, info: DataFrame, distances: DataFrame | None, docs: DataFrame, width: int, percent: int, turn: int) -> DataFrame:
+    """Sets compared with one pivot of a list each, as ``_verified`` has them; pairs of one label or of a known distance are left out."""
+    labelled = checkpoint(_labelled(entries, label))
+    mixed = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "pos", "label")).alias("p"), F.min("label").alias("least"), F.max("label").alias("most"))
+    pivots = mixed.where("least <> most").select("token", F.col("p.id").alias("id"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.label").alias("label"))
+    pairs = labelled.alias("e").join(pivots.alias("p"), "token").where((F.col("e.label") != F.col("p.label")) & _possible("e", "p", percent))
+    pairs = pairs.select(F.col("e.id").alias("b"), F.col("p.id").alias("a")).distinct()
+    if distances is not None:
+        done = distances.select("a", "b")
+        pairs = pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    # Of its pivots a set takes the first in a common order, so that a family gathers around few of them.
+    first = F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a"))["a"]
+    chosen = _likely(pairs, info, percent).groupBy("b").agg(first.alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verified(checkpoint(chosen), docs, width)
+
+
 def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     return entries.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
 

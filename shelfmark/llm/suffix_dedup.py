@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm.common import _MIX2, _power_tables, buffer_of, mix, picked, slices, small_batches, word_hashes, word_spans
-from shelfmark.session import checkpoint
+from shelfmark.session import checkpoint, written
 
 #: Bytes of a gram. Must be less than the length of the strings.
 GRAM = 32
@@ -353,9 +353,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
     small_batches(docs.sparkSession)
     docs = docs.drop("spans", "kept")
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("id")).withColumn("key", _key(F.col("text")))
-    spans = checkpoint(_spans(base.select("key", "text", "id"), length)).withColumn("by_words", F.lit(False))
+    spans = written(docs.sparkSession, lambda: _spans(base.select("key", "text", "id"), length)).withColumn("by_words", F.lit(False))
     if least_words:
-        spans = spans.unionByName(checkpoint(_spans(_coded(base.select("key", "text", "id")), CODE * least_words)).withColumn("by_words", F.lit(True)))
+        by_words = written(docs.sparkSession, lambda: _spans(_coded(base.select("key", "text", "id")), CODE * least_words))
+        spans = spans.unionByName(by_words.withColumn("by_words", F.lit(True)))
     ordered = F.array_sort(F.collect_set(F.struct("start", "stop", "by_words")))
     merged = spans.groupBy(F.col("key").alias("__dedup_key")).agg(ordered.alias("__dedup_found"))
     merged = merged.select("__dedup_key", *(F.col(f"__dedup_found.{a}").alias(f"__dedup_{b}") for a, b in (("start", "starts"), ("stop", "stops"), ("by_words", "by_words"))))

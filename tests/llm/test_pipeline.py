@@ -1,7 +1,9 @@
+import pathlib
 import random
 
 import corpus_pipeline
 import pytest
+from shelfmark.session import shared_folder
 from tests.llm.rows import awkward, frame, words
 from tests.llm.test_duplicates import cut_of, groups_of
 
@@ -57,6 +59,14 @@ def test_short_passages_go_by_their_words(spark):
     assert sorted((r["doc_id"], r["text"].split()) for r in found) == want
 
 
+def test_near_duplicates_leave_only_what_they_answer(spark, docs):
+    """Frames of the join are deleted: what stays is the ids that go and the ids that several rows share."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    stay = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert len(set(folder.iterdir()) - before) == 2 and stay.count() > 0
+
+
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` <> `max(doc_tokens)`").count() == 0
