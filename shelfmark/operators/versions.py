@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions.text import source_path
+from shelfmark.session import checkpoint
 
 
 def content_id(content: Column | str) -> Column:
@@ -155,6 +156,56 @@ def distinct_titles(docs: DataFrame, block: Column | None = None) -> DataFrame:
     return told.filter("title is not null").select("doc_id", "title").unionByName(counted)
 
 
+#: Parts that uploads are dealt to when they meet what is known of their name.
+UPLOAD_PARTS = 32
+
+
+def titles_by_arrival(docs: DataFrame, block: Column | None = None) -> DataFrame:
+    """doc_id, title: titles as they stand when documents came one after the other and only clashing ones were renamed.
+
+    ``docs``: doc_id, source, arrived (not null; ties by doc_id); other columns are left out, a null source counts as
+    empty. The first file of a name is called by it. A later one gets the shortest ending of two parts or more that no
+    earlier file of the name has, so its title never changes again; the first such one makes the first file show as many
+    folders. A file whose endings all came before is numbered, and so is an upload while its name is in use; once the first
+    file shows its folders, the next upload may have the bare name. Numbers follow the arrival, from 2.
+
+    Nothing is done in order: of every ending the earliest holder is a minimum, taken in each task first, and a file's
+    title is the shortest ending that it is the earliest holder of. A name that a third of all files have is one row
+    where it meets others, its numbered files are counted by block (``block`` must not fall as arrivals rise).
+    """
+    if block is None:
+        times = docs.schema["arrived"].dataType.simpleString() in ("date", "timestamp", "timestamp_ntz")
+        block = F.date_trunc("hour", "arrived") if times else F.floor(F.col("arrived") / 65536)
+    source = F.coalesce("source", F.lit(""))
+    rows = docs.select("doc_id", F.struct("arrived", "doc_id").alias("at"), source.alias("source"), block.alias("block"))
+    parts = F.size(F.filter(F.split("source", r"[\\/]+"), lambda p: p != ""))
+    rows = rows.withColumn("up", F.startswith("source", F.lit("upload:"))).withColumn("depth", parts).withColumn("name", source_path("source", 1))
+    endings = rows.filter("not up and depth > 1").select("at", "source", F.explode(F.sequence(F.lit(2), "depth")).alias("k"))
+    held = endings.select("at", "k", source_path("source", F.col("k")).alias("ending")).groupBy("ending").agg(F.min("at").alias("at"), F.min("k").alias("k"))
+    own = held.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.min_by("ending", "k").alias("own"), F.min("k").alias("k"))
+    told = checkpoint(rows.join(own, "doc_id", "left"))
+
+    first = told.groupBy("name").agg(F.min(F.when(~F.col("up"), F.struct("at", "source", "depth"))).alias("file"), F.min(F.when(F.col("up"), F.col("at"))).alias("upload"))
+    two = told.filter("own is not null").select("name", "at", "k", F.row_number().over(Window.partitionBy("name").orderBy("at")).alias("n")).filter("n <= 2")
+    second = two.join(first, "name").filter(F.col("at") > F.col("file.at")).groupBy("name").agg(F.min(F.struct("at", "k")).alias("next"))
+    names = first.join(second, "name", "left")
+    upload_first = F.col("upload").isNotNull() & (F.col("file").isNull() | (F.col("upload") < F.col("file.at")))
+    bare = F.col("file").isNotNull() & ~upload_first
+    moved = bare & F.col("next").isNotNull() & (F.col("file.depth") > 1)
+    after = names.filter(moved & F.col("upload").isNotNull()).select("name", F.col("next.at").alias("after"), F.explode(F.sequence(F.lit(0), F.lit(UPLOAD_PARTS - 1))).alias("part"))
+    uploads = told.filter("up").select("name", "at", F.pmod(F.xxhash64("doc_id"), F.lit(UPLOAD_PARTS)).cast("int").alias("part"))
+    freed = uploads.join(after, ["name", "part"]).filter(F.col("at") > F.col("after")).groupBy("name").agg(F.min("at").alias("at"))
+    firsts = (
+        names.filter(bare).select("file.at.doc_id", F.when(moved, source_path("file.source", F.col("next.k"))).otherwise(F.col("name")).alias("first"))
+        .unionByName(names.filter(upload_first).select("upload.doc_id", F.col("name").alias("first")))
+        .unionByName(freed.select("at.doc_id", F.col("name").alias("first")))
+    )
+    titled = told.join(firsts, "doc_id", "left").withColumn("title", F.coalesce("first", "own"))
+    crowd = numbered(titled.filter("title is null").select("doc_id", "at", "name", "block"), "name", "at", F.col("block"))
+    counted = crowd.select("doc_id", F.concat("name", F.lit(" ("), (F.col("n") + 1).cast("string"), F.lit(")")).alias("title"))
+    return titled.filter("title is not null").select("doc_id", "title").unionByName(counted)
+
+
 def sync_documents(manifests: DataFrame, index: DataFrame) -> DataFrame:
     """What sync does per document: insert, reindex, rename, delete or keep.
 

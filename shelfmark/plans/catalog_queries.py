@@ -452,6 +452,32 @@ def distinct_titles(spark, sf):
     return V.distinct_titles(B.read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), u.alias("source")))
 
 
+@register(
+    "titles_by_arrival",
+    """WITH s AS (SELECT page_id AS doc_id, -page_id AS arrived, page_id % 7 = 3 AS up,
+    regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '([0-9])[0-9]*/?$', '\\1.md') AS path FROM pages),
+  p AS (SELECT doc_id, arrived, up, list_filter(string_split_regex(path, '[\\\\/]+'), lambda x: x <> '') AS parts FROM s),
+  f AS (SELECT *, parts[len(parts)] AS name, row_number() OVER (PARTITION BY parts[len(parts)], up ORDER BY arrived) AS nth FROM p),
+  e AS (SELECT doc_id, arrived, k, array_to_string(parts[len(parts) - k + 1:], '/') AS ending FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS k FROM f WHERE NOT up)),
+  own AS (SELECT doc_id, arg_min(ending, k) AS own, min(k) AS k FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY arrived) AS n FROM e) WHERE n = 1 GROUP BY doc_id),
+  one AS (SELECT * FROM f WHERE NOT up AND nth = 1),
+  next AS (SELECT name, min(arrived) AS arrived, arg_min(k, arrived) AS k FROM f JOIN own USING (doc_id) WHERE nth > 1 GROUP BY name),
+  ups AS (SELECT f.doc_id, row_number() OVER (PARTITION BY f.name ORDER BY f.arrived) AS n FROM f LEFT JOIN one USING (name) LEFT JOIN next USING (name)
+    WHERE f.up AND (one.name IS NULL OR f.arrived < one.arrived OR (len(one.parts) > 1 AND f.arrived > next.arrived))),
+  early AS (SELECT name FROM f JOIN one USING (name) WHERE f.up AND f.arrived < one.arrived),
+  t AS (SELECT f.doc_id, f.arrived, f.name, CASE WHEN ups.doc_id IS NOT NULL OR (NOT f.up AND nth = 1 AND f.name NOT IN (FROM early) AND (next.k IS NULL OR len(parts) = 1)) THEN f.name
+      WHEN NOT f.up AND nth = 1 AND f.name NOT IN (FROM early) THEN array_to_string(parts[greatest(len(parts) - next.k + 1, 1):], '/') ELSE own END AS title
+    FROM f LEFT JOIN own USING (doc_id) LEFT JOIN next ON f.name = next.name LEFT JOIN ups ON f.doc_id = ups.doc_id AND ups.n = 1)
+  SELECT doc_id, coalesce(title, name || ' (' || (1 + row_number() OVER (PARTITION BY name, title IS NULL ORDER BY arrived)) || ')') AS title FROM t""",
+)
+def titles_by_arrival(spark, sf):
+    """Pages as files in folders, the newest first; each seventh is an upload."""
+    u = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    path = F.regexp_replace(u, "([0-9])[0-9]*/?$", "$1.md")
+    source = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("upload:"), path)).otherwise(path)
+    return V.titles_by_arrival(B.read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), source.alias("source"), (-F.col("page_id")).alias("arrived")))
+
+
 OLD_SQL = """old AS (SELECT doc_id, CASE WHEN quality = 0 AND toxic = 0 THEN 'old ' || title ELSE title END AS title,
   CASE WHEN toxic = 1 THEN chars - 1 ELSE chars END AS chars FROM docs JOIN labels USING (doc_id))"""
 

@@ -168,7 +168,7 @@ def test_streamed_sync(spark, tmp_path):
     assert got == {"k-1": "B", "k-2": "A"}
 
 
-SOME = ["keyword_search", "hybrid_search", "paged_chunks", "distinct_titles", "resolved_links", "nearest_vectors", "parsed_notes", "eval_metrics"]
+SOME = ["keyword_search", "hybrid_search", "paged_chunks", "distinct_titles", "titles_by_arrival", "resolved_links", "nearest_vectors", "parsed_notes", "eval_metrics"]
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME)
