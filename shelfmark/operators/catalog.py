@@ -7,9 +7,12 @@ Changes are new snapshots made by joins; nothing is updated in place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions.text import normalize_shelves, page_runs, source_path
+from shelfmark.operators.semantic import progress
 
 LIST_LIMIT = 100
 SHORT_LIST = 50
@@ -87,6 +90,16 @@ def visible_scoped(
     return scoped(None if only is not None else project, seen)
 
 
+def list_everything(project: DataFrame | None, everywhere: DataFrame, shelves: DataFrame, collection: str | None = None) -> DataFrame:
+    """All documents of both knowledge bases, whatever shelves are in use, with ``scope`` and ``shelves``.
+
+    Shelves group the global knowledge base only: a project's document has none (null), also if a global one has its id.
+    """
+    rows = scoped(project, everywhere).drop("shelves")
+    rows = rows.filter(F.col("collection") == collection) if collection else rows
+    return rows.join(shelf_map(shelves).withColumn("scope", F.lit("global")), ["doc_id", "scope"], "left")
+
+
 def locate(rows: DataFrame) -> DataFrame:
     """Per doc_id the row of the first scope that has it (project before global)."""
     first = F.when(F.col("scope") == "project", 0).otherwise(1)
@@ -338,6 +351,21 @@ def status(docs: DataFrame, chunks: DataFrame, shelves: DataFrame, ocr_pending:
     )
 
 
+def library_status(scopes: dict[str, dict[str, DataFrame]], model: str) -> DataFrame:
+    """A row for each scope: docs, wiki, pages, chunks, shelves, reading as in ``status``, and how far the vectors are:
+    ``done`` of ``ready`` chunks (those whose document does not wait for OCR) have one of this model.
+
+    ``scopes``: a name ("project", "global") with its tables docs, chunks, shelves, ocr_pending, vectors. Each row is made
+    of whole counts; nothing but them leaves its task.
+    """
+    made = []
+    for name, t in scopes.items():
+        far = progress(t["chunks"], t["vectors"], t["ocr_pending"], model)
+        row = status(t["docs"], t["chunks"], t["shelves"], t["ocr_pending"]).select("*", far.select("done").scalar().alias("done"), far.select("total").scalar().alias("ready"))
+        made.append(row.withColumn("scope", F.lit(name)))
+    return reduce(DataFrame.unionByName, made)
+
+
 def ocr_class(chars: Column, total: Column) -> Column:
     """How much of a page's text came from OCR: 'mostly' (half or more), 'some' (20 characters or more) or null."""
     return F.when(chars >= total * 0.5, "mostly").when(chars >= 20, "some")

@@ -269,6 +269,13 @@ def move_scope(rows: DataFrame, ids: DataFrame, to: str) -> DataFrame:
     return marked.select("doc_id", F.when(outcome == "moved", F.lit(to)).otherwise(F.col("scope")).alias("scope"), outcome.alias("outcome"))
 
 
+def shelves_after_move(shelves: DataFrame, moved: DataFrame) -> DataFrame:
+    """The shelves (doc_id, shelf) once ``move_scope`` has answered: a document that went to the project leaves its
+    shelves, as they group the global knowledge base only; refused ones and those that went to the global one keep them."""
+    gone = moved.filter("outcome = 'moved' AND scope = 'project'").select("doc_id").distinct()
+    return shelves.join(gone, "doc_id", "left_anti")
+
+
 def mirror_status(files: DataFrame, copies: DataFrame) -> DataFrame:
     """Another tool's notes (path, content) against their copies: added, updated or exists."""
     both = files.join(copies.select("path", F.col("content").alias("_old")), "path", "left")
@@ -292,3 +299,15 @@ def import_plan(files: DataFrame, docs: DataFrame, project_root: str | None, add
         folder_shelf(added_folder, "source").alias("shelf"),
         F.coalesce("versions", F.lit(0)).alias("versions"),
     )
+
+
+def placement_counts(plan: DataFrame) -> DataFrame:
+    """How many files of an ``import_plan`` go where: scope, shelf, files, replacing (those with earlier versions).
+
+    Only files for the global knowledge base are put on shelves; the others, and those in no folder, count under null.
+    Names that differ in case only are one shelf, spelt as the smallest of them.
+    """
+    shelf = F.when(F.col("scope") == "global", F.col("shelf"))
+    rows = plan.select("scope", shelf.alias("name"), (F.col("versions") > 0).cast("long").alias("replaces"))
+    found = rows.groupBy("scope", F.lower("name").alias("folded")).agg(F.min("name").alias("shelf"), F.count(F.lit(1)).alias("files"), F.sum("replaces").alias("replacing"))
+    return found.select("scope", "shelf", "files", "replacing")

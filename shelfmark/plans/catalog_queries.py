@@ -540,6 +540,61 @@ def moved_documents(spark, sf):
     return V.move_scope(rows, B.read(spark, sf, "labels"), "global")
 
 
+@register(
+    "listed_everything",
+    f"{WITH} SELECT doc_id, title, CASE WHEN collection = 'wiki' THEN 'project' ELSE 'global' END AS scope, CASE WHEN collection = 'docs' THEN s END AS shelves "
+    "FROM docs LEFT JOIN (SELECT doc_id, string_agg(DISTINCT shelf, ',' ORDER BY shelf) AS s FROM shelves GROUP BY doc_id) USING (doc_id)",
+)
+def listed_everything(spark, sf):
+    """Notes are the project's, documents global; the shelves of the former are not shown."""
+    d = B.docs(spark, sf)
+    rows = C.list_everything(d.filter("collection = 'wiki'"), d.filter("collection = 'docs'"), B.shelves(spark, sf))
+    return rows.select("doc_id", "title", "scope", F.array_join("shelves", ",").alias("shelves"))
+
+
+@register(
+    "library_status",
+    f"{WITH}, {B.CHUNKS}, own AS (SELECT *, CASE WHEN collection = 'wiki' THEN 'project' ELSE 'global' END AS scope FROM docs), "
+    "c AS (SELECT scope, count(*) AS chunks, sum(CAST(doc_id NOT IN (SELECT doc_id FROM pending) AS BIGINT)) AS ready FROM chunks JOIN own USING (doc_id) GROUP BY scope) "
+    "SELECT scope, sum(CAST(collection = 'docs' AS BIGINT)) AS docs, sum(CAST(collection = 'wiki' AS BIGINT)) AS wiki, sum(coalesce(pages, 0)) AS pages, "
+    "(SELECT chunks FROM c WHERE c.scope = own.scope) AS chunks, (SELECT ready FROM c WHERE c.scope = own.scope) AS ready, "
+    "(SELECT count(DISTINCT shelf) FROM shelves JOIN own AS o USING (doc_id) WHERE o.scope = own.scope) AS shelves, "
+    "(SELECT count(*) FROM pending JOIN own AS o USING (doc_id) WHERE o.scope = own.scope) AS reading, "
+    "(SELECT count(*) FROM embeddings JOIN own AS o ON vec_id = o.doc_id WHERE o.scope = own.scope) AS done FROM own GROUP BY scope",
+    big=["docs", "wiki", "pages", "chunks", "ready", "shelves", "reading", "done"],
+)
+def library_status(spark, sf):
+    d = B.docs(spark, sf)
+    tables = {"docs": d, "chunks": B.chunks(spark, sf), "shelves": B.shelves(spark, sf), "ocr_pending": B.ocr_pending(spark, sf), "vectors": B.vectors(spark, sf)}
+    owned = {"project": d.filter("collection = 'wiki'").select("doc_id"), "global": d.filter("collection = 'docs'").select("doc_id")}
+    return C.library_status({scope: {name: t.join(ids, "doc_id", "left_semi") for name, t in tables.items()} for scope, ids in owned.items()}, "local:toy#mean")
+
+
+@register(
+    "shelves_after_move",
+    f"{WITH}, t AS (SELECT doc_id, lower(regexp_replace(source, '^.*/', '')) AS title, collection FROM docs), "
+    "gone AS (SELECT doc_id FROM t JOIN labels USING (doc_id) WHERE collection = 'docs' AND title NOT IN (SELECT title FROM t WHERE collection = 'wiki')) "
+    "SELECT doc_id, shelf FROM shelves WHERE doc_id NOT IN (FROM gone)",
+)
+def shelves_after_move(spark, sf):
+    """All labelled documents are asked to move to the project."""
+    rows = B.docs(spark, sf).select(
+        "doc_id", F.substring_index("source", "/", -1).alias("title"), F.when(F.col("collection") == "wiki", "project").otherwise("global").alias("scope")
+    )
+    return V.shelves_after_move(B.shelves(spark, sf), V.move_scope(rows, B.read(spark, sf, "labels"), "project"))
+
+
+@register(
+    "placement_counts",
+    f"{WITH}, {FILES_SQL} SELECT scope, min(shelf) AS shelf, count(*) AS files, sum(CAST(versions > 0 AS BIGINT)) AS replacing FROM ("
+    "SELECT CASE WHEN source LIKE '/kb/src1/%' THEN 'project' ELSE 'global' END AS scope, CASE WHEN source LIKE '/kb/%/%' AND source NOT LIKE '/kb/src1/%' THEN split_part(source, '/', 3) END AS shelf, "
+    "coalesce(n, 0) AS versions FROM files LEFT JOIN (SELECT file_id, count(*) AS n FROM pairs GROUP BY file_id) USING (file_id)) GROUP BY scope, lower(shelf)",
+    big=["replacing"],
+)
+def placement_counts(spark, sf):
+    return V.placement_counts(V.import_plan(*_files(spark, sf), project_root="/kb/src1/", added_folder="/kb"))
+
+
 @register(
     "mirrored_notes",
     "SELECT d.doc_id AS path, CASE WHEN l.doc_id IS NULL THEN 'added' WHEN l.toxic = 1 THEN 'updated' ELSE 'exists' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)",
