@@ -7,20 +7,24 @@ larger, the answer is not to be trusted and the row is marked as rejected.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import documents, fold, plus, small_batches, texts
 
-#: Bounds of the training sample: texts a language, and characters of each.
+#: Bound of the training sample: distinct texts a language, each read whole.
 SAMPLE_TEXTS = 128
-SAMPLE_CHARS = 1024
+#: A text is cut into stretches of so many characters over its whole length; a dictionary is full at so many of them.
+STRETCH_CHARS = 256
+DICTIONARY_STRETCHES = 512
 #: Characters of a block that is compressed on its own, so that a long text cannot become its own dictionary.
 BLOCK_CHARS = 4096
 #: A runner-up that is larger by less than this share of its size makes the answer narrow.
@@ -38,19 +42,28 @@ def letters(text: str) -> str:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """A dictionary's content for each language, of at most SAMPLE_TEXTS * SAMPLE_CHARS characters."""
+    """A dictionary's content for each language, of at most DICTIONARY_STRETCHES * STRETCH_CHARS characters."""
 
     content: dict[str, bytes]
 
 
+def _stretches(text: str) -> list[str]:
+    """Stretches of the whole text's letters by their hashes, as many as fill a dictionary: a stretch's place does not matter."""
+    plain = letters(text)
+    cut = [plain[i : i + STRETCH_CHARS] for i in range(0, len(plain), STRETCH_CHARS)]
+    return heapq.nsmallest(DICTIONARY_STRETCHES, cut, key=lambda s: (xxhash.xxh64_intdigest(s), s))
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS) -> LanguageModel:
     """Dictionaries from rows with a text and a language; other rows teach nothing.
 
-    The sample is bounded: ``sample`` distinct texts a language at most, those with the smallest hashes, each by its first
-    SAMPLE_CHARS characters. Distinct hashes are counted by language first, as copies share one, and the scan keeps only
-    as large a share of the hashes as holds the sample, so a task returns few rows however large the table. No rows: a
-    model without languages.
+    The sample is bounded: ``sample`` distinct texts a language at most, those with the smallest hashes. Distinct hashes
+    are counted by language first, as copies share one, and the scan keeps only as large a share of the hashes as holds the
+    sample, so few rows are left however large the table. A sampled text counts whole: it is cut into stretches over its
+    whole length, and every text gives the stretch of its smallest hash, then that of the second, and so on until the
+    dictionary is full. No rows: a model without languages.
     """
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     hashed = F.xxhash64(F.col(text))
     counts = {r[0]: r[1] for r in known.select(F.col(lang).alias("lang"), hashed.alias("h")).distinct().groupBy("lang").count().collect()}
@@ -58,11 +71,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     wanted: Column = F.lit(False)
     for name, limit in limits.items():
         wanted |= (F.col(lang) == name) & (hashed <= F.lit(limit))
-    rows = known.where(wanted).select(F.col(lang).alias("lang"), hashed.alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-    found: dict[str, set] = {}
-    for row in rows.distinct().collect():
-        found.setdefault(row["lang"], set()).add((row["h"], row["text"]))
-    return LanguageModel({name: "\n".join(letters(t) for _, t in sorted(of)[:sample]).encode() for name, of in sorted(found.items())})
+    rows = known.where(wanted).select(F.col(lang).alias("lang"), hashed.alias("h"), F.col(text).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for batch in batches:
+            langs, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, of in enumerate(zip(langs, hashes, strict=True)):
+                if of in met:
+                    continue
+                met.add(of)
+                found = _stretches(batch.column(2)[at].as_py())
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([of[0]] * n, pa.string()), pa.array([of[1]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(found, pa.string())], ["lang", "h", "turn", "stretch"])
+
+    found = rows.mapInArrow(cut, "lang string, h long, turn int, stretch string").dropDuplicates(["lang", "h", "turn"])
+    texts_of = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "h"))
+    full = found.withColumn("_text", texts_of).where(F.col("_text") <= sample).withColumn("_place", place).where(F.col("_place") <= DICTIONARY_STRETCHES)
+    content: dict[str, list[str]] = {}
+    for row in full.select("lang", "stretch").orderBy("lang", "_place").collect():
+        content.setdefault(row["lang"], []).append(row["stretch"])
+    return LanguageModel({name: "\n".join(of).encode() for name, of in content.items()})
 
 
 def _sizes(model: LanguageModel) -> dict[str, zstandard.ZstdCompressor]:

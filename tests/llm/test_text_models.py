@@ -134,6 +134,20 @@ def test_toxicity_finds_disguised_insults():
     assert 0 <= score(None)[0] < 0.7 and score("")[0] == score("   ")[0] == score(None)[0]
 
 
+def test_language_learns_from_whole_texts(spark):
+    """Texts that open with thousands of foreign characters still teach their own language; each gives stretches of its whole length."""
+    rng = random.Random(4)
+    own = {"xx": ["ka", "ki", "ko", "ku", "kaki"], "yy": ["mir", "dor", "vel", "sun", "tar"]}
+    say = lambda name, n: " ".join(rng.choice(own[name]) + rng.choice(own[name]) for _ in range(n))
+    head = "lorem ipsum dolor sit amet consectetur " * 60
+    rows = [(i, head + say(name, 900), name, None) for i, name in enumerate(["xx", "yy"] * 20)]
+    model = language.train(frame(spark, rows))
+    assert {name: sum(w in content.decode() for w in own[name]) for name, content in model.content.items()} == {"xx": 5, "yy": 5}
+    assert all(len(c.decode()) <= language.DICTIONARY_STRETCHES * (language.STRETCH_CHARS + 1) for c in model.content.values())
+    tests = frame(spark, [(i, say(name, 40), None, name) for i, name in enumerate(["xx", "yy"] * 20)])
+    assert language.classify(tests, model).where("lang_pred <> source").count() == 0
+
+
 def test_toxicity_finds_insults_anywhere_in_long_runs():
     """An insult at every offset of a 200-byte run, and of a sentence in single letters."""
     rng = random.Random(6)
