@@ -1,13 +1,18 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a weighted backoff automaton over words, which spells the words it does not know.
 
-The model gives every byte of a text's words, blanks and end a probability after the bytes before it. Its states are the
-contexts (up to ORDER - 1 bytes) that make up at least SHARE of all training positions; a state's arcs are the bytes seen
-after it, and a failure arc leads to the state without its first byte, with the Witten-Bell weight that its unseen bytes
-get. Failure arcs are followed once, when the automaton is built, so each state ends up with one weight and one successor a
-byte. A text is then one traversal from left to right that carries the state and adds up log10 probabilities. A sequence of
-words has exactly one spelling, so the spelling's probability is the sequence's, words never seen included.
+The states are the words of the training texts (and the start of a text); a state's arcs are the tokens seen after it, so
+states and arcs grow with the corpus. A failure arc leads from each state to the one without context, whose arcs are all
+known tokens, and a second one from there to the spelling of a token. Failure weights are Witten-Bell's (how many different
+tokens followed, against how often), shared by states of about the same count, as many words are too rare for a weight of
+their own. Arcs and states are tables of counts, met by hashes of 64 bits; none is dropped. Each block of texts gets the
+counts of its own words and pairs, and one traversal from left to right carries the state and adds up log10 probabilities.
 
-Word counts for the base score, and byte counts for the automaton, are taken over all training texts.
+The spelling is an automaton over bytes: its states are the contexts (up to ORDER - 1 bytes) that make up at least SHARE of
+all training positions, with Witten-Bell failure arcs that are followed once, when it is built. It is small enough to be
+sent to every task, and decides only how a token's share of what words left over is divided. A sequence of words has exactly
+one spelling, so for each state the tokens' probabilities add up to one at most (the rest is that of an empty word).
+
+Word counts for the base score, and byte counts for the spelling, are taken over all training texts.
 """
 
 from __future__ import annotations
@@ -18,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import buffer_of, documents, fold, lowered, slices, small_batches, word_hashes, word_spans
+from shelfmark.llm.common import buffer_of, documents, fold, lowered, mix, slices, small_batches, word_hashes, word_spans
 from shelfmark.session import checkpoint
 
 #: Bytes of an n-gram: five of context and the next.
@@ -29,10 +34,14 @@ ORDER = 6
 #: A context is a state if at least this share of positions follows it, so an order has 2^16 states at most.
 SHARE = 2.0**-16
 #: Bytes of text whose words are counted together; also what a worker holds while it scores.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes that one lane of the traversal reads; a lane begins with the ORDER - 1 bytes before it, which fix its state.
 LANE = 256
 _BLANK, _END = 0x20, 0x0A
+#: Stands for the end and the start of a text among hashed words.
+_END_WORD, _START_WORD = np.uint64(0x0A), np.uint64(0x02)
+#: States share a failure weight if their counts lie between the same powers of the square root of two.
+LEVELS = 2
 
 
 @dataclass
@@ -44,6 +53,33 @@ class Spelled:
     last: np.ndarray  # behind each row's end
     hashes: np.ndarray  # of the words
     words: np.ndarray  # n+1 word offsets of the rows
+    puts: np.ndarray  # of each word
+
+    @property
+    def rows(self) -> np.ndarray:
+        """The row of each token; tokens are a row's words and its end."""
+        return np.repeat(np.arange(len(self.first)), np.diff(self.words) + 1)
+
+    def tokens(self, of_words: np.ndarray, of_ends: np.ndarray | int) -> np.ndarray:
+        """One value a token, from those of the words and of the ends."""
+        n = len(self.first)
+        out = np.empty(len(of_words) + n, of_words.dtype)
+        out[self.words[1:] + np.arange(n)] = of_ends
+        out[np.arange(len(of_words)) + np.repeat(np.arange(n), np.diff(self.words))] = of_words
+        return out
+
+    def before(self, tokens: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        """Each token's predecessor's value; ``start`` for the first of a row."""
+        out = np.empty_like(tokens)
+        out[1:] = tokens[:-1]
+        out[self.words[:-1] + np.arange(len(self.first))] = start
+        return out
+
+    def pairs(self) -> np.ndarray:
+        """A hash for each token with its predecessor."""
+        tokens = self.tokens(self.hashes, _END_WORD)
+        with np.errstate(over="ignore"):
+            return mix(self.before(tokens, _START_WORD) * np.uint64(3) + mix(tokens))
 
 
 def spell(column: pa.Array) -> Spelled:
@@ -59,7 +95,7 @@ def spell(column: pa.Array) -> Spelled:
     out[np.repeat(put, widths) + step] = data[np.repeat(starts, widths) + step]
     out[put + widths] = _BLANK
     rows = np.arange(len(column))
-    return Spelled(out, before[bounds[:-1]] + ORDER * (rows + 1) - 1, before[bounds[1:]] + ORDER * (rows + 1), word_hashes(data, starts, ends), bounds)
+    return Spelled(out, before[bounds[:-1]] + ORDER * (rows + 1) - 1, before[bounds[1:]] + ORDER * (rows + 1), word_hashes(data, starts, ends), bounds, put)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -96,8 +132,8 @@ class Automaton:
     weight: np.ndarray
     follow: np.ndarray
 
-    def score(self, s: Spelled) -> np.ndarray:
-        """The log10 probability of each row."""
+    def spellings(self, s: Spelled) -> np.ndarray:
+        """The log10 probability of each token's spelling, its blank included, after the bytes before it."""
         if not len(s.first):
             return np.zeros(0)
         lengths = s.last - s.first
@@ -111,14 +147,18 @@ class Automaton:
         symbols = self.classes[s.data].astype(np.int64)
         width = self.weight.shape[1]
         weight, follow = self.weight.ravel(), self.follow.ravel()
-        total, state = np.zeros(len(row)), np.zeros(len(row), np.int64)
+        sums, state = np.zeros(len(s.data) + 1), np.zeros(len(row), np.int64)
         for step in range(ORDER - 1 + int(left[0])):
             live = len(row) if step < ORDER else int(np.searchsorted(-left, -(step - ORDER + 1), side="left"))
             arc = state[:live] * width + symbols[place[:live] + step]
             if step >= ORDER - 1:
-                total[:live] += weight[arc]
+                sums[1 + place[:live] + step] = weight[arc]
             state[:live] = follow[arc]
-        return np.bincount(row, total, len(lengths))
+        np.cumsum(sums, out=sums)
+        starts = s.tokens(s.puts, s.last - 1)
+        stops = np.append(starts[1:], 0)
+        stops[s.words[1:] + np.arange(len(s.first))] = s.last
+        return sums[stops] - sums[starts]
 
 
 def build(grams: DataFrame, share: float = SHARE) -> Automaton:
@@ -169,41 +209,139 @@ def _automaton(arcs: pd.DataFrame, least: float) -> Automaton:
     return Automaton(classes.astype(np.uint8 if width < 256 else np.int16), np.where(np.isfinite(weight), weight, -99.0).astype(np.float32), follow)
 
 
-def _word_counts(placed: DataFrame) -> DataFrame:
-    """(block, word, here, everywhere, blocks, place): each block's words with their training counts in it and in all."""
+def _counted(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, where each is first met, and how many of its places are marked."""
+    kinds, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    return kinds, first, np.bincount(place, learns, len(kinds)).astype(np.int64)
+
+
+def _block_counts(placed: DataFrame, buckets: int) -> DataFrame:
+    """Each block's words (``pair`` 0) and pairs (1) with their training counts in it, as arrays dealt by hash into buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        block, words, pairs, states, marks, token_marks = None, [], [], [], [], []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            learns = np.concatenate(token_marks)
+            found = [(0, *_counted(np.concatenate(words), np.concatenate(marks))), (1, *_counted(np.concatenate(pairs), learns))]
+            state = np.concatenate(states)
+            for kind, keys, first, here in found:
+                bucket = (keys >> np.uint64(40)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                parts = np.split(order, cuts) if len(order) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([kind] * len(parts), pa.int32()),
+                        pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([here[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
+                        pa.array([(state[first[p]] if kind else np.zeros(0, np.uint32)).tobytes() for p in parts], pa.binary()),
+                    ],
+                    ["bucket", "block", "pair", "keys", "here", "states"],
+                )
+
         for batch in batches:
-            blocks, learns = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, part in slices(batch.column(2)):
-                s = spell(part)
-                row = np.repeat(np.arange(len(part)), np.diff(s.words)) + first
-                for block in np.unique(blocks[first : first + len(part)]).tolist():
-                    mine = blocks[row] == block
-                    kinds, place = np.unique(s.hashes[mine], return_inverse=True)
-                    held.setdefault(block, []).append((kinds, np.bincount(place, learns[row[mine]], len(kinds)).astype(np.int64)))
-        for block, parts in held.items():
-            kinds, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            here = np.bincount(place, np.concatenate([n for _, n in parts]), len(kinds)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), block, np.int64)), pa.array(kinds.view(np.int64)), pa.array(here)], ["block", "word", "here"])
-
-    words = placed.select("block", "learns", "text").repartition("block").mapInArrow(count, "block long, word long, here long")
-    all_of = Window.partitionBy("word")
-    first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
-    return words.select("block", "word", F.sum("here").over(all_of).alias("everywhere"), F.count(F.lit(1)).over(all_of).alias("blocks"), first.alias("first"))
+            block_of, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = np.flatnonzero(np.diff(block_of)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block_of)], strict=True):
+                if block_of[a] != block:
+                    if words:
+                        yield from settle()
+                    block, words, pairs, states, marks, token_marks = int(block_of[a]), [], [], [], [], []
+                for first, part in slices(batch.column(2).slice(a, b - a)):
+                    s = spell(part)
+                    mine = learn[a + first : a + first + len(part)]
+                    words.append(s.hashes), pairs.append(s.pairs())
+                    states.append(s.before(s.tokens(s.hashes, _END_WORD), _START_WORD).astype(np.uint32))
+                    marks.append(np.repeat(mine, np.diff(s.words))), token_marks.append(mine[s.rows])
+        if words:
+            yield from settle()
+
+    kinds = "bucket long, block long, pair int, keys binary, here binary, states binary"
+    return placed.select("block", "learns", "text").repartition("block").sortWithinPartitions("block").mapInArrow(count, kinds)
+
+
+def _shared_counts(counts: DataFrame) -> DataFrame:
+    """What the buckets add up to, in rows of three kinds (``pair``):
+
+    * 0, 1: a block's words or pairs that other blocks have too, with their counts in all training texts;
+    * 2: a state's number of arcs and their counts, part by part (``key``: 32 bits of its word, ``n`` arcs, ``total``);
+    * 3: the number ``n`` of distinct training words of a bucket, and their ``total``.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def row(blocks, pair, keys, here, key, n, total):
+            size = max(len(blocks), len(key))
+            pad = lambda a, kind: pa.array(a, kind) if len(a) else pa.nulls(size, kind)
+            return pa.RecordBatch.from_arrays(
+                [pad(blocks, pa.int64()), pa.array([pair] * size, pa.int32()), pad(keys, pa.binary()), pad(here, pa.binary()), pad(key, pa.int64()), pad(n, pa.int64()), pad(total, pa.int64())],
+                ["block", "pair", "keys", "counts", "key", "n", "total"],
+            )
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            keys = [np.frombuffer(k, np.uint64) for _, k, _, _ in held]
+            kinds, first, place, times = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
+            total = np.bincount(place, np.concatenate([np.frombuffer(h, np.int32) for _, _, h, _ in held]), len(kinds)).astype(np.int64)
+            ends = np.cumsum([len(k) for k in keys])
+            for (block, *_), k, end in zip(held, keys, ends.tolist(), strict=True):
+                mine = place[end - len(k) : end]
+                shared = times[mine] > 1
+                if shared.any():
+                    yield row([block], group[1], [k[shared].tobytes()], [total[mine[shared]].tobytes()], [], [], [])
+            seen = total > 0
+            if group[1]:
+                state = np.concatenate([np.frombuffer(s, np.uint32) for *_, s in held])[first[seen]]
+                found, at, arcs = np.unique(state, return_inverse=True, return_counts=True)
+                if len(found):
+                    yield row([], 2, [], [], found.astype(np.int64), arcs, np.bincount(at, total[seen], len(found)).astype(np.int64))
+            else:
+                yield row([], 3, [], [], [0], [int(seen.sum())], [int(total.sum())])
+
+        for batch in batches:
+            bucket_of, block_of, pair_of = (batch.column(i).to_pylist() for i in range(3))
+            for i in range(len(batch)):
+                if group != (bucket_of[i], pair_of[i]):
+                    if held:
+                        yield from settle()
+                    group, held = (bucket_of[i], pair_of[i]), []
+                held.append((block_of[i], *(batch.column(c)[i].as_py() for c in (3, 4, 5))))
+        if held:
+            yield from settle()
+
+    kinds = "block long, pair int, keys binary, counts binary, key long, n long, total long"
+    return counts.repartition("bucket").sortWithinPartitions("bucket", "pair").mapInArrow(add, kinds)
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """The level of each count of at least one; equal for counts between the same powers of 2^(1 / LEVELS)."""
+    return np.floor(LEVELS * np.log2(np.maximum(count, 1)) + 1e-9).astype(np.int64)
+
+
+def failure_weights(shared: DataFrame) -> np.ndarray:
+    """For each level of a state's count, the different tokens that followed its states over all that followed."""
+    states = shared.where("pair = 2").groupBy("key").agg(F.sum("n").alias("arcs"), F.sum("total").alias("held"))
+    level = F.floor(LEVELS * F.log2("held") + 1e-9).cast("int")
+    found = states.groupBy(level.alias("level")).agg((F.sum("arcs") / F.sum("held")).alias("rate")).collect()
+    out = np.ones(64 * LEVELS)
+    for row in found:
+        out[row["level"]] = row["rate"]
+    return out
 
 
 def score_texts(docs: DataFrame, automaton: Automaton, learns: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row: the key, ``learns`` (null: false), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
-    Tokens are the words of the whole text, A-Z in lower case, and one end. ``score`` is the automaton's log10
-    probability; ``base_score`` adds up log10((c + 0.5) / (N + 0.5 * (V + 1))) with c the token's count in the texts
-    that ``learns`` marks, N all their tokens and V the distinct ones. Words are counted by 64-bit hashes. Null and empty
-    texts are an end alone; keys may be null or repeated; other columns are left out; an empty table gives an empty one.
+    Tokens are the words of the whole text, A-Z in lower case, and one end. ``score`` is the log10 probability of the text
+    by words after words, ``automaton`` spelling them where they fail; ``base_score`` adds up
+    log10((c + 0.5) / (N + 0.5 * (V + 1))) with c the token's count in the texts that ``learns`` marks, N all their tokens
+    and V the distinct ones. Words and pairs are counted by 64-bit hashes. Null and empty texts are an end alone; keys may be
+    null or repeated; other columns are left out; an empty table gives an empty one. Without training texts the spelling
+    is all there is.
 
-    Texts are dealt into blocks of about ``block_bytes``. A block's words meet the counts of the whole, and only words that
-    other blocks have too come back to it: no task holds more than a block and its own words.
+    Texts are dealt into blocks of about ``block_bytes``. A block's words and pairs meet the counts of the whole, and only
+    those that other blocks have too come back to it: no task holds more than a block, or a bucket of as many hashes and
+    one more for each block that shares one of its most frequent words.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -211,41 +349,56 @@ def score_texts(docs: DataFrame, automaton: Automaton, learns: str, key: str = "
     size = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("learns").cast("long")).alias("texts")).first()
     blocks = max(1, -(-(size["bytes"] or 0) // block_bytes))
     placed = base.withColumn("block", F.pmod(F.xxhash64("key", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(blocks)))
-    words = checkpoint(_word_counts(placed))
-    totals = words.where("first").agg(F.sum("everywhere").alias("n"), F.sum((F.col("everywhere") > 0).cast("long")).alias("v")).first()
+    shared = checkpoint(_shared_counts(_block_counts(placed, blocks)))
+    totals = shared.where("pair = 3").agg(F.sum("total").alias("n"), F.sum("n").alias("v")).first()
+    rates = failure_weights(shared)
     learned = size["texts"] or 0
     all_tokens, distinct = (totals["n"] or 0) + learned, (totals["v"] or 0) + (1 if learned else 0)
-    end_part = float(np.log10(learned + 0.5))
     model = spark.sparkContext.broadcast(automaton)
     kind = base.schema["key"].dataType.simpleString()
-    counts = words.where("blocks > 1").select("block", F.lit(0).alias("part"), "word", "everywhere", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("boolean").alias("learns"), F.lit(None).cast("string").alias("text"))
-    rows = placed.select("block", F.lit(1).alias("part"), F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("everywhere"), "key", "learns", "text")
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("key", kind), ("learns", "boolean"), ("text", "string"))]
+    counts = shared.where("pair < 2").select("block", F.col("pair").alias("part"), "keys", "counts", *empty)
+    rows = placed.select("block", F.lit(2).alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "key", "learns", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block, the block's routed counts before its texts."""
+        """Rows come sorted by block, the block's shared counts before its texts."""
         automaton = model.value
-        block, known, texts = None, [], []
-
-        def settle() -> pa.RecordBatch:
-            hashes = np.concatenate([t[4] for t in texts])
-            tokens = np.concatenate([t[3] for t in texts])
-            row = np.repeat(np.arange(len(tokens)), tokens)
-            learn = np.concatenate([t[1] for t in texts])
-            kinds, place = np.unique(hashes, return_inverse=True)
-            count = np.bincount(place, learn[row], len(kinds)) if len(kinds) else np.zeros(0)
-            if known and len(kinds):
-                routed = np.concatenate([w for w, _ in known]).view(np.uint64)
-                at = np.minimum(np.searchsorted(kinds, routed), len(kinds) - 1)
-                count[at] = np.where(kinds[at] == routed, np.concatenate([c for _, c in known]), count[at])
-            logs = np.bincount(row, np.log10(count + 0.5)[place], len(tokens)) if len(kinds) else np.zeros(len(tokens))
-            seen = np.bincount(row, count[place] > 0, len(tokens)) if len(kinds) else np.zeros(len(tokens))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([t[0] for t in texts]), pa.array(learn), pa.array(tokens + 1), pa.array(seen.astype(np.int64) + (1 if learned else 0)),
-                    pa.array(logs + end_part), pa.array(np.concatenate([t[2] for t in texts])),
-                ],
-                ["key", "learns", "n_tokens", "n_known", "logs", "score"],
-            )
+        block, known, texts = None, ([], []), []
+
+        def count_of(keys: np.ndarray, marks: np.ndarray, pair: int) -> tuple[np.ndarray, np.ndarray]:
+            """The place of each key among the distinct ones, and these ones' counts in all training texts."""
+            kinds, place = np.unique(keys, return_inverse=True)
+            count = np.bincount(place, marks, len(kinds))
+            if known[pair] and len(kinds):
+                shared = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in known[pair]])
+                count[np.searchsorted(kinds, shared)] = np.concatenate([np.frombuffer(c, np.int64) for _, c in known[pair]])
+            return place, count
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            words = np.concatenate([s.hashes for *_, s, _ in texts])
+            marks = np.concatenate([np.repeat(learn, np.diff(s.words)) for _, learn, s, _ in texts])
+            place, count = count_of(words, marks, 0)
+            end = len(count)
+            count = np.append(count, learned)  # ends; as many starts
+            pair_place, pair_count = count_of(np.concatenate([s.pairs() for *_, s, _ in texts]), np.concatenate([learn[s.rows] for _, learn, s, _ in texts]), 1)
+            at, pair_at = 0, 0
+            for keys, learn, s, spelt in texts:
+                n = len(s.first)
+                token = s.tokens(place[at : at + len(s.hashes)], end)
+                own, both = count[token], pair_count[pair_place[pair_at : pair_at + len(token)]]
+                before = count[s.before(token, end)]
+                at, pair_at = at + len(s.hashes), pair_at + len(token)
+                with np.errstate(divide="ignore"):
+                    one = spelt * np.log(10)
+                    if all_tokens:
+                        one = np.logaddexp(np.log(own), np.log(distinct) + one) - np.log(all_tokens + distinct)
+                    arcs = np.maximum(before, 1) * rates[_level(before)]
+                    two = np.where(before > 0, np.logaddexp(np.log(both), np.log(arcs) + one) - np.log(before + arcs), one)
+                sums = lambda values: np.bincount(s.rows, values, n)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(learn), pa.array(np.diff(s.words) + 1), pa.array(sums(own > 0).astype(np.int64)), pa.array(sums(np.log10(own + 0.5))), pa.array(sums(two) / np.log(10))],
+                    ["key", "learns", "n_tokens", "n_known", "logs", "score"],
+                )
 
         for batch in batches:
             block_of, part_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -253,18 +406,20 @@ def score_texts(docs: DataFrame, automaton: Automaton, learns: str, key: str = "
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block_of)], strict=True):
                 if block_of[a] != block:
                     if texts:
-                        yield settle()
-                    block, known, texts = block_of[a], [], []
+                        yield from settle()
+                    block, known, texts = block_of[a], ([], []), []
                 piece = batch.slice(a, b - a)
-                if part_of[a] == 0:
-                    known.append((piece.column(2).to_numpy(zero_copy_only=False), piece.column(3).to_numpy(zero_copy_only=False)))
+                if part_of[a] < 2:
+                    known[part_of[a]].extend(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True))
                     continue
                 learn = piece.column(5).to_numpy(zero_copy_only=False).astype(bool)
                 for first, some in slices(piece.column(6)):
                     s = spell(some)
-                    texts.append((piece.column(4).slice(first, len(some)), learn[first : first + len(some)], automaton.score(s), np.diff(s.words), s.hashes))
+                    spelt = automaton.spellings(s)
+                    s.data = s.data[:0]
+                    texts.append((piece.column(4).slice(first, len(some)), learn[first : first + len(some)], s, spelt))
         if texts:
-            yield settle()
+            yield from settle()
 
     found = counts.unionByName(rows).repartition("block").sortWithinPartitions("block", "part")
     found = found.mapInArrow(run, f"key {kind}, learns boolean, n_tokens long, n_known long, logs double, score double")

@@ -239,14 +239,48 @@ def test_language_model_against_brute_force(spark, monkeypatch):
         below = p(context[1:] if context else None, byte)
         return (own[byte] + max(len(own), 1) * below) / (own.total() + max(len(own), 1))
 
-    def score(text):
-        line, out = b"\n" * 5 + spelled(text), 0.0
-        for at in range(5, len(line)):
+    def spelling(line, first, last):
+        out = 0.0
+        for at in range(first, last):
             context = next(line[at - n : at] for n in range(5, -1, -1) if line[at - n : at] in states)
             byte = line[at : at + 1] if line[at : at + 1] in common else None
             out += math.log10(p(context, byte) / (rest if byte is None else 1))
         return out
 
+    after, levels = {}, {}
+    for i, t, *_ in rows:
+        if learns(i):
+            tokens = ["start", *spelled(t)[:-1].decode().split(" ")[:-1], "\n"]
+            for v, w in zip(tokens, tokens[1:], strict=False):
+                after.setdefault(v, Counter())[w] += 1
+    level = lambda held: math.floor(2 * math.log2(held) + 1e-9)
+    for v in after.values():
+        kinds_of, held = levels.get(level(v.total()), (0, 0))
+        levels[level(v.total())] = kinds_of + len(v), held + v.total()
+
+    def word(v, w, spelt):
+        """log10 of a token after a state, given its spelling's."""
+        log = lambda n, rest: math.log10(n + 10**rest) if n else rest
+        one = log(counts.get(w, 0), math.log10(kinds) + spelt) - math.log10(total + kinds)
+        if v not in after:
+            return one
+        held = after[v].total()
+        kinds_of, of = levels[level(held)]
+        arcs = held * kinds_of / of
+        return log(after[v][w], math.log10(arcs) + one) - math.log10(held + arcs)
+
+    def score(text):
+        line, at, out, v = b"\n" * 5 + spelled(text), 5, 0.0, "start"
+        for w in [*spelled(text)[:-1].decode().split(" ")[:-1], "\n"]:
+            end = at + len(w.encode()) + (w != "\n")
+            out, at, v = out + word(v, w, spelling(line, at, end)), end, w
+        return out
+
+    for v in list(after)[:50]:  # what known tokens and the spelling get of a state adds up to one
+        nothing = 10 ** word(v, "never", 0.0) - 10 ** word(v, "never", -300.0)
+        assert sum(10 ** word(v, w, -300.0) for w in counts) + nothing == pytest.approx(1)
+    assert np.allclose((10.0 ** model.weight * np.bincount(model.classes, minlength=model.weight.shape[1])).sum(axis=1), 1, atol=1e-4)
+
     want = []
     for i, t, *_ in rows:
         tokens = spelled(t)[:-1].decode().split(" ")[:-1] + ["\n"]
@@ -264,3 +298,18 @@ def test_language_model_without_training(spark):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert np.isclose(found[1]["score"], math.log10(1 / 256))
     assert language_model.score_texts(docs.where("doc_id > 5"), model, "learns").collect() == []
+
+
+def test_language_model_grows_and_beats_word_counts(spark):
+    """No share or cap on states and arcs: twice the texts have nearly twice the arcs. Held-out texts of sf0.01 score above their word counts."""
+    rng = random.Random(2)
+    rows = [(i, words(rng, 200), None, None) for i in range(80)]
+
+    def arcs(rows):
+        placed = frame(spark, rows).select(F.pmod("doc_id", F.lit(4)).alias("block"), F.lit(True).alias("learns"), "text")
+        return language_model._shared_counts(language_model._block_counts(placed, 3)).where("pair = 2").agg(F.sum("n")).first()[0]
+
+    pairs = lambda rows: len({p for _, t, *_ in rows for p in zip(["start", *t.split()], [*t.split(), "end"], strict=True)})
+    assert (arcs(rows[:40]), arcs(rows)) == (pairs(rows[:40]), pairs(rows))
+    found = language_model.language_model_query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (found[0] - found[1]) / found[2] > 0.1
