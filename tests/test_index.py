@@ -79,3 +79,29 @@ def test_ids_may_be_strings(spark):
 def test_no_needles_find_nothing(spark):
     made = I.build(spark.createDataFrame(corpus(2, 5), COLUMNS), folder())
     assert found(spark, made, [None, ""]) == []
+
+
+def test_packed_places_come_back():
+    import numpy as np
+
+    rows = [[0], [5, 6, 300, 70_000], [2**31 - 1], [1, 2**28, 2**30]]
+    flat = np.array([p for r in rows for p in r], np.int64)
+    packed = I._packed(flat, np.array([0, 1, 5, 6]))
+    places, first = I._unpacked(packed.slice(1))
+    assert [places[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == rows[1:]
+    assert len(packed.buffers()[2]) == 1 + (1 + 1 + 2 + 3) + 5 + (1 + 4 + 5)
+
+
+def test_an_index_is_written_once_and_small(spark):
+    """Places cost two bytes a character at most, and a build leaves nothing but the index in the shared folder."""
+    import os
+
+    from shelfmark.session import shared_folder
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(2000)]
+    rows = [(i, i, 1, f"t{i}", "", " ".join(rng.choices(words, k=200))) for i in range(500)]
+    size = lambda at: sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(at) for f in fs)
+    at, before = folder(), size(shared_folder(spark))
+    I.build(spark.createDataFrame(rows, COLUMNS).coalesce(2), at)
+    assert size(at) < 2 * sum(len(r[5]) for r in rows) and size(shared_folder(spark)) == before
