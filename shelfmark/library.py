@@ -23,7 +23,7 @@ HIT = ["query_id", "rank", "chunk_id", "doc_id", "page", "title", "heading", "sn
 @dataclass(frozen=True)
 class KnowledgeBase:
     """Tables as the operators describe them; ``stats`` is ``keyword.corpus_stats`` kept from the build,
-    ``index`` the search index of the chunks: with it no search reads texts to find chunks."""
+    ``index`` the search index of the chunks: with it no search reads texts to find chunks; or ``scan`` (``keyword.candidates``)."""
 
     docs: DataFrame
     chunks: DataFrame
@@ -33,7 +33,7 @@ class KnowledgeBase:
     embedder: semantic.Embedder | None = None
     min_score: float | None = None
     stats: DataFrame | None = None
-    index: SearchIndex | None = None
+    index: SearchIndex | str | None = None
 
     def visible(self, collection: str | None = None, any_of: list[str] | None = None, only: str | None = None) -> DataFrame | None:
         """Documents in reach (doc_id), or None for all of them."""
