@@ -51,12 +51,12 @@ def import_status(files: DataFrame, known: DataFrame, other_scope: DataFrame) ->
     return marked.withColumn("status", state).drop("_here", "_there")
 
 
-def previous_versions(files: DataFrame, docs: DataFrame) -> DataFrame:
+def previous_versions(files: DataFrame, docs: DataFrame, known: bool = False) -> DataFrame:
     """What a new file would replace: per file the number of versions, the first one's title and the newest id.
 
     ``files``: file_id (as its content's id), source; ``docs``: doc_id, source, title, added_at. A path replaces documents
     of the same path or an upload of the same name; an upload replaces any document of that name. A file whose content
-    is a document already replaces nothing.
+    is a document already replaces nothing and is left out, unless ``known`` asks for all files.
     Documents are reduced to one row per key before the join, so a name many share stays one row.
     """
 
@@ -69,7 +69,7 @@ def previous_versions(files: DataFrame, docs: DataFrame) -> DataFrame:
 
     upload = F.startswith("source", F.lit("upload:"))
     name = source_path("source", 1)
-    fresh = files.join(docs.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_anti")
+    fresh = files if known else files.join(docs.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_anti")
     asked = fresh.select("file_id", "source", upload.alias("up"), name.alias("name"))
     by_name = asked.filter("up").select("file_id", F.concat(F.lit("name:"), "name").alias("_key"))
     by_path = asked.filter("not up").select(

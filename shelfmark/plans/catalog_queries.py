@@ -386,20 +386,25 @@ def import_summary(spark, sf):
     return C.import_summary(import_status(spark, sf))
 
 
-FILES_SQL = """files AS (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM pending) THEN doc_id ELSE -1 - doc_id END AS file_id, CASE WHEN collection = 'wiki' THEN 'upload:' || split_part(source, '/', -1) ELSE source END AS source FROM docs),
+def _files_sql(file_id: str, only: str) -> str:
+    return f"""files AS (SELECT {file_id} AS file_id, CASE WHEN collection = 'wiki' THEN 'upload:' || split_part(source, '/', -1) ELSE source END AS source FROM docs),
   old AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM pending) THEN 'upload:' || split_part(source, '/', -1) ELSE source END AS source, title, added_at FROM docs),
   pairs AS (SELECT file_id, doc_id, title, added_at FROM files f JOIN old o ON CASE WHEN f.source LIKE 'upload:%'
     THEN regexp_replace(split_part(o.source, '/', -1), '^upload:', '') = substr(f.source, 8)
-    ELSE o.source = f.source OR o.source = 'upload:' || split_part(f.source, '/', -1) END
-    WHERE file_id NOT IN (SELECT doc_id FROM docs))"""
+    ELSE o.source = f.source OR o.source = 'upload:' || split_part(f.source, '/', -1) END{only})"""
 
 
-def _files(spark, sf):
-    """Every document's file again: as it is where the document waits for OCR, with new content elsewhere."""
+FILES_SQL = _files_sql("CASE WHEN doc_id IN (SELECT doc_id FROM pending) THEN doc_id ELSE -1 - doc_id END", "\n    WHERE file_id NOT IN (SELECT doc_id FROM docs)")
+ALL_FILES_SQL = _files_sql("doc_id", "")
+
+
+def _files(spark, sf, edited: bool = True):
+    """Every document's file again: as it is where the document waits for OCR, with new content elsewhere if ``edited``."""
     d = B.docs(spark, sf)
     up = F.concat(F.lit("upload:"), F.substring_index("source", "/", -1))
     known = d.join(B.ocr_pending(spark, sf).withColumn("w", F.lit(True)), "doc_id", "left")
-    files = known.select(F.when(F.col("w"), F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("file_id"), F.when(F.col("collection") == "wiki", up).otherwise(F.col("source")).alias("source"))
+    own = F.when(F.col("w"), F.col("doc_id")).otherwise(-1 - F.col("doc_id")) if edited else F.col("doc_id")
+    files = known.select(own.alias("file_id"), F.when(F.col("collection") == "wiki", up).otherwise(F.col("source")).alias("source"))
     waits = B.ocr_pending(spark, sf).withColumn("w", F.lit(True))
     old = d.join(waits, "doc_id", "left").select("doc_id", F.when(F.col("w"), up).otherwise(F.col("source")).alias("source"), "title", "added_at")
     return files, old
@@ -407,10 +412,11 @@ def _files(spark, sf):
 
 @register(
     "previous_versions",
-    f"{WITH}, {FILES_SQL} SELECT file_id, count(*) AS versions, arg_min(title, added_at) AS first_title, arg_max(doc_id, added_at) AS last_id FROM pairs GROUP BY file_id",
+    f"{WITH}, {ALL_FILES_SQL} SELECT file_id, count(*) AS versions, arg_min(title, added_at) AS first_title, arg_max(doc_id, added_at) AS last_id FROM pairs GROUP BY file_id",
 )
 def previous_versions(spark, sf):
-    return V.previous_versions(*_files(spark, sf))
+    """What each document's file would replace, whether its content is known or not."""
+    return V.previous_versions(*_files(spark, sf, edited=False), known=True)
 
 
 @register(

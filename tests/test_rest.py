@@ -186,3 +186,12 @@ def test_queries_equal_sql(spark, name):
     assert sorted(df.columns) == sorted(columns)
     key = lambda row: repr([float(v) if isinstance(v, (int, float)) else v for _, v in sorted(row.items())])
     assert sorted(map(key, (r.asDict() for r in df.collect()))) == sorted(map(key, want))
+
+
+def test_versions_of_known_contents(spark):
+    docs = spark.createDataFrame([(1, "/x/one.md"), (2, "/x/one.md"), (3, "upload:one.md")], "doc_id long, source string")
+    old = docs.withColumn("title", F.col("doc_id").cast("string")).withColumn("added_at", F.col("doc_id"))
+    files = spark.createDataFrame([(2, "/x/one.md"), (9, "upload:one.md")], "file_id long, source string")
+    told = lambda df: sorted(tuple(r) for r in df.select("file_id", "versions", "first_title", "last_id").collect())
+    assert told(V.previous_versions(files, old)) == [(9, 3, "1", 3)]
+    assert told(V.previous_versions(files, old, known=True)) == [(2, 3, "1", 3), (9, 3, "1", 3)]
