@@ -5,7 +5,7 @@ states and arcs grow with the corpus. A failure arc leads from each state to the
 known tokens, and a second one from there to the spelling of a token. Failure weights are Witten-Bell's (how many different
 tokens followed, against how often), shared by states of about the same count, as many words are too rare for a weight of
 their own. Arcs and states are tables of counts, met by hashes of 64 bits; none is dropped. Each block of texts gets the
-counts of its own words and pairs, and one traversal from left to right carries the state and adds up log10 probabilities.
+counts of its own words and pairs, in the order in which it named them, and one traversal from left to right carries the state and adds up log10 probabilities.
 
 The spelling is an automaton over bytes: its states are the contexts (up to ORDER - 1 bytes) that make up at least SHARE of
 all training positions, with Witten-Bell failure arcs that are followed once, when it is built. It is small enough to be
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import buffer_of, documents, fold, lowered, mix, slices, small_batches, word_hashes, word_spans
-from shelfmark.session import checkpoint
+from shelfmark.session import checkpoint, passing
 
 #: Bytes of an n-gram: five of context and the next.
 ORDER = 6
@@ -40,6 +40,8 @@ LANE = 256
 _BLANK, _END = 0x20, 0x0A
 #: Stands for the end and the start of a text among hashed words.
 _END_WORD, _START_WORD = np.uint64(0x0A), np.uint64(0x02)
+#: A pair's hash begins with so many bits of its state's, and as many come along with it; both tell the states of arcs.
+STATE_BITS = 16
 #: States share a failure weight if their counts lie between the same powers of the square root of two.
 LEVELS = 2
 
@@ -76,10 +78,12 @@ class Spelled:
         return out
 
     def pairs(self) -> np.ndarray:
-        """A hash for each token with its predecessor."""
+        """A hash for each token with its predecessor: its first STATE_BITS bits are the predecessor's."""
         tokens = self.tokens(self.hashes, _END_WORD)
+        states = self.before(tokens, _START_WORD)
+        low = np.uint64((1 << 64 - STATE_BITS) - 1)
         with np.errstate(over="ignore"):
-            return mix(self.before(tokens, _START_WORD) * np.uint64(3) + mix(tokens))
+            return (states << np.uint64(64 - 2 * STATE_BITS) & ~low) | (mix(states * np.uint64(3) + mix(tokens)) & low)
 
 
 def spell(column: pa.Array) -> Spelled:
@@ -215,8 +219,30 @@ def _counted(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return kinds, first, np.bincount(place, learns, len(kinds)).astype(np.int64)
 
 
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets of some hashes, and the places of each one's hashes in their order. Bits of a pair's state do not count."""
+    bucket = ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return np.array([bucket[p[0]] for p in parts], np.int64), parts
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as the bytes that the largest takes, first the lowest byte of each, which compresses better."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _block_counts(placed: DataFrame, buckets: int) -> DataFrame:
-    """Each block's words (``pair`` 0) and pairs (1) with their training counts in it, as arrays dealt by hash into buckets."""
+    """Each block's words (``pair`` 0) and pairs (1) with their training counts in it, as arrays dealt by hash into buckets.
+    They are sorted, so the block can tell which its counts are without getting them back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words, pairs, states, marks, token_marks = None, [], [], [], [], []
@@ -226,15 +252,12 @@ def _block_counts(placed: DataFrame, buckets: int) -> DataFrame:
             found = [(0, *_counted(np.concatenate(words), np.concatenate(marks))), (1, *_counted(np.concatenate(pairs), learns))]
             state = np.concatenate(states)
             for kind, keys, first, here in found:
-                bucket = (keys >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                parts = np.split(order, cuts) if len(order) else []
+                bucket, parts = _dealt(keys, buckets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([kind] * len(parts), pa.int32()),
-                        pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([here[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
-                        pa.array([(state[first[p]] if kind else np.zeros(0, np.uint32)).tobytes() for p in parts], pa.binary()),
+                        pa.array(bucket), pa.array([block] * len(parts), pa.int64()), pa.array([kind] * len(parts), pa.int32()),
+                        pa.array([_packed(keys[p]) for p in parts], pa.binary()), pa.array([_packed(here[p]) for p in parts], pa.binary()),
+                        pa.array([_packed(state[first[p]] if kind else np.zeros(0, np.uint16)) for p in parts], pa.binary()),
                     ],
                     ["bucket", "block", "pair", "keys", "here", "states"],
                 )
@@ -251,7 +274,8 @@ def _block_counts(placed: DataFrame, buckets: int) -> DataFrame:
                     s = spell(part)
                     mine = learn[a + first : a + first + len(part)]
                     words.append(s.hashes), pairs.append(s.pairs())
-                    states.append(s.before(s.tokens(s.hashes, _END_WORD), _START_WORD).astype(np.uint32))
+                    state = s.before(s.tokens(s.hashes, _END_WORD), _START_WORD)
+                    states.append(state.astype(np.uint16))
                     marks.append(np.repeat(mine, np.diff(s.words))), token_marks.append(mine[s.rows])
         if words:
             yield from settle()
@@ -263,40 +287,41 @@ def _block_counts(placed: DataFrame, buckets: int) -> DataFrame:
 def _shared_counts(counts: DataFrame) -> DataFrame:
     """What the buckets add up to, in rows of three kinds (``pair``):
 
-    * 0, 1: a block's words or pairs that other blocks have too, with their counts in all training texts;
-    * 2: a state's number of arcs and their counts, part by part (``key``: 32 bits of its word, ``n`` arcs, ``total``);
+    * 0, 1: the counts, in all training texts, of a block's words or pairs of a bucket, in the order of their hashes; none
+      if no other block has one of them;
+    * 2: a state's number of arcs and their counts, part by part (``key``: 2 * STATE_BITS bits of its word, ``n`` arcs, ``total``);
     * 3: the number ``n`` of distinct training words of a bucket, and their ``total``.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
-        def row(blocks, pair, keys, here, key, n, total):
+        def row(blocks, pair, counts, key, n, total):
             size = max(len(blocks), len(key))
             pad = lambda a, kind: pa.array(a, kind) if len(a) else pa.nulls(size, kind)
             return pa.RecordBatch.from_arrays(
-                [pad(blocks, pa.int64()), pa.array([pair] * size, pa.int32()), pad(keys, pa.binary()), pad(here, pa.binary()), pad(key, pa.int64()), pad(n, pa.int64()), pad(total, pa.int64())],
-                ["block", "pair", "keys", "counts", "key", "n", "total"],
+                [pad(blocks, pa.int64()), pa.array([pair] * size, pa.int32()), pad([group[0]] * len(blocks), pa.int64()), pad(counts, pa.binary()), pad(key, pa.int64()), pad(n, pa.int64()), pad(total, pa.int64())],
+                ["block", "pair", "bucket", "counts", "key", "n", "total"],
             )
 
         def settle() -> Iterator[pa.RecordBatch]:
-            keys = [np.frombuffer(k, np.uint64) for _, k, _, _ in held]
+            keys = [_unpacked(k) for _, k, _, _ in held]
             kinds, first, place, times = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
-            total = np.bincount(place, np.concatenate([np.frombuffer(h, np.int32) for _, _, h, _ in held]), len(kinds)).astype(np.int64)
+            total = np.bincount(place, np.concatenate([_unpacked(h) for _, _, h, _ in held]), len(kinds)).astype(np.int64)
             ends = np.cumsum([len(k) for k in keys])
             for (block, *_), k, end in zip(held, keys, ends.tolist(), strict=True):
                 mine = place[end - len(k) : end]
-                shared = times[mine] > 1
-                if shared.any():
-                    yield row([block], group[1], [k[shared].tobytes()], [total[mine[shared]].tobytes()], [], [], [])
+                if (times[mine] > 1).any():
+                    yield row([block], group[1], [_packed(total[mine])], [], [], [])
             seen = total > 0
             if group[1]:
-                state = np.concatenate([np.frombuffer(s, np.uint32) for *_, s in held])[first[seen]]
+                state = np.concatenate([_unpacked(s) for *_, s in held])[first[seen]]
+                state |= kinds[seen] >> np.uint64(64 - STATE_BITS) << np.uint64(STATE_BITS)
                 found, at, arcs = np.unique(state, return_inverse=True, return_counts=True)
                 if len(found):
-                    yield row([], 2, [], [], found.astype(np.int64), arcs, np.bincount(at, total[seen], len(found)).astype(np.int64))
+                    yield row([], 2, [], found.astype(np.int64), arcs, np.bincount(at, total[seen], len(found)).astype(np.int64))
             else:
-                yield row([], 3, [], [], [0], [int(seen.sum())], [int(total.sum())])
+                yield row([], 3, [], [0], [int(seen.sum())], [int(total.sum())])
 
         for batch in batches:
             bucket_of, block_of, pair_of = (batch.column(i).to_pylist() for i in range(3))
@@ -309,7 +334,7 @@ def _shared_counts(counts: DataFrame) -> DataFrame:
         if held:
             yield from settle()
 
-    kinds = "block long, pair int, keys binary, counts binary, key long, n long, total long"
+    kinds = "block long, pair int, bucket long, counts binary, key long, n long, total long"
     return counts.repartition("bucket").sortWithinPartitions("bucket", "pair").mapInArrow(add, kinds)
 
 
@@ -340,7 +365,7 @@ def score_texts(docs: DataFrame, automaton: Automaton, learns: str, key: str = "
     is all there is.
 
     Texts are dealt into blocks of about ``block_bytes``. A block's words and pairs meet the counts of the whole, and only
-    those that other blocks have too come back to it: no task holds more than a block, or a bucket of as many hashes and
+    these counts come back to it, as numbers in the order of the hashes: no task holds more than a block, or a bucket of as many hashes and
     one more for each block that shares one of its most frequent words.
     """
     spark = docs.sparkSession
@@ -357,8 +382,8 @@ def score_texts(docs: DataFrame, automaton: Automaton, learns: str, key: str = "
     model = spark.sparkContext.broadcast(automaton)
     kind = base.schema["key"].dataType.simpleString()
     empty = [F.lit(None).cast(t).alias(n) for n, t in (("key", kind), ("learns", "boolean"), ("text", "string"))]
-    counts = shared.where("pair < 2").select("block", F.col("pair").alias("part"), "keys", "counts", *empty)
-    rows = placed.select("block", F.lit(2).alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "key", "learns", "text")
+    counts = shared.where("pair < 2").select("block", F.col("pair").alias("part"), "bucket", "counts", *empty)
+    rows = placed.select("block", F.lit(2).alias("part"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "key", "learns", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, the block's shared counts before its texts."""
@@ -369,9 +394,10 @@ def score_texts(docs: DataFrame, automaton: Automaton, learns: str, key: str = "
             """The place of each key among the distinct ones, and these ones' counts in all training texts."""
             kinds, place = np.unique(keys, return_inverse=True)
             count = np.bincount(place, marks, len(kinds))
-            if known[pair] and len(kinds):
-                shared = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in known[pair]])
-                count[np.searchsorted(kinds, shared)] = np.concatenate([np.frombuffer(c, np.int64) for _, c in known[pair]])
+            if known[pair]:
+                parts = dict(zip(*(list(x) for x in _dealt(kinds, blocks)), strict=True))
+                for bucket, counts in known[pair]:
+                    count[parts[bucket]] = _unpacked(counts)
             return place, count
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -434,6 +460,7 @@ def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, scored by a model learnt from those whose id's crc32 modulo 5 is not 1."""
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("in_training", F.coalesce(fold("doc_id", 5) != 1, F.lit(False)))
     small_batches(spark)
-    automaton = build(checkpoint(gram_counts(docs.where("in_training"))))
+    with passing(spark):
+        automaton = build(checkpoint(gram_counts(docs.where("in_training"))))
     scored = score_texts(docs, automaton, "in_training")
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

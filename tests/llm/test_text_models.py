@@ -313,3 +313,26 @@ def test_language_model_grows_and_beats_word_counts(spark):
     assert (arcs(rows[:40]), arcs(rows)) == (pairs(rows[:40]), pairs(rows))
     found = language_model.language_model_query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (found[0] - found[1]) / found[2] > 0.1
+
+
+def test_language_model_sends_little(spark):
+    """A pair goes to its bucket in 11 bytes (16 once), its count comes back alone, and the states of arcs stay apart."""
+    rng = random.Random(3)
+    rows = [(i, words(rng, 400), None, None) for i in range(40)]
+    placed = frame(spark, rows).select(F.pmod("doc_id", F.lit(2)).alias("block"), F.lit(True).alias("learns"), "text")
+    counts = language_model._block_counts(placed, 3)
+    pairs = lambda some: {p for _, t, *_ in some for p in zip(["start", *t.split()], [*t.split(), "end"], strict=True)}
+    sent = counts.where("pair = 1").agg(F.sum(F.octet_length("keys") + F.octet_length("here") + F.octet_length("states"))).first()[0]
+    assert sent < 12 * sum(len(pairs(rows[k::2])) for k in (0, 1))
+    shared = language_model._shared_counts(counts)
+    back = shared.where("pair = 1").agg(F.sum(F.octet_length("counts"))).first()[0]
+    assert back < 2 * sum(len(pairs(rows[k::2])) for k in (0, 1)) and "keys" not in shared.columns
+    arcs = Counter(v for v, _ in pairs(rows))
+    found = shared.where("pair = 2").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    assert sorted(r["n"] for r in found) == sorted(arcs.values())
+
+
+def test_numbers_as_planes_of_bytes():
+    for values in ([], [0, 0], [1, 255, 3], [2**63, 5, 2**64 - 1], [70000]):
+        values = np.array(values, np.uint64)
+        assert language_model._unpacked(language_model._packed(values)).tolist() == values.tolist()

@@ -1,8 +1,10 @@
+import os
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfmark.session import checkpoint, shared_folder, written
+from shelfmark.session import checkpoint, passing, shared_folder, written
 
 
 def _frames(spark) -> set:
@@ -37,3 +39,24 @@ def test_written_clears_up_after_a_failure(spark):
     with pytest.raises(ValueError, match="no"):
         written(spark, fails)
     assert len(_frames(spark) - before) == 1 and mine.count() == 4
+
+
+def _shuffled(spark) -> int:
+    """Shuffle files of this session, wherever its block managers keep them."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(name.startswith("shuffle_") for folder in manager.localDirs() for _, _, names in os.walk(folder.getPath()) for name in names)
+
+
+def test_shuffle_files_go_with_their_execution(spark):
+    """Not when the driver happens to collect its garbage: many steps would hold all of theirs on disk at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), _shuffled(spark)
+    found = checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert _shuffled(spark) <= before and found.count() == 7 and spark.conf.get(key) == setting
+
+
+def test_passing_frames_go(spark):
+    before = _frames(spark)
+    with passing(spark):
+        assert checkpoint(spark.range(6)).count() == 6
+    assert _frames(spark) == before
