@@ -33,6 +33,8 @@ PIVOT_ROUNDS = 4
 #: Bits of the short parity bitmap that bounds the difference of two sets from below; the wide one has 4 a shingle.
 BITMAP = 512
 WIDE = 4
+#: Pairs of ids that are broadcast to what they are joined with; more are shuffled.
+FEW_PAIRS = 1 << 15
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,12 @@ def _near(left: Column, right: Column, n1: Column, n2: Column, percent: int) ->
 def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids that neither the short nor the wide bitmaps rule out."""
     short = info.select("id", "n", "bitmap")
-    sides = pairs.join(short.toDF("a", "na", "ba"), "a").join(short.toDF("b", "nb", "bb"), "b")
+    left, right, pairs = short.toDF("a", "na", "ba"), short.toDF("b", "nb", "bb"), checkpoint(pairs)
+    if pairs.count() <= FEW_PAIRS:
+        sides = checkpoint(left.join(F.broadcast(pairs), "a"))
+        sides = right.join(F.broadcast(sides) if sides.count() <= FEW_PAIRS else sides, "b")  # ids may repeat
+    else:
+        sides = pairs.join(left, "a").join(right, "b")
     some = checkpoint(sides.where(_near(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
     wide = info.select("id", "n", "wide")
     both = some.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
@@ -149,8 +156,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     Only the texts of these ids are read again, and meet pair by pair.
     """
     texts = docs.select("id", "text")
-    left, right = (picked(texts, checkpoint(pairs.select(F.col(side).alias("id")).distinct()), "id").toDF(side, "t" + side) for side in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
+
+    def side(of: str) -> DataFrame:
+        return picked(texts, checkpoint(pairs.select(F.col(of).alias("id")).distinct()), "id").toDF(of, "t" + of)
+
+    if pairs.count() <= FEW_PAIRS:
+        both = texts.toDF("a", "ta").join(F.broadcast(pairs), "a").join(side("b"), "b")
+    else:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +184,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     found and each is exact: index, bitmaps and distances only rule pairs out that cannot be links. Texts without words
     (null, empty, blank) have size 0 and stay alone. Keys are integers; rows with a null key get a null component and link
     nothing; repeated rows are kept and get the same answer; rows that share a key share its links. Other columns are
-    left out. An empty table gives an empty result. Texts are read three times and never shuffled, but for those in
+    left out. An empty table gives an empty result. Texts are read for sets, for their frequencies and for each check of pairs, and never shuffled, but for those in
     pairs that are verified.
     """
     spark = docs.sparkSession

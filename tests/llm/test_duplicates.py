@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from shelfmark.llm import components as components_
 from shelfmark.llm import jaccard_join, suffix_dedup
 from shelfmark.llm.components import components
 from tests.llm.rows import WORD, awkward, frame, words
@@ -74,6 +76,25 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_many_tasks_and_in_one(spark, monkeypatch):
+    """A round of few edges is one partition and shuffles nothing; with more, the answer is the same."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(120), rng.randrange(120)) for _ in range(90)], "a long, b long")
+    one = sorted(components(edges).collect())
+    monkeypatch.setattr(components_, "TASK_EDGES", 9)
+    assert sorted(components(edges).collect()) == one
+    both = components_._either(edges.coalesce(1), F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    assert both.count() == 180 and "Exchange" not in both.groupBy("u").agg(F.min("v"))._jdf.queryExecution().toString()
+
+
+def test_many_pairs_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 0)
+    rows = family(4) + [(3, "some words of another text of the same id", None, None)]
+    found = jaccard_join.jaccard_components(frame(spark, rows), 3, 90).collect()
+    few = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found)
+    assert [r[::2] for r in few] == [r[::2] for r in groups_of(rows, 3, 90)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=60) | st.text("ab", max_size=80).map(str.encode))
 def test_suffix_array(data):
