@@ -16,10 +16,9 @@ equal rows one stays, of others that with the smallest hash of its text. A null
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages (400 bytes, or PASSAGE_WORDS words); ``n_chars`` follows the text."""
-    done = suffix_dedup.remove_repeats(docs.select(*COLUMNS), least_words=PASSAGE_WORDS)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", errors="ignore") for b in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.string())], ["doc_id", "lang", "source", "n_chars", "text"])
-
-    clean = done.select("doc_id", "lang", "source", "n_chars", "kept").mapInArrow(decoded, "doc_id long, lang string, source string, n_chars long, text string")
+    done = suffix_dedup.remove_repeats(docs.select(*COLUMNS), least_words=PASSAGE_WORDS, as_text=True)
+    clean = done.select("doc_id", "lang", "source", "n_chars", F.col("kept").alias("text"))
     return clean.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -145,3 +147,49 @@ def test_removal_of_nothing(spark):
     assert suffix_dedup.dedup_query(frame(spark, [])).collect() == []
     row = suffix_dedup.dedup_query(frame(spark, [(1, None, None, None)])).first()
     assert (row["n_bytes"], row["n_removed"], row["n_spans"]) == (0, 0, 0)
+
+
+def under_passages(rows, least):
+    """Bytes of each row under passages of ``least`` words that start twice, by trying all."""
+    found = [(i, [(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]) for i, t, *_ in rows]
+    seen = Counter(tuple(w[2] for w in ws[k : k + least]) for _, ws in found for k in range(len(ws) - least + 1))
+    for i, ws in found:
+        gone = set()
+        for k in range(len(ws) - least + 1):
+            if seen[tuple(w[2] for w in ws[k : k + least])] > 1:
+                gone.update(range(ws[k][0], ws[k + least - 1][1]))
+        yield i if i is not None else -1, len(gone)
+
+
+@pytest.mark.parametrize(("array_bytes", "task_bytes"), [(1 << 20, 1 << 18), (2000, 500), (150, 500)])
+def test_query_tells_short_passages(spark, monkeypatch, array_bytes, task_bytes):
+    """Passages of some words count whatever blanks part them; what is removed are still the strings alone."""
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array_bytes)
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(suffix_dedup, "STEP", 16)
+    rng = random.Random(3)
+    base = [words(rng, 30) for _ in range(4)]
+    rows = [r for r in awkward(n=20) if len(r[1] or "") < 4000]
+    for i in range(80):
+        some = rng.choice(base).split()
+        a = rng.randrange(len(some))
+        rows.append((1000 + i, f"{words(rng, rng.randint(0, 5))} {rng.choice([' ', '  ', chr(10)]).join(some[a : a + rng.randint(0, 25)])} é{i} {words(rng, 3)}", None, None))
+    rows += [(2000, "a b " * 30, None, None), (2001, "x " * 40, None, None)]
+    found = suffix_dedup.dedup_query(frame(spark, rows), least_words=8).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_passage_bytes"]) for r in found) == sorted(under_passages(rows, 8))
+    cut = [(i, len((t or "").encode()), n, k, hashlib.sha256(left).hexdigest()) for (i, n, k, left), (_, t, *_) in zip(cut_of(rows, 400), rows, strict=True)]
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, *r[1:5]) for r in found]
+    assert sorted(got) == sorted(cut)
+
+
+def test_only_repeated_hashes_are_sorted(monkeypatch):
+    """Regions without a string that may occur twice reach no suffix array; one task's array is bounded by bytes of regions."""
+    made = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda data, depth, real=suffix_dedup.suffix_array: made.append(len(data)) or real(data, depth))
+    rng = random.Random(4)
+    alone = [(rng.randbytes(700), 301) for _ in range(50)]
+    assert all(not len(s) for s in suffix_dedup.repeated_starts(alone, 400)) and not made
+    shared = rng.randbytes(600)
+    found = suffix_dedup.repeated_starts([*alone, (b"x" + shared, 202), (b"yy" + shared, 203)], 400)
+    assert [s.tolist() for s in found[-2:]] == [list(range(1, 202)), list(range(2, 203))] and not any(len(s) for s in found[:-2])
+    assert sum(made) < 2000
