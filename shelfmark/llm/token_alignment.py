@@ -7,7 +7,8 @@ whose bytes do not add up to its span, or a token whose bytes are not the text's
 
 Texts are cut before blanks that no token of either tokenizer crosses (``segments``), and what such a piece comes to
 (ids, groups, links) is remembered, so that frequent words are tokenized once a task. Pieces that are met for the first
-time are aligned together, as numpy arrays. A text is put together from its pieces.
+time are encoded as lines of many, since a call for each would cost more than its tokens, and aligned together, as numpy
+arrays. The texts of a slice are put together from their pieces at once, as Arrow columns.
 
 How many documents link a pair of ids is counted over the corpus. Documents lie in blocks of bounded size; each block asks
 for the counts of the pairs it holds, once a pair, and gets them back beside its documents. So neither a document's links
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
@@ -38,9 +40,12 @@ from shelfmark.session import checkpoint
 BLOCK_LINKS = 4_000_000
 #: Pieces remembered (twice as many at most), and characters of a piece that is.
 PIECES, PIECE_CHARS = 300_000, 64
-#: Pieces aligned at once.
-BATCH = 20_000
+#: Pieces aligned at once, and characters of a line of them.
+BATCH, LINE = 20_000, 1000
 _SPACE = "▁"
+#: Texts with blanks that are no safe cuts, in RE2's writing: one in front, and those behind white space.
+_UNSAFE = r"^ |[\t-\r\x1c-\x1f\x{85}\p{Z}] "
+_NEW = object()
 
 
 def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ class Pair:
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    # --- one batch of texts that begin with a blank -------------------------------------------------------------
+    # --- one batch of lines that begin with a blank -------------------------------------------------------------
 
     def _tokens_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and begin and end of their spans in characters, of all texts; n+1 places of the texts' first tokens."""
@@ -142,14 +147,26 @@ class Pair:
         bad[np.searchsorted(base, solid[other], side="right") - 1] = True
         return np.flatnonzero(bad)
 
-    def align(self, texts: list[str]) -> list[tuple[bytes, bytes, int] | None]:
+    def _lines(self, texts: list[str]) -> np.ndarray:
+        """The first text of each line, and the number of texts. Only texts that end in no white space have others behind."""
+        first, size = [], LINE
+        for k, text in enumerate(texts):
+            if size >= LINE:
+                first.append(k)
+                size = 0
+            size += LINE if text[-1].isspace() else len(text)
+        return np.array([*first, len(texts)], np.int64)
+
+    def align(self, texts: list[str], alone: bool = False) -> list[tuple[bytes, bytes, int] | None]:
         """For each text that begins with a blank: its groups written out, its links as 64-bit pairs, and the number of A's
-        tokens; None where the bytes do not match."""
-        column = pa.array(texts, pa.large_utf8())
-        data, base = buffer_of(column)
-        a_id, a_begin, a_end, a_at = self._tokens_a(texts)
-        b_id, b_begin, b_end, b_at = self._tokens_b(texts)
-        rows = len(texts)
+        tokens; None where the bytes do not match. Short texts are encoded many to a line, unless ``alone``."""
+        first = self._lines(texts) if self.cuts and not alone else np.arange(len(texts) + 1)
+        lines = ["".join(texts[i:j]) for i, j in itertools.pairwise(first.tolist())]
+        data, text_at = buffer_of(pa.array(texts, pa.large_utf8()))
+        base = text_at[first]
+        a_id, a_begin, a_end, a_at = self._tokens_a(lines)
+        b_id, b_begin, b_end, b_at = self._tokens_b(lines)
+        rows = len(lines)
         a_row, b_row = np.repeat(np.arange(rows), np.diff(a_at)), np.repeat(np.arange(rows), np.diff(b_at))
         # Characters' places in bytes; a span of characters becomes one of bytes.
         place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
@@ -166,10 +183,11 @@ class Pair:
         keep_a, keep_b = ~bad[a_row], ~bad[b_row]
         a_id, a_stop, b_id, b_stop = a_id[keep_a], a_stop[keep_a], b_id[keep_b], b_stop[keep_b]
         # Every stretch between neighbouring ends, of either side, is one overlapping pair.
-        ends = np.union1d(a_stop, b_stop)
+        both = np.sort(np.concatenate((a_stop, b_stop)), kind="stable")
+        same = both[1:] == both[:-1]
+        ends, cuts = both[np.append(~same, np.ones(min(len(both), 1), bool))], both[1:][same]
         link_a, link_b = np.searchsorted(a_stop, ends), np.searchsorted(b_stop, ends)
         links = (a_id[link_a] * self.b_size + b_id[link_b]).astype(np.int64)
-        cuts = np.intersect1d(a_stop, b_stop, assume_unique=True)
         # Within a group first A's ids, then B's: a token's place is its own number and the other side's tokens before it.
         a_group, b_group = np.searchsorted(cuts, a_stop), np.searchsorted(cuts, b_stop)
         a_before = np.concatenate(([0], np.cumsum(np.bincount(a_group, minlength=len(cuts)))))
@@ -184,58 +202,87 @@ class Pair:
         solid = flat != 0
         sizes = np.concatenate(([0], np.cumsum(solid.reshape(written.shape).sum(1))))
         out = flat[solid].tobytes()
-        a_cut, link_cut = np.searchsorted(a_stop, base, side="right"), np.searchsorted(ends, base, side="right")
-        token_cut = a_cut + np.searchsorted(b_stop, base, side="right")
+        a_cut, link_cut = np.searchsorted(a_stop, text_at, side="right"), np.searchsorted(ends, text_at, side="right")
+        token_cut = a_cut + np.searchsorted(b_stop, text_at, side="right")
         raw = links.tobytes()
         char_cut = sizes[token_cut].tolist()
         a_cut, link_cut = a_cut.tolist(), link_cut.tolist()
-        return [None if bad[k] else (out[char_cut[k] : char_cut[k + 1] - 1], raw[8 * link_cut[k] : 8 * link_cut[k + 1]], a_cut[k + 1] - a_cut[k]) for k in range(rows)]
+        lost = np.repeat(bad, np.diff(first)).tolist()
+        found = [None if lost[k] else (out[char_cut[k] : char_cut[k + 1] - 1], raw[8 * link_cut[k] : 8 * link_cut[k + 1]], a_cut[k + 1] - a_cut[k]) for k in range(len(texts))]
+        # A line that does not match tells nothing of its texts.
+        again = np.flatnonzero(np.repeat(bad & (np.diff(first) > 1), np.diff(first))).tolist()
+        if again:
+            for k, own in zip(again, self.align([texts[k] for k in again], alone=True), strict=True):
+                found[k] = own
+        return found
 
     # --- texts of any length ---------------------------------------------------------------------------------------
 
-    def _known(self, wanted: set[str]) -> dict[str, tuple | None]:
-        """The alignments of all wanted pieces; long ones are not remembered."""
-        long = {p: None for p in wanted if len(p) > PIECE_CHARS}
-        fresh = [p for p in wanted if p not in self.young and p not in long]
+    def _known(self, wanted: list[str]) -> list[tuple[bytes, bytes, int] | None]:
+        """The alignments of all wanted pieces, named without the blank in front; long ones are not remembered."""
+        young, old = self.young, self.old
+        known = [young.get(piece, _NEW) for piece in wanted]
         missing = []
-        for piece in fresh:
-            if piece in self.old:
-                self.young[piece] = self.old[piece]
-            else:
-                missing.append(piece)
+        for k, found in enumerate(known):
+            if found is _NEW:
+                piece = wanted[k]
+                if piece in old:
+                    known[k] = young[piece] = old[piece]
+                else:
+                    missing.append(k)
         for at in range(0, len(missing), BATCH):
             part = missing[at : at + BATCH]
-            self.young.update(zip(part, self.align(part), strict=True))
-        if long:
-            for piece, found in zip(long, self.align(list(long)), strict=True):
-                long[piece] = found
-        known = self.young
-        if len(known) > PIECES:
-            self.young, self.old = {}, known
-        return known if not long else _Two(known, long)
+            for k, found in zip(part, self.align([" " + wanted[k] for k in part]), strict=True):
+                known[k] = found
+                if len(wanted[k]) < PIECE_CHARS:
+                    young[wanted[k]] = found
+        if len(young) > PIECES:
+            self.young, self.old = {}, young
+        return known
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different pieces of all texts with a blank in front, named without it; the texts' pieces by their numbers
+        there, and the n+1 places where a text's begin. Empty texts have none."""
+        column = pa.array(texts, pa.large_utf8())
+        empty = pa.compute.equal(column, "")
+        by_hand = pa.compute.or_(empty, pa.compute.match_substring_regex(column, _UNSAFE) if self.cuts else True)
+        split = pa.compute.split_pattern(pa.compute.if_else(by_hand, pa.scalar(None, column.type), column), " ")
+        plain, at = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        begin, size = at[:-1] - at[0], np.diff(at)
+        rest = []
+        for k in np.flatnonzero(by_hand.to_numpy(zero_copy_only=False)).tolist():
+            own = ([p[1:] for p in pieces(" " + texts[k])] if self.cuts else [texts[k]]) if texts[k] else []
+            begin[k], size[k] = len(plain) + len(rest), len(own)
+            rest += own
+        coded = pa.concat_arrays([plain, pa.array(rest, plain.type)]).dictionary_encode()
+        row_at = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(row_at[-1]) + np.repeat(begin - row_at[:-1], size)
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)[place], row_at
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, int] | None]:
         """``align`` for texts without the blank in front, by remembered pieces. Empty texts are None."""
-        cut = [(pieces(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
-        known = self._known(set().union(*cut))
-        for text, parts in zip(texts, cut, strict=True):
-            found = [known[p] for p in parts]
-            if not found:
+        wanted, piece, row_at = self._cut(texts)
+        known = self._known(wanted)
+        lost = np.array([f is None for f in known], bool)
+        known = [f or (b"", b"", 0) for f in known]
+        written = pa.array([f[0] for f in known], pa.large_binary()).take(pa.array(piece))
+        groups = pa.compute.binary_join(pa.LargeListArray.from_arrays(row_at, written), pa.scalar(b";", pa.large_binary()))
+        linked = [f[1] for f in known]
+        flat, sizes = np.frombuffer(b"".join(linked), np.int64), np.array([len(f) // 8 for f in linked], np.int64)
+        begin, size = (np.cumsum(sizes) - sizes)[piece], sizes[piece]
+        link_at = np.concatenate(([0], np.cumsum(size)))
+        links = flat[np.arange(link_at[-1]) + np.repeat(begin - link_at[:-1], size)]
+        link_at = link_at[row_at].tolist()
+        n_a = np.diff(np.concatenate(([0], np.cumsum(np.array([f[2] for f in known], np.int64)[piece])))[row_at]).tolist()
+        n_lost = np.diff(np.concatenate(([0], np.cumsum(lost[piece])))[row_at]).tolist()
+        for k, text in enumerate(texts):
+            if not text:
                 yield None
-            elif None in found:
+            elif n_lost[k]:
                 # A piece does not match; the verdict is that over the whole text.
-                yield self.align([" " + text])[0] if len(parts) > 1 else None
+                yield self.align([" " + text])[0] if row_at[k + 1] - row_at[k] > 1 else None
             else:
-                groups, links, count = zip(*found, strict=True)
-                yield b";".join(groups), b"".join(links), sum(count)
-
-
-class _Two:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str):
-        return self.second[key] if key in self.second else self.first[key]
+                yield groups[k].as_py(), links[link_at[k] : link_at[k + 1]].tobytes(), n_a[k]
 
 
 def _packed(pairs: np.ndarray, times: np.ndarray) -> bytes:

@@ -118,3 +118,28 @@ def test_pieces_are_forgotten(monkeypatch):
     for text in ["one two three four five", "six one severalletters two", "one"] * 2:
         assert next(pair.texts([text]))[0].decode() == aligned(text)[2]
     assert len(pair.young) + len(pair.old) < 16
+
+
+def test_new_pieces_share_lines(monkeypatch):
+    pair, calls = T.Pair(A, B), []
+    monkeypatch.setattr(pair, "_tokens_a", lambda lines, inner=pair._tokens_a: calls.append(len(lines)) or inner(lines))
+    text = ", ".join(f"wörd{k}{k * k}" for k in range(2000))
+    found = next(pair.texts([text]))
+    n_a, _, groups, links = aligned(text)
+    assert (found[0].decode(), found[2]) == (groups, n_a)
+    assert [divmod(int(x), pair.b_size) for x in np.frombuffer(found[1], np.int64)] == links
+    assert sum(calls) < 50
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+def test_lines_with_unaligned_pieces(cuts):
+    pair = T.Pair(A, B)
+    pair.cuts = cuts
+    texts = ["one two▁ three four", "one two three four", "▁", "", "five\x85 six\u2028 seven\x1c ", " eight  nine\n\n ten", "two▁", "eleven\u3000 <|endoftext|> twelve"]
+    for text, found in zip(texts, pair.texts(texts), strict=True):
+        n_a, _, groups, links = aligned(text)
+        if not n_a:
+            assert found is None
+        else:
+            assert (found[0].decode(), found[2]) == (groups, n_a)
+            assert [divmod(int(x), pair.b_size) for x in np.frombuffer(found[1], np.int64)] == links
