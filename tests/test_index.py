@@ -105,3 +105,32 @@ def test_an_index_is_written_once_and_small(spark):
     at, before = folder(), size(shared_folder(spark))
     I.build(spark.createDataFrame(rows, COLUMNS).coalesce(2), at)
     assert size(at) < 2 * sum(len(r[5]) for r in rows) and size(shared_folder(spark)) == before
+
+
+def test_rows_of_a_common_gram_are_unpacked_a_few_at_a_time():
+    """A batch may hold a gram's places in thousands of blocks; what tasks hold at once does not grow with their number."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, each = 400, 20_000
+    flat = np.tile(np.arange(0, 3 * each, 3, dtype=np.int64), n)
+    places = I._packed(flat, np.arange(0, n * each, each))
+    block, bits = pa.array(np.arange(n)), pa.array(np.full(n, 8, np.int32))
+    hits = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int32)), places], ["off", "places"])
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), hits)
+    asked = pa.RecordBatch.from_arrays([pa.array(["the"] * n), block, bits, pa.array(np.ones(n, np.int32)), listed], ["needle", "block", "bits", "parts", "rows"])
+    per_segment = np.bincount(flat[:each] >> 8)
+
+    def held(run, batch):
+        tracemalloc.start()
+        try:
+            out = list(run(iter([batch.slice(3)])))
+            return pa.Table.from_batches(out), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    found, most = held(I._counted, asked)
+    assert most < 200 << 20 and len(found) == (n - 3) * len(per_segment)
+    assert found.column("times").to_numpy().reshape(n - 3, -1).tolist() == [per_segment.tolist()] * (n - 3)
