@@ -118,6 +118,8 @@ def test_rows_of_a_common_gram_are_unpacked_a_few_at_a_time():
     flat = np.tile(np.arange(0, 3 * each, 3, dtype=np.int64), n)
     places = I._packed(flat, np.arange(0, n * each, each))
     block, bits = pa.array(np.arange(n)), pa.array(np.full(n, 8, np.int32))
+    dead = pa.array([bytes([1 + 4]) if i % 2 else None for i in range(n)], pa.binary())  # segments 0 and 2
+    postings = pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), block, bits, places, dead], ["gram", "block", "bits", "places", "dead"])
     hits = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int32)), places], ["off", "places"])
     listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), hits)
     asked = pa.RecordBatch.from_arrays([pa.array(["the"] * n), block, bits, pa.array(np.ones(n, np.int32)), listed], ["needle", "block", "bits", "parts", "rows"])
@@ -131,6 +133,11 @@ def test_rows_of_a_common_gram_are_unpacked_a_few_at_a_time():
         finally:
             tracemalloc.stop()
 
+    alive, most = held(I._alive, postings)
+    assert most < 200 << 20 and alive.column("block").to_pylist() == list(range(3, n))
+    back, first = I._unpacked(alive.column("places").combine_chunks())
+    kept = [p for p in flat[:each].tolist() if p >> 8 not in (0, 2)]
+    assert all(back[a:b].tolist() == (kept if i % 2 else flat[:each].tolist()) for i, a, b in zip(range(3, n, 57), first[:-1:57], first[1::57]))
     found, most = held(I._counted, asked)
     assert most < 200 << 20 and len(found) == (n - 3) * len(per_segment)
     assert found.column("times").to_numpy().reshape(n - 3, -1).tolist() == [per_segment.tolist()] * (n - 3)
