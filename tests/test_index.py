@@ -141,3 +141,20 @@ def test_rows_of_a_common_gram_are_unpacked_a_few_at_a_time():
     found, most = held(I._counted, asked)
     assert most < 200 << 20 and len(found) == (n - 3) * len(per_segment)
     assert found.column("times").to_numpy().reshape(n - 3, -1).tolist() == [per_segment.tolist()] * (n - 3)
+
+
+def test_postings_are_not_shuffled(spark):
+    """Building, updating and compacting move nothing: a gram of every block lies in every file, sorted, and is found in all."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    made = I.build(df, folder())
+    made = I.update(made, df.where("doc_id < 3"), spark.createDataFrame([(5,)], "doc_id long"))
+    files = glob.glob(f"{made.path}/{made.generations[0]}/rows/part=postings/*.parquet")
+    grams = [pq.read_table(f, partitioning=None).column("gram").to_pylist() for f in files]
+    assert len(grams) == 3 and all(g == sorted(g) for g in grams) and set(grams[0]) & set(grams[1]) & set(grams[2])
+    kept = [r for r in rows if r[1] != 5]
+    assert found(spark, made) == brute(kept, NEEDLES) == found(spark, I.compact(made, spark))
